@@ -1,0 +1,87 @@
+"""Helpers shared by the pipeline operators: words, document keys and shared scratch tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A word: ASCII letters and digits, and every character beyond ASCII.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words(text: Column) -> Column:
+    """Words of ``text`` with A-Z lower-cased; null text has no words."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+
+
+def text_key(text: Column) -> Column:
+    """64 bits that, beside the document id, name one version of a document."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share.  A local one is made only where none is set and Spark is local."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    global _local
+    if _local is None:
+        _local = tempfile.mkdtemp(prefix="textloom-")
+    return f"file://{_local}"
+
+
+_local: str | None = None
+
+
+class Scratch:
+    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def write(self, df: DataFrame) -> str:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        return path
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Writes ``df`` and returns what was written."""
+        return self.spark.read.schema(df.schema).parquet(self.write(df))
+
+    def drop(self, path: str) -> None:
+        """Removes a table that nothing reads any longer."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def is_empty(df: DataFrame) -> bool:
+    return not df.take(1)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of (id, key) that may be broadcast; they take a few megabytes.
+BROADCAST_ROWS = 65_536
+
+
+def small_side(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has few; else the join shuffles."""
+    return F.broadcast(table) if table.count() <= rows else table
