@@ -9,14 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A word: ASCII letters and digits, and every character beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: all of ASCII but letters and digits.
+BETWEEN_WORDS = r"[\x00-/:-@\[-`{-\x7f]+"
+
+
+def lowered(text: Column) -> Column:
+    """Text with A-Z lower-cased and no other character changed."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def words(text: Column) -> Column:
-    """Words of ``text`` with A-Z lower-cased; null text has no words."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """Words (runs of ASCII letters and digits and of all characters beyond ASCII), A-Z lower-cased; null text has none."""
+    return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), "")
 
 
 def text_key(text: Column) -> Column:
