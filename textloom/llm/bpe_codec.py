@@ -9,7 +9,8 @@ for the split pattern looks ahead by few characters, and a token sequence of a
 rank-ordered merge list is right exactly if each neighbouring pair of it is.
 
 Null and empty texts have no tokens.  A text that occurs in many documents is
-cut and encoded once.  All other columns pass through unchanged.
+cut and encoded once.  All other columns pass through unchanged; one with the
+name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", ranks: str | None = None, long_chars: int = LONG_CHARS) -> DataFrame:
     """Adds ``ids_col``: the token ids of the whole text."""
-    path = ranks or default_ranks()
+    path, docs = ranks or default_ranks(), docs.drop(ids_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small_batches(batches, text_col):
@@ -160,7 +161,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", text_col: str = "decoded", ranks: str | None = None) -> DataFrame:
     """Adds ``text_col``: the text of the token ids; bytes that are no UTF-8 become U+FFFD."""
-    path = ranks or default_ranks()
+    path, encoded = ranks or default_ranks(), encoded.drop(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

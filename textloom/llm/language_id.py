@@ -197,7 +197,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, model, F.col("text")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The documents whose language is determined with at least ``least_score``; the columns stay."""
     of = fold(F.col("doc_id"), 4)
     model = fit(docs.where((of != 2) & (of >= 0)))

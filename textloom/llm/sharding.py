@@ -8,7 +8,7 @@ are equal ranges of that order: their row counts differ by one at most.
 
 A bucket that repeated rows or very large records fill beyond its size is
 dealt into cells by row number.  Null ids and null texts are records like any
-other.  An empty table gives an empty result.
+other.  Columns named shard or slot are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
 
 def external_shuffle(records: DataFrame, shards: int = 8, seed: int = 17, key_cols: tuple[str, ...] = ("doc_id", "text"), text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Adds ``shard`` and ``slot`` (from 0, without gaps) to shuffled records."""
+    records = records.drop("shard", "slot")
     keys = [F.col(f"`{c}`") for c in key_cols]
     size = record_size(f"`{text_col}`")
     total = records.agg(F.sum(size)).first()[0] or 0
