@@ -52,7 +52,8 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 def weighted(grams: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, counts = grams
-    x = (1 + np.log(counts)) * idf[found]
+    # the square root damps frequent n-grams and, unlike a logarithm, gives a repeated text the same direction
+    x = np.sqrt(counts) * idf[found]
     return found, x / max(float(np.linalg.norm(x)), 1e-12)
 
 
@@ -159,7 +160,9 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", sampl
         for text, label, at in sorted(zip(*(table[c].to_pylist() for c in ("text", "label", "dealt"))), key=lambda r: (r[2], r[0], r[1])):
             if grams := ngram_counts(text):
                 rows.append((*weighted(grams, idf), languages.index(label), at % 5 == 0))
-        w = fit_ftrl([r[:3] for r in rows if not r[3]] or [r[:3] for r in rows], len(languages))
+        # a language whose few texts would all be held back is fitted on them
+        fitted = {r[2] for r in rows if not r[3]}
+        w = fit_ftrl([r[:3] for r in rows if not r[3] or r[2] not in fitted], len(languages))
         held = [r for r in rows if r[3]]
         logits = np.array([w[:, r[0]] @ r[1] for r in held])
         t = fit_temperature(logits, np.array([r[2] for r in held], np.int64))
