@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, is_empty, small_side, text_key
+from textloom.llm.common import Scratch, is_empty, text_key
 
 #: Words that a repeated run must have.
 MIN_WORDS = 8
@@ -114,12 +114,11 @@ def copied_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch |
 
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with later copies deleted from ``text``; adds ``n_lines`` and ``n_deleted``."""
+    """The documents with later copies deleted from ``text``; adds ``n_lines`` and ``n_deleted``, in place of columns of these names."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     runs = copied_runs(docs, min_words, scratch)
     cuts = scratch.table(runs.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.sort_array(F.collect_set(F.struct("pos", (F.col("pos") + F.col("lines")).alias("stop")))).alias("__cuts")))
     own = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__text_key", text_key(F.col("text")))
-    cuts = small_side(cuts)
     met = own.join(cuts, (own["__own"] == cuts["__doc"]) & (own["__text_key"] == cuts["__key"]) & own["text"].isNotNull(), "left")
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     met = met.withColumn("__lines", numbered).withColumn("__filled", F.filter("__lines", lambda z: F.trim(z["line"]) != ""))
@@ -130,5 +129,5 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.when(F.col("__cuts").isNull(), F.col("text")).when(F.size("__kept") > 0, rest).otherwise("")
     lines = F.coalesce(F.size("__filled"), F.lit(0)).cast("long")
     gone = F.when(F.col("__cuts").isNull(), 0).otherwise(lines - F.size("__kept")).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_deleted")]
     return met.select(*columns, lines.alias("n_lines"), gone.alias("n_deleted"))
