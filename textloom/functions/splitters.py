@@ -221,7 +221,9 @@ class UnicodeScripts(Splitter):
         edges, last = [0], None
         for i, c in enumerate(part.text):
             script = self.script(c)
-            if script != "Any" and last not in (None, "Any", script):
+            if script == "Any":
+                continue
+            if last not in (None, script):
                 edges.append(i)
             last = script
         return [part.slice(a, b) for a, b in zip(edges, [*edges[1:], len(part.text)])]
