@@ -13,9 +13,10 @@ Candidates share all ``ROWS`` registers of one of ``BANDS`` bands.  The
 multiset overlap of candidates is computed from their texts.  Documents whose
 words agree are one node throughout, and a class is a connected component of
 the links between nodes.  To find components without all pairs of a bucket,
-candidates are taken in rounds: a node and its bucket's first node; then what
-still lies in different components; at last every remaining pair of a bucket
-across components.  A pair within one component need not be verified.
+candidates are taken in rounds: a node and the hub of most of its buckets; then
+all its hubs that still lie in other components; at last every remaining pair
+of a bucket across components, unless their maps of shingles prove an overlap
+too small.  A pair within one component need not be verified.
 
 A text of fewer than five words is one shingle.  Texts without words are equal
 only as whole texts; a null text is a class of its own.
@@ -23,17 +24,20 @@ only as whole texts; a null text is a class of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, is_empty, small_side, words
+from textloom.llm.common import UPPER, Scratch, is_empty, small_side, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Bits of the map of a document's shingles; two maps bound the overlap from above.
+BITMAP = 2048
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -49,16 +53,50 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def shingle_hashes(word_hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Hashes of the shingles of one document; fewer words than ``size`` make one shingle."""
-    n = len(word_hashes)
-    if not n:
-        return np.zeros(0, np.uint64)
-    size = min(size, n)
-    w, out = word_hashes.view(np.uint64), np.full(n - size + 1, size, np.uint64)
-    for k in range(size):
-        out = _mix(out ^ w[k : n - size + 1 + k]) + np.uint64(k)
-    return out
+#: A-Z as a-z, and a space for every byte that is in no word.
+_FOLDED = bytes(b + 32 if chr(b) in UPPER else b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def folded(text: str) -> bytes:
+    """The words of a text, lower-cased, with a space between them."""
+    return b" ".join(text.encode().translate(_FOLDED).split())
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of folded texts, one after the other, and the text that each word is in."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    ends = np.flatnonzero((data == 32) | (data == 10))
+    starts = np.r_[0, ends[:-1] + 1]
+    sizes = ends - starts
+    powers = np.multiply.accumulate(np.full(int(sizes.max()) + 1, 0x9FB21C651E98DF25, np.uint64))
+    values = _BYTES[data] * powers[np.arange(len(data)) - np.repeat(starts, sizes + 1)]
+    values[ends] = 0
+    owners = np.cumsum(data[ends] == 10) - (data[ends] == 10)
+    hashes = _mix(np.add.reduceat(values, starts) + sizes.astype(np.uint64))
+    return hashes[sizes > 0], owners[sizes > 0]
+
+
+def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of folded texts, and the text that each is in; fewer words than ``size`` make one shingle."""
+    words, owners = word_hashes(texts)
+    counts = np.bincount(owners, minlength=len(texts))
+    found, of = [], []
+    for n in range(1, size + 1):
+        # texts of exactly n words have one shingle of n; those of more have shingles of ``size``
+        wanted = counts == n if n < size else counts >= n
+        last = len(words) - n + 1
+        if last <= 0 or not wanted.any():
+            continue
+        out = np.full(last, n, np.uint64)
+        for k in range(n):
+            out = _mix(out ^ words[k : last + k]) + np.uint64(k)
+        whole = (owners[:last] == owners[n - 1 :]) & wanted[owners[:last]]
+        found.append(out[whole])
+        of.append(owners[:last][whole])
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(of)
 
 
 def multiset(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,12 +120,14 @@ def bag_minhash(owners: np.ndarray, elements: np.ndarray, counts: np.ndarray, do
     owner, element, count, low, width = (np.concatenate(x) for x in zip(*rows))
     first = np.full(docs * registers, np.inf)
     point = np.zeros(docs * registers, np.uint64)
-    time, k = np.zeros(len(owner)), 0
+    time, k, cut = np.zeros(len(owner)), 0, low + width > count
     while len(owner):
         draw = _mix(element + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         time = time - np.log(_uniform(draw)) / width
         draw = _mix(draw ^ _SEED)
-        counted = low + width * _uniform(_mix(draw)) < count
+        counted = np.ones(len(owner), bool)
+        # only the band that the count ends in has levels beyond it
+        counted[cut] = low[cut] + width[cut] * _uniform(_mix(draw[cut])) < count[cut]
         at = owner * registers + (draw % np.uint64(registers)).astype(np.int64)
         a, t, d = at[counted], time[counted], draw[counted]
         np.minimum.at(first, a, t)
@@ -95,11 +135,18 @@ def bag_minhash(owners: np.ndarray, elements: np.ndarray, counts: np.ndarray, do
         point[a[won]] = d[won]
         last = first.reshape(docs, registers).max(axis=1)
         stay = time < last[owner]
-        owner, element, count, low, width, time = (x[stay] for x in (owner, element, count, low, width, time))
+        owner, element, count, low, width, time, cut = (x[stay] for x in (owner, element, count, low, width, time, cut))
         k += 1
     return point.reshape(docs, registers)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which of ``BITMAP`` values the shingles hash to, as 64-bit words."""
+    bits = np.zeros(BITMAP, bool)
+    bits[(_mix(hashes ^ _SEED) % np.uint64(BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     parts = signatures.reshape(len(signatures), bands, rows)
     out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
@@ -117,53 +164,57 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def _word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def _chunks(texts: list[str | None], most: int = 1 << 20, rows: int = 1000) -> Iterator[slice]:
+    """Slices of about ``most`` characters, or one text, and at most ``rows`` texts."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if k > start and (held + len(t or "") > most or k - start == rows):
+            yield slice(start, k)
+            start, held = k, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, content (a key of the words, or of a text without any), shingles and band hashes."""
-    w = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
-    content = F.when(F.size("w") > 0, F.md5(F.array_join("w", " "))).when(F.col("text").isNotNull(), F.concat(F.lit("text "), F.md5("text")))
-    rows = w.select("doc_id", content.alias("content"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    """doc_id, key (of the text), content (of the words, or of a text without any), shingles and band hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, held = 0, 0
-            sizes = [len(x) for x in batch.column("h")]
-            for stop in range(1, batch.num_rows + 1):
-                held += sizes[stop - 1]
-                if held > 1 << 20 or stop == batch.num_rows or stop - start == 2000:
-                    yield _sign_rows(batch.slice(start, stop - start))
-                    start, held = stop, 0
-
-    return rows.mapInArrow(sign, "doc_id long, content string, shingles int, bands array<long>")
-
-
-def _sign_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    shingles = [shingle_hashes(np.asarray(x.values)) for x in batch.column("h")]
-    sizes = np.array([len(x) for x in shingles])
-    filled = np.flatnonzero(sizes)
-    bands: list = [None] * len(sizes)
-    if len(filled):
-        rows = multiset(np.concatenate([shingles[i] for i in filled]), np.repeat(np.arange(len(filled)), sizes[filled]))
-        for i, row in zip(filled, band_hashes(bag_minhash(*rows, len(filled)))):
-            bands[i] = row
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("content"), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "content", "shingles", "bands"]
-    )
+            texts = batch.column("text").to_pylist()
+            for at in _chunks(texts):
+                own = [folded(t or "") for t in texts[at]]
+                content = [None if t is None else hashlib.md5(w or b"\0" + t.encode()).hexdigest() for t, w in zip(texts[at], own)]
+                shingles, owners = shingle_hashes(own)
+                bands: list = [None] * len(own)
+                maps: list = [None] * len(own)
+                filled, compact = np.unique(owners, return_inverse=True)
+                if len(filled):
+                    for i, row in zip(filled, band_hashes(bag_minhash(*multiset(shingles, compact), len(filled)))):
+                        bands[i] = row
+                    order = np.argsort(compact, kind="stable")
+                    for i, part in zip(filled, np.split(shingles[order], np.cumsum(np.bincount(compact))[:-1])):
+                        maps[i] = bitmap(part)
+                part = batch.slice(at.start, at.stop - at.start)
+                sizes = np.bincount(owners, minlength=len(own))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(content, pa.string()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], names=["doc_id", "key", "content", "shingles", "bands", "map"])
+
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    return rows.mapInArrow(sign, "doc_id long, key long, content string, shingles int, bands array<long>, map array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those with a weighted Jaccard of at least ``threshold``; texts: (node, text)."""
+    """Of the pairs (a, b), whether their weighted Jaccard is at least ``threshold``; texts: (node, text)."""
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", _word_hashes(F.col("text_a")).alias("x"), _word_hashes(F.col("text_b")).alias("y"))
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingles = lambda c: (shingle_hashes(np.asarray(v.values)) for v in batch.column(c))
-            near = [weighted_jaccard(x, y) >= threshold for x, y in zip(shingles("x"), shingles("y"))]
+            near = []
+            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+                hashes, owners = shingle_hashes([folded(a), folded(b)])
+                near.append(weighted_jaccard(hashes[owners == 0], hashes[owners == 1]) >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     return met.mapInArrow(verify, "a long, b long, near boolean")
@@ -189,24 +240,33 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.table(_signed(docs))
-    nodes = scratch.table(signed.where(F.col("content").isNotNull()).dropDuplicates(["content"]).select("content", "shingles", "bands", F.monotonically_increasing_id().alias("node")))
+    # one row stands for a content: the one with the least id and text key
+    nodes = signed.where(F.col("content").isNotNull()).groupBy("content").agg(F.min(F.struct("doc_id", "key", "shingles", "bands", "map")).alias("first"))
+    nodes = scratch.table(nodes.select("content", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"), "first.shingles", "first.bands", "first.map", F.monotonically_increasing_id().alias("node")))
     buckets = nodes.where("shingles > 0").select("node", "shingles", F.posexplode("bands").alias("band", "hash"))
-    shared = buckets.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
+    shared = buckets.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
     buckets = scratch.table(buckets.join(shared, ["band", "hash"]))
+    # a bucket's hub is the node that meets most others: what near copies were made from, if it is there
+    met_by = buckets.groupBy("node").agg(F.sum("n").alias("meets"))
+    hub = F.max(F.struct("meets", -F.col("node"))).alias("hub")
+    first = buckets.join(met_by, "node").groupBy("band", "hash").agg(hub).select("band", "hash", (-F.col("hub.col2")).alias("hub"))
+    buckets = scratch.table(buckets.drop("n").join(first, ["band", "hash"]))
 
     candidates = scratch.table(buckets.select("node").distinct())
-    contents = scratch.table(nodes.join(candidates, "node", "left_semi").select("content", "node"))
-    w = docs.select("text", words(F.col("text")).alias("w"))
-    keyed = w.where(F.size("w") > 0).select(F.md5(F.array_join("w", " ")).alias("content"), "text")
-    texts = scratch.table(keyed.join(small_side(contents), "content").groupBy("node").agg(F.first("text").alias("text")))
+    wanted = small_side(scratch.table(nodes.join(candidates, "node", "left_semi").select("first_id", "first_key", "node")))
+    own = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["first_id"]) & (own["key"] == wanted["first_key"])).select("node", "text")
+    texts = scratch.table(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     low, high = F.least("shingles", "other"), F.greatest("shingles", "other")
     long_enough = low >= threshold * high  # an overlap of the shorter one at most
     size = buckets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")).distinct()
-    hubs = buckets.where("node != hub").select("node", "hub", "shingles").distinct().join(size, "hub").where(long_enough)
-    hubs = scratch.table(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    hubs = buckets.where("node != hub").groupBy("node", "hub", "shingles").agg(F.count("*").alias("times")).join(size, "hub").where(long_enough)
+    hubs = scratch.table(hubs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "node", "times"))
 
-    checked = scratch.table(_verified(hubs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, threshold))
+    # each node and the hub that is its in most buckets come first
+    one = hubs.groupBy("node").agg(F.max(F.struct("times", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    checked = scratch.table(_verified(one, texts, threshold))
     roots = components(checked.where("near"), scratch)
     rounds = 1
     while True:
@@ -214,13 +274,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if rounds == 1:
             # each node and the first nodes of its buckets, if they are still apart
             at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            apart = hubs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+            apart = hubs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
         else:
             # buckets across components: those outside the largest component against all others
             spread = labelled.groupBy("band", "hash", "root").agg(F.count("*").alias("n")).groupBy("band", "hash").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
             mixed = labelled.join(spread.where("roots > 1").drop("roots"), ["band", "hash"])
             outside = mixed.where("root != main").select("band", "hash", F.col("node").alias("x"), F.col("shingles").alias("other"), F.col("root").alias("root_x"))
-            met = outside.join(mixed, ["band", "hash"]).where((F.col("root_x") != F.col("root")) & long_enough)
+            maps = nodes.select("node", "map")
+            outside = outside.join(maps.select(F.col("node").alias("x"), F.col("map").alias("map_x")), "x")
+            mixed = mixed.join(maps, "node")
+            # at least so many shingles of the one are missing in the other
+            missing = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, n: s + n)
+            shared_most = F.least(F.col("other") - missing("map_x", "map"), F.col("shingles") - missing("map", "map_x"))
+            possible = shared_most >= threshold * (F.col("other") + F.col("shingles") - shared_most)
+            met = outside.join(mixed, ["band", "hash"]).where((F.col("root_x") != F.col("root")) & long_enough & possible)
             apart = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         apart = scratch.table(apart.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         if not is_empty(apart):
