@@ -25,8 +25,10 @@ def pieces_by_regex(text: Column, match: str, other: str, behavior: str) -> Colu
     """Pieces of a text under a delimiter behaviour.
 
     ``match`` matches one delimiter, ``other`` a maximal run without any."""
+    if behavior == "removed":
+        # several times faster than collecting matches
+        return F.array_remove(F.split(text, match), "")
     forms = {
-        "removed": other,
         "isolated": f"{match}|{other}",
         "contiguous": f"(?:{match})+|{other}",
         "merged_with_previous": f"(?:{other})(?:{match})?|{match}",
@@ -74,7 +76,7 @@ class Whitespace(Splitter):
 @dataclass(frozen=True)
 class WhitespaceSplit(Splitter):
     def column(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0))
+        return F.array_remove(F.split(text, f"[{SPACE_CLASS}]+"), "")
 
     def cut(self, part: Aligned) -> list[Aligned]:
         return part.split(tiles(by_predicate(part.text, is_space), len(part.text)), "removed")
