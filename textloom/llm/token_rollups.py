@@ -35,17 +35,18 @@ def default_versions() -> dict[str, str]:
 
 
 def token_counts(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
-    """A row for each document and tokenizer version: doc_id, source, lang, tokenizer, tokens."""
+    """A row for each document and tokenizer version: doc_id, source, lang, bytes, tokenizer, tokens."""
     paths = versions or default_versions()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(3).to_pylist()]
+            texts = [t or "" for t in batch.column(4).to_pylist()]
             for name, path in paths.items():
                 sizes = [len(codec(path).encode_to_numpy(t, disallowed_special=())) for t in texts]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * len(sizes)), pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([name] * len(sizes)), pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "bytes", "tokenizer", "tokens"])
 
-    return docs.select("doc_id", "source", "lang", "text").mapInArrow(count, "doc_id long, source string, lang string, tokenizer string, tokens long")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")
+    return docs.select("doc_id", "source", "lang", size, "text").mapInArrow(count, "doc_id long, source string, lang string, bytes long, tokenizer string, tokens long")
 
 
 class TokenLedger:
@@ -83,16 +84,24 @@ class TokenLedger:
         return out
 
 
+#: Bytes that a token is taken to have until it is counted.
+PROVISIONAL_BYTES = 4
+
+
 def maintained_totals(docs: DataFrame) -> DataFrame:
-    """Totals of all documents after inserts, a revision of every count to the second tokenizer version, and a replay."""
+    """Totals of the documents that have tokens, kept up to date by four batches.
+
+    Documents come with counts of the first version and estimates of the second; the estimates are revised to counts;
+    documents without tokens are deleted; and the first batch is committed once more, which changes nothing."""
     scratch = Scratch(docs.sparkSession, "token-rollups")
-    first, second = default_versions()
+    _, second = default_versions()
     counts = scratch.table(token_counts(docs))
-    changes = counts.withColumn("op", F.lit("insert")).withColumn("old_tokens", F.lit(0).cast("long"))
+    estimate = F.floor(F.col("bytes") / PROVISIONAL_BYTES).cast("long")
+    is_second, none = F.col("tokenizer") == second, F.lit(0).cast("long")
+    arrived = counts.select(F.lit("insert").alias("op"), *KEYS, F.when(is_second, estimate).otherwise(F.col("tokens")).alias("tokens"), none.alias("old_tokens"))
     ledger = TokenLedger(docs.sparkSession, f"{scratch.root}/ledger")
-    ledger.commit("insert", changes)
-    # texts of no tokens are deleted from the first version, and every count of the second is revised to itself plus an end mark
-    ledger.commit("delete", changes.where((F.col("tokenizer") == first) & (F.col("tokens") == 0)).withColumn("op", F.lit("delete")))
-    ledger.commit("revise", changes.where(F.col("tokenizer") == second).select(F.lit("revise").alias("op"), *KEYS, (F.col("tokens") + 1).alias("tokens"), F.col("tokens").alias("old_tokens")))
-    ledger.commit("insert", changes)
+    ledger.commit("arrived", arrived)
+    ledger.commit("counted", counts.where(is_second).select(F.lit("revise").alias("op"), *KEYS, "tokens", estimate.alias("old_tokens")))
+    ledger.commit("withdrawn", counts.where("tokens = 0").select(F.lit("delete").alias("op"), *KEYS, "tokens", none.alias("old_tokens")))
+    ledger.commit("arrived", arrived)
     return ledger.totals()
