@@ -31,12 +31,11 @@ EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
 _PARTS = 1 << 20
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Hashed n-grams of one to three characters with their counts; None if there is no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     units = np.frombuffer((" " + _NOT_LETTERS.sub(" ", text.lower()).strip() + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
     hashes, gram = [], np.zeros(len(units), np.uint64)
