@@ -243,6 +243,26 @@ def test_neighbours_of_few_and_odd_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in neighbours.search(table.where("vec_id IN (0, 1)")).collect()] == [(0, 1)]
 
 
+def test_repeated_rows_are_one_neighbour(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.standard_normal(8)) for i in range(120)]
+    # the nearest of 0 is repeated more than k times, as it is and with other vectors; a query has two vectors
+    vectors += [(121, vectors[0][1] + 0.001)] * 8 + [(121, vectors[0][1] + 0.001 * n) for n in range(2, 10)] + [(50, rng.standard_normal(8))]
+    best = {}
+    for q, a in vectors:
+        for i, b in vectors:
+            if q % 50 == 0 and i != q:
+                best[q, i] = max(best.get((q, i), -1), float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)))
+    expected = [(q, r, i) for q in (0, 50, 100) for r, i in enumerate(sorted((i for p, i in best if p == q), key=lambda i: -best[q, i])[:5], 1)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>")
+    found = neighbours.search(table).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == expected
+    # with only the repeats within the radius, the other rows are ranked as well
+    code = neighbours.BinaryCode(np.zeros(8), np.eye(8), 0)
+    ids, rows = np.array([1] * 9 + [2, 3]), np.vstack([np.ones((9, 8)), -np.ones((2, 8))])
+    assert neighbours.search_block(code, 3, np.array([0]), np.ones((1, 8)), ids, rows)[1].tolist() == [1, 2, 3]
+
+
 def test_recall_of_neighbours(spark):
     data = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
     true = set(exact(list(zip(data.vec_id, data.embedding)), 5))

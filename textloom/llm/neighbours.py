@@ -11,9 +11,12 @@ Search: the index is cut into blocks, and each block has a table for each
 most r // m bits in one of m substrings, so probing all substring values that
 near finds every such code.  Those within the radius are ranked again by
 cosine on the original vectors, in double precision.  Where a block holds
-fewer than k codes within the radius, all its rows are ranked, so that each
+fewer than k ids within the radius, all its rows are ranked, so that each
 query gets k neighbours whenever there are so many.
 
+Rows that repeat an id, with the same or another vector, are one candidate or
+one query: the score of two ids is the best of any of their rows.
+
 Vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part, nor do null ids.  Rows with the query's
 own id are its own.  An empty table gives an empty result.
@@ -113,10 +116,13 @@ def probe(code: BinaryCode, queries: np.ndarray, index: np.ndarray) -> np.ndarra
 
 
 def search_block(code: BinaryCode, k: int, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of one block to each query: query ids, ids, cosines."""
+    """The k nearest ids of one block to each query, each id once with its best row: query ids, ids, cosines."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+    named = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     own = query_ids[:, None] == ids[None, :]
     found = probe(code, code.encode(queries), code.encode(vectors)) & ~own
-    few = found.sum(axis=1) < k
+    few = (found if len(named) == len(ids) else np.logical_or.reduceat(found, named, axis=1)).sum(axis=1) < k
     found[few] = ~own[few]
     norm_q, norm_v = np.sqrt(np.einsum("ij,ij->i", queries, queries)), np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     out = []
@@ -124,6 +130,10 @@ def search_block(code: BinaryCode, k: int, query_ids: np.ndarray, queries: np.nd
         q, v = np.nonzero(found[first : first + 64])
         q += first
         score = np.einsum("ij,ij->i", queries[q], vectors[v]) / (norm_q[q] * norm_v[v])
+        if len(named) < len(ids) and len(q):
+            # an id's rows lie together
+            once = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (ids[v[1:]] != ids[v[:-1]])])
+            q, v, score = q[once], v[once], np.maximum.reduceat(score, once)
         order = np.lexsort((ids[v], -score, q))
         q, v, score = q[order], v[order], score[order]
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
@@ -174,7 +184,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return spark.createDataFrame([], schema)
     dims, total = sizes[0]["dims"], sizes[0]["count"]
     taken = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / total))
-    sample = rows.where((F.size("vector") == dims) & taken).select("id", "vector").toPandas().sort_values("id")
+    # one row of each id, so that an id's own repeats are not what the radius is fitted on
+    sample = rows.where((F.size("vector") == dims) & taken).groupBy("id").agg(F.min("vector").alias("vector")).toPandas().sort_values("id")
     if not len(sample):
         sample = rows.where(F.size("vector") == dims).limit(SAMPLE_ROWS).select("id", "vector").toPandas()
     code = spark.sparkContext.broadcast(fit(np.stack(sample["vector"]), k))
@@ -182,7 +193,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     # each block of queries meets each block of the index once; both are dealt over the same cells
     cells = cells or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _packed(rows, BLOCK_ROWS, dims).withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)))
-    asked = _packed(asked.dropDuplicates(["id"]), QUERY_ROWS, dims).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"))
+    asked = _packed(asked.dropDuplicates(["id", "vector"]), QUERY_ROWS, dims).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"))
     met = blocks.join(asked, "cell").select("query_ids", "query_vectors", "ids", "vectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
