@@ -88,6 +88,20 @@ def test_near_dedup_keeps_one_of_each_class(spark, docs):
     assert kept.where("doc_id = 5").count() <= 1
 
 
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"v{rng.randrange(500)}" for _ in range(40)) for _ in range(4))
+    # 7: two texts near nothing, one of them twice; 9: a copy of 1 and a text of its own; 5: two near texts
+    given = [(1, a), (9, a), (9, b), (7, c), (7, d), (7, c), (9, None), (5, c + " x y"), (5, c + " x z"), (3, None), (None, a)]
+    given = [(i, t, "n") for i, t in given]
+    kept = near_dedup.deduplicate(spark.createDataFrame(given, "doc_id long, text string, key string").repartition(3))
+    assert kept.columns == ["doc_id", "text", "key"]
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    of_five = [k for k in found if k[0] == 5]
+    assert len(of_five) == 1 and found.pop(of_five[0]) == 1
+    assert found == Counter([(1, a), (9, b), (7, d), (9, None), (3, None), (None, a)])
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     elements = rng.integers(0, 1 << 63, 400).astype(np.uint64)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import UPPER, Scratch, is_empty, small_side, text_key
+from textloom.llm.common import UPPER, Scratch, free_name, is_empty, small_side, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -236,7 +236,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (the least id of its class), and ``content``, the key of its words."""
+    """One row per document: doc_id, class_id (the least id of its class), ``content``, the key of its words, ``key`` of its text, and class_key.
+
+    An id may have several texts, in one class or in several; class_id and class_key together name a class."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.table(_signed(docs))
@@ -297,23 +299,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         rounds += 1
 
-    named = signed.where(F.col("content").isNotNull()).select("doc_id", "content").join(nodes.select("content", "node"), "content").join(roots, "node", "left")
-    named = named.select("doc_id", "content", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    alone = signed.where(F.col("content").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), "content")
-    return named.join(least, "root").select("doc_id", "class_id", "content").unionByName(alone)
+    named = signed.where(F.col("content").isNotNull()).select("doc_id", "key", "content").join(nodes.select("content", "node"), "content").join(roots, "node", "left")
+    named = named.select("doc_id", "key", "content", F.coalesce("root", "node").alias("root"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first")
+    least = named.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"))
+    alone = signed.where(F.col("content").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), "content", "key", F.col("key").alias("class_key"))
+    return named.join(least, "root").select("doc_id", "class_id", "content", "key", "class_key").unionByName(alone)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents, one of each class: the one with the least id.  The columns stay.
 
-    Documents without id or text stay; of rows that repeat that id in one class, one stays."""
+    Documents without id or text stay; of rows that repeat that id in one class, one stays.  Unlike texts
+    under one id are documents of their own."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     found = scratch.table(classes(docs))
-    gone = scratch.table(found.where("doc_id != class_id").select("doc_id").distinct())
-    kept = docs.join(small_side(gone), "doc_id", "left_anti")
-    twice = scratch.table(found.where("doc_id = class_id AND content IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    name = free_name(docs, "key")
+    own = docs.withColumn(name, text_key(F.col("text")))
+    of = lambda t: (own["doc_id"] == t["doc_id"]) & (own[name] == t["key"])
+    gone = small_side(scratch.table(found.where(F.col("doc_id").isNotNull() & ~stays).select("doc_id", "key").distinct()))
+    kept = own.join(gone, of(gone), "left_anti")
+    twice = scratch.table(found.where(stays & F.col("content").isNotNull()).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
     if is_empty(twice):
-        return kept
+        return kept.drop(name)
     twice = small_side(twice)
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(twice, of(twice), "left_semi").dropDuplicates(["doc_id", name])
+    return kept.join(twice, of(twice), "left_anti").unionByName(once).drop(name)
