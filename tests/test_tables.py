@@ -185,6 +185,21 @@ def test_word_piece_and_limits(spark):
     assert max(map(len, BpeTrainer(100, max_token_length=2).train(counts).vocab)) <= 2
 
 
+def test_long_pairs_do_not_crowd_out_admissible_ones(spark):
+    # 70 pairs that merges gave rise to are too long and more frequent than the one that may be merged
+    words = [(f" {chr(0x400 + i)}a  {chr(0x500 + i)} ", 100) for i in range(70)] + [(" x  y ", 5)]
+    sizes = {s: len(s) for w, _ in words for s in w.split()}
+    table = spark.createDataFrame(words, "symbols string, count long")
+    vocab = {s: i for i, s in enumerate(sizes)}
+    assert BpeTrainer(max_token_length=2)._independent_pairs(table, vocab, sizes) == [("x", "y")]
+    assert BpeTrainer(max_token_length=3)._independent_pairs(table, vocab, sizes) == [("x", "y")]
+    assert len(BpeTrainer(max_token_length=4)._independent_pairs(table, vocab, sizes)) > 1
+    # pairs of first symbols always count, longer ones below the limit
+    counts = spark.createDataFrame([("abc", 9), ("ab", 4)], "word string, count long")
+    for most, made in ((1, {"ab"}), (3, {"ab"}), (4, {"ab", "abc"})):
+        assert set(BpeTrainer(100, max_token_length=most).train(counts).vocab) == {*"abc"} | made
+
+
 def test_unigram_seeds_and_training(spark):
     counts = spark.createDataFrame([("This is a", 1), ("こんにちは友達", 1)], "word string, count long")
     seeds = {r.piece: r.score for r in UnigramTrainer().seeds(counts).collect()}

@@ -134,14 +134,18 @@ class BpeTrainer:
         second = F.when(third, F.struct(F.col("b").alias("a"), F.col("c").alias("b"), F.lit(0).cast("long").alias("n"), F.col("n").alias("follows")))
         both = triples.select(F.explode(F.array_compact(F.array(first, second))).alias("p")).select("p.*")
         pairs = both.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("follows").alias("follows")).where(F.col("n") >= max(self.min_frequency, 1))
+        if self.max_token_length is not None:
+            # pairs of first symbols always count; of those that merges give rise to, only the shorter ones
+            known = [(t.replace(" ", _SPACE), n) for t, n in sizes.items()]
+            size = lambda c: F.broadcast(words.sparkSession.createDataFrame(known, f"{c} string, size_{c} int"))
+            length = F.col("size_a") + F.col("size_b")
+            pairs = pairs.join(size("a"), "a").join(size("b"), "b").where((length == 2) | (length < self.max_token_length)).select("a", "b", "n", "follows")
         found = pairs.orderBy(F.desc("n")).limit(most + 1).collect()
         if len(found) > most and found[0]["n"] == found[-1]["n"]:
             found = pairs.where(F.col("n") == found[0]["n"]).collect()
         elif len(found) > most:  # there may be more as frequent as the last
             found = [r for r in found if r["n"] > found[-1]["n"]]
         top = [(r["n"], r["a"].replace(_SPACE, " "), r["b"].replace(_SPACE, " "), r["follows"]) for r in found]
-        if self.max_token_length is not None:
-            top = [t for t in top if sizes[t[1]] + sizes[t[2]] <= self.max_token_length]
         top.sort(key=lambda t: (-t[0], vocab[t[1]], vocab[t[2]]))
         out, used, bound = [], set(), 0
         for n, a, b, follows in top:
