@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by multi-index hashing.
+"""Approximate nearest neighbours by a scan of learned binary codes.
 
 Codes: normalised vectors are centred and turned by several learned rotations
 (iterative quantisation from different starts); the signs are the bits.  Mean,
@@ -6,10 +6,11 @@ rotations and radius are fitted on a bounded sample (``SAMPLE_ROWS``); every
 row is indexed.  The radius is the Hamming distance within which
 ``RADIUS_SHARE`` of the sample's true neighbours lie.
 
-Search: the index is cut into blocks, and each block has a table for each
-8-bit substring of the code.  A code within radius r of a query differs by at
-most r // m bits in one of m substrings, so probing all substring values that
-near finds every such code.  Those within the radius are ranked again by
+Search: the index is cut into blocks.  A code within radius r of a query
+differs by at most r // m bits in one of m substrings of 8 bits, so marking all
+substring values that near finds every such code.  At the radii that recall
+needs this marks nearly all codes (README), and the Hamming distances of all
+pairs of a block, which are computed as well, decide.  Those within the radius are ranked again by
 cosine on the original vectors, in double precision.  Where a block holds
 fewer than k ids within the radius, all its rows are ranked, so that each
 query gets k neighbours whenever there are so many.
@@ -105,7 +106,7 @@ def fit(sample: np.ndarray, k: int = 5) -> BinaryCode:
 
 
 def probe(code: BinaryCode, queries: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Which of the index's codes are within the radius of each query, found through the substrings' tables."""
+    """Which of the index's codes are within the radius of each query, by substrings and then by whole distances."""
     reach = code.radius // code.substrings
     values = np.arange(256, dtype=np.uint8)
     found = np.zeros((len(queries), len(index)), bool)
