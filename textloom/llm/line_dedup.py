@@ -14,10 +14,15 @@ predecessor does not continue the same copy, a maximal run starts; its length
 is the longest common prefix with the first occurrence, summed up from the
 levels.  Those lines are deleted; first occurrences stay.
 
+The texts themselves are shuffled only for documents that may hold a copy: a
+bitmap of bounded size tells most others apart, which go straight through.
+
 Rows that repeat id and text are one document and get one result.  Null ids
 come last.  Null texts stay null; blank lines stay, but a text of which every
 non-blank line goes becomes empty.  Shorter repeats than ``MIN_WORDS`` words
-(counted between spaces) are left alone.
+(counted between spaces) are left alone.  Long texts are cut into lines like
+others.  Columns named n_lines or n_deleted are replaced; any other names may
+occur.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, is_empty, text_key
+from textloom.llm.common import HOT_SHARE, SALTS, Scratch, is_empty, key_filter, may_hold, packed, salted_join, text_key
 
 #: Words that a repeated run must have.
 MIN_WORDS = 8
 _LAST = (1 << 63) - 1
 _PLACE = ["doc", "key", "pos"]
+_SOURCE = ["src_doc", "src_key", "src_pos"]
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -52,20 +58,21 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _ranked(rows: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
     """Replaces the columns ``by`` by ``rank``, their place in sorted order; values that occur once go."""
-    repeated = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    repeated = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
     ranks = scratch.table(repeated.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
-    return scratch.table(rows.join(ranks, by).drop(*by))
+    return salted_join(rows, ranks, by, _PLACE).drop(*by)
 
 
 def suffix_levels(docs: DataFrame, min_words: int, scratch: Scratch) -> list[DataFrame]:
     """Ranks of the repeated suffixes by their first 1, 2, 4, ... lines."""
     lines = scratch.table(_lines(docs, min_words))
-    levels = [_ranked(lines, ["a", "b"], scratch)]
+    # rows that repeat a document give its lines again, which are one place each
+    levels = [scratch.table(_ranked(lines, ["a", "b"], scratch).distinct())]
     while True:
         reach = 1 << (len(levels) - 1)
         ahead = Window.partitionBy("doc", "key").orderBy("pos").rangeBetween(reach, reach)
         pairs = levels[-1].withColumnRenamed("rank", "r").withColumn("s", F.max("r").over(ahead)).where(F.col("s").isNotNull())
-        level = _ranked(pairs, ["r", "s"], scratch)
+        level = scratch.table(_ranked(pairs, ["r", "s"], scratch))
         if is_empty(level):
             return levels
         levels.append(level)
@@ -82,10 +89,18 @@ def _joined(rows: DataFrame, level: DataFrame, doc: str, key: str, pos: Column,
     return left.join(right, (left[doc] == right["at_doc"]) & (left[key] == right["at_key"]) & (left["__pos"] == right["at_pos"]), how).drop("at_doc", "at_key", "at_pos", "__pos")
 
 
-def copied_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """Maximal runs that are later copies: doc, key, pos, lines."""
-    scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
-    levels = suffix_levels(docs, min_words, scratch)
+def _joined_at_source(runs: DataFrame, level: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds the rank ``theirs`` at a run's source.  Places of the few documents ``hot`` are there once for each salt."""
+    side = _at(level, "theirs").withColumn("at_salt", F.lit(0).cast("long"))
+    copies = side.drop("at_salt").join(F.broadcast(hot), (F.col("at_doc") == F.col("hot_doc")) & (F.col("at_key") == F.col("hot_key"))).drop("hot_doc", "hot_key")
+    side = side.unionByName(copies.withColumn("at_salt", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SALTS).cast("long")))))
+    left = runs.withColumn("__pos", F.col("src_pos") + F.col("lines"))
+    met = left.join(side, (left["src_doc"] == side["at_doc"]) & (left["src_key"] == side["at_key"]) & (left["__pos"] == side["at_pos"]) & (left["salt"] == side["at_salt"]), "left")
+    return met.drop("at_doc", "at_key", "at_pos", "at_salt", "__pos")
+
+
+def _first_runs(levels: list[DataFrame], min_words: int, scratch: Scratch) -> DataFrame:
+    """Places of runs of ``min_words`` words that are later copies, and where each run stands first."""
     keyed = None
     for k, level in enumerate(levels):
         size = 1 << k
@@ -95,39 +110,63 @@ def copied_runs(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch |
         part = _joined(wanted, level, "doc", "key", F.col("pos") + F.col("need") - size, "tail", "inner")
         keyed = part if keyed is None else keyed.unionByName(part)
     # rank and tail fix the run, for a run's words fix how many lines it takes
-    keyed = scratch.table(keyed.distinct())
+    run = ["need", "rank", "tail"]
+    keyed = scratch.table(keyed)
     place = F.struct(*_PLACE)
-    firsts = keyed.groupBy("need", "rank", "tail").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).drop("last")
-    later = keyed.join(firsts, ["need", "rank", "tail"]).where(place != F.col("first"))
-    later = later.select(*_PLACE, "need", F.col("first.doc").alias("src_doc"), F.col("first.key").alias("src_key"), F.col("first.pos").alias("src_pos"))
+    firsts = scratch.table(keyed.groupBy(*run).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = salted_join(keyed, firsts, run, _PLACE).where(place != F.col("first"))
+    return later.select(*_PLACE, "need", F.col("first.doc").alias("src_doc"), F.col("first.key").alias("src_key"), F.col("first.pos").alias("src_pos"))
+
+
+def copied_runs(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """Maximal runs that are later copies: doc, key, pos, lines."""
+    levels = suffix_levels(docs, min_words, scratch)
+    later = _first_runs(levels, min_words, scratch)
     before = Window.partitionBy("doc", "key").orderBy("pos").rangeBetween(-1, -1)
-    source = F.struct("src_doc", "src_key", "src_pos")
-    previous = F.max(source).over(before)
+    previous = F.max(F.struct(*_SOURCE)).over(before)
     continues = (previous["src_doc"] == F.col("src_doc")) & (previous["src_key"] == F.col("src_key")) & (previous["src_pos"] + 1 == F.col("src_pos"))
     runs = scratch.table(later.withColumn("continues", F.coalesce(continues, F.lit(False))).where(~F.col("continues")).drop("continues").withColumn("lines", F.col("need")))
+    # at most 1 / HOT_SHARE documents can be the source of more than that share of the runs
+    hot = runs.groupBy(F.col("src_doc").alias("hot_doc"), F.col("src_key").alias("hot_key")).count().where(F.col("count") > runs.count() * HOT_SHARE).drop("count")
+    hot = scratch.table(hot)
+    salt = F.when(F.col("hot_doc").isNotNull(), F.pmod(F.xxhash64(*_PLACE), F.lit(SALTS)) + 1).otherwise(0)
+    runs = runs.join(F.broadcast(hot), (F.col("src_doc") == F.col("hot_doc")) & (F.col("src_key") == F.col("hot_key")), "left").withColumn("salt", salt).drop("hot_doc", "hot_key")
     for k in reversed(range(len(levels))):
         runs = _joined(runs, levels[k], "doc", "key", F.col("pos") + F.col("lines"), "own", "left")
-        runs = _joined(runs, levels[k], "src_doc", "src_key", F.col("src_pos") + F.col("lines"), "theirs", "left")
+        runs = _joined_at_source(runs, levels[k], hot)
         more = F.when(F.col("own") == F.col("theirs"), 1 << k).otherwise(0)
         runs = runs.withColumn("lines", F.col("lines") + more).drop("own", "theirs")
     return runs.select(*_PLACE, "lines")
 
 
+def _without(text: Column, cuts: Column) -> tuple[Column, Column]:
+    """A text without the runs ``cuts`` of its non-blank lines, and how many lines these are."""
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    filled = F.filter(numbered, lambda z: F.trim(z["line"]) != "")
+    blank = F.filter(numbered, lambda z: F.trim(z["line"]) == "")
+    kept = F.filter(filled, lambda z, p: ~F.exists(cuts, lambda c: (c["pos"] <= p) & (p < c["stop"])))
+    rest = F.array_join(F.transform(F.sort_array(F.concat(kept, blank)), lambda z: z["line"]), "\n")
+    return F.when(F.size(kept) > 0, rest).otherwise(""), F.size(filled) - F.size(kept)
+
+
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with later copies deleted from ``text``; adds ``n_lines`` and ``n_deleted``, in place of columns of these names."""
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    runs = copied_runs(docs, min_words, scratch)
-    cuts = scratch.table(runs.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.sort_array(F.collect_set(F.struct("pos", (F.col("pos") + F.col("lines")).alias("stop")))).alias("__cuts")))
-    own = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__text_key", text_key(F.col("text")))
-    met = own.join(cuts, (own["__own"] == cuts["__doc"]) & (own["__text_key"] == cuts["__key"]) & own["text"].isNotNull(), "left")
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    met = met.withColumn("__lines", numbered).withColumn("__filled", F.filter("__lines", lambda z: F.trim(z["line"]) != ""))
-    within = lambda p: F.exists("__cuts", lambda c: (c["pos"] <= p) & (p < c["stop"]))
-    met = met.withColumn("__kept", F.when(F.col("__cuts").isNotNull(), F.filter("__filled", lambda z, p: ~within(p))))
-    blank = F.filter("__lines", lambda z: F.trim(z["line"]) == "")
-    rest = F.array_join(F.transform(F.sort_array(F.concat("__kept", blank)), lambda z: z["line"]), "\n")
-    text = F.when(F.col("__cuts").isNull(), F.col("text")).when(F.size("__kept") > 0, rest).otherwise("")
-    lines = F.coalesce(F.size("__filled"), F.lit(0)).cast("long")
-    gone = F.when(F.col("__cuts").isNull(), 0).otherwise(lines - F.size("__kept")).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    return met.select(*columns, lines.alias("n_lines"), gone.alias("n_deleted"))
+    with Scratch(docs.sparkSession, "line-dedup-work") as work:
+        runs = copied_runs(docs, min_words, work)
+        spans = F.sort_array(F.collect_set(F.struct("pos", (F.col("pos") + F.col("lines")).alias("stop"))))
+        cuts = Scratch(docs.sparkSession, "line-dedup").table(runs.groupBy("doc", "key").agg(spans.alias("cuts")))
+    row_text = F.col("row.text")
+    own = packed(docs.drop("n_lines", "n_deleted")).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST)).alias("doc"), text_key(row_text).alias("key"))
+    own = may_hold(own, key_filter(cuts, "doc", "key"), "may", F.col("doc"), F.col("key")).withColumn("may", F.col("may") & row_text.isNotNull())
+    met = own.where("may").drop("may").join(cuts.hint("merge"), ["doc", "key"], "left").select("row", "cuts")
+    through = own.where("NOT may").select("row", F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
+
+    def shaped(rows: DataFrame, text: Column, deleted: Column) -> DataFrame:
+        filled = F.filter(F.split(row_text, "\n"), lambda x: F.trim(x) != "")
+        made = rows.select("row", text.alias("text"), F.coalesce(F.size(filled), F.lit(0)).cast("long").alias("n_lines"), deleted.cast("long").alias("n_deleted"))
+        columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_deleted")]
+        return made.select(*columns, "n_lines", "n_deleted")
+
+    text, deleted = _without(row_text, F.col("cuts"))
+    cut = F.col("cuts").isNotNull()
+    return shaped(met, F.when(cut, text).otherwise(row_text), F.when(cut, deleted).otherwise(0)).unionByName(shaped(through, row_text, F.lit(0)))
