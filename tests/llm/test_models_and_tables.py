@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm import bpe_codec, language_id, neighbours, queries, sharding, token_rollups, toxicity, url_reputation
 
+from textloom.llm.common import Scratch, vocabulary
+
 SF = "/root/testdata/sf0.001"
 RANKS = bpe_codec.default_ranks()
 
@@ -54,6 +56,33 @@ def test_encode_and_decode_tables(spark):
     assert bpe_codec.digests(docs.limit(0)).count() == 0
 
 
+def test_codec_equals_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\t", "don't", "'ll", "é", "e\u0301", "中文", "😀", "\u00a0", "word", "Über", "1234", "!!", "\u200b", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(700)]
+    texts += [" " * 40_000, "a" * 70_000, "<|endoftext|>" * 4000, "ab cd " * 20_000, *pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.fillna("")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = {}
+    for i, (t, e) in enumerate(zip(texts, library.encode_batch(texts, add_special_tokens=False))):
+        expected[i] = (len(e.ids), digest(",".join(map(str, e.ids))), digest(library.decode(e.ids, skip_special_tokens=False)))
+    found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_codec.digests(docs).collect()}
+    assert found == expected
+    ids = {r.doc_id: r.token_ids for r in bpe_codec.encode(docs.where("doc_id < 700"), long_chars=64).collect()}
+    assert all(ids[i] == library.encode(texts[i], add_special_tokens=False).ids for i in range(700))
+
+
+def test_encode_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "ab " * 300, 5, "k", "p"), (2, "x", 6, "l", "q")], "doc_id long, text string, ids int, key string, piece string").withColumn("row", F.lit(1)).withColumn("part", F.lit(2))
+    made = bpe_codec.encode(docs, long_chars=64)
+    assert made.columns == [*docs.columns, "token_ids"] and sorted((r.doc_id, r.ids, r.key, r.row) for r in made.collect()) == [(1, 5, "k", 1), (2, 6, "l", 1)]
+
+
 # -- rollups
 
 
@@ -64,7 +93,10 @@ def test_ledger_is_idempotent(spark, tmp_path):
     ledger.commit("b1", first)
     ledger.commit("b1", first)
     ledger.commit("b2", change(("delete", "a", "en", "v1", 5, None), ("revise", None, "en", "v1", 9, 7), ("delete", "b", None, "v1", None, None)))
+    ledger.commit("b3", change(("insert", "z", "z", "z", 1, None)))
     ledger.commit("b3", change(("insert", "z", "z", "z", 1, None)).limit(0))
+    with pytest.raises(ValueError):
+        ledger.commit("../b4", first)
     found = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in ledger.totals().collect()}
     assert found == {("a", "en", "v1"): (1, 10), (None, "en", "v1"): (1, 9)}
     folded = ledger.compact(f"file://{tmp_path}/folded", "c1")
@@ -75,7 +107,7 @@ def test_rollup_query_equals_direct_counts(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     found = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in queries.op3_token_rollups(spark, SF).collect()}
     for name, path in token_rollups.default_versions().items():
-        sizes = docs.text.map(lambda t: len(bpe_codec.codec(path).encode_ordinary(t)))
+        sizes = docs.text.map(lambda t: len(bpe_codec.encode_text(path, t)))
         for key, n in sizes.groupby([docs.source, docs.lang]):
             assert found[(*key, name)] == (len(n), int(n.sum()))
 
@@ -86,6 +118,8 @@ def test_rollups_of_odd_documents(spark):
     found = {(r.source, r.lang, r.tokenizer): r.docs for r in token_rollups.maintained_totals(docs).collect()}
     assert {k[:2] for k in found} == {("a", None), (None, None)} and set(found.values()) == {2, 1}
     assert token_rollups.maintained_totals(docs.limit(0)).count() == 0
+    long = docs.limit(1).withColumn("text", F.repeat(F.lit("word and word "), 30_000)).withColumn("batch_id", F.lit("b")).withColumn("op", F.lit("delete"))
+    assert all(r.docs == 1 and r.tokens > 60_000 for r in token_rollups.maintained_totals(long).collect())
 
 
 # -- toxicity
@@ -95,11 +129,50 @@ def test_grammar_scores_clauses():
     model = toxicity.ToxicityModel({"idiot": 4.0}, {"scum": 3.0}, np.array([0.0] * 6))
     score = lambda text: sum(model.clauses(text)[0])
     assert score("what a lovely day") == 0 and score("") == 0 and score(None) == 0
-    assert score("you are an idiot") > score("an idiot") > score("not an idiot") > 0
-    assert score("they said an idiot came") < score("an idiot came") + 2
-    assert score("kill the lights") == 0 < score("you i will kill")
+    assert score("you are an idiot") == score("an idiot like you") > score("an idiot") > score("not an idiot") > 0
+    assert score("they said an idiot came") < score("an idiot came") * toxicity.AIM
+    assert score("kill the lights") == 0 < score("I will kill you") == score("kill you") == score("beat them all") == score("you i will kill")
+    assert 0 < score("do not kill them") < score("kill them")
     assert score("scumbags") > 0
     assert len(model.clauses("idiot! idiot. fine")[0]) == 2
+    # a quotation that a speech verb opens is weakened to its end, beyond clauses, and what follows is not
+    quoted = model.clauses('he said "an idiot. an idiot" then. an idiot')[0]
+    assert quoted == pytest.approx([4.0 * 0.7 * toxicity.AIM, 4.0 * 0.7, 4.0])
+    assert model.clauses('an "idiot"')[0] == [4.0]
+
+
+def test_composed_machine_equals_its_parts_in_turn():
+    rng = random.Random(5)
+    parts = [toxicity.negated(), toxicity.reported(), toxicity.aimed(), toxicity.weighed()]
+    _, machine = toxicity.grammar()
+    for _ in range(400):
+        tags = [rng.choice(toxicity.TAGS) for _ in range(rng.randint(0, 25))]
+        turn, weights = tags, [1.0] * len(tags)
+        for part in parts:
+            out = part.run(turn)[0]
+            turn, weights = [tag for tag, _ in out], [w * v for w, (_, v) in zip(weights, out)]
+        made = machine.run(tags)[0]
+        assert [t for t, _ in made] == turn and [w for _, w in made] == pytest.approx(weights)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text").unionByName(spark.range(20_000).selectExpr("id + 5000 AS doc_id", "'one and the same' AS text"))
+    labels = docs.selectExpr("doc_id", "1 AS toxic")
+    with Scratch(spark, "test") as scratch:
+        assert 50 < toxicity.training_sample(docs, labels, scratch, 500).count() <= 700
+
+
+@pytest.mark.parametrize("rate", [1.0, 1e-3, 1e-9, 1e-12])
+def test_hash_limits_do_not_reach_zero(rate):
+    limit = language_id.hash_limit(rate)
+    assert -(1 << 63) < limit < 1 << 63 and abs((limit + (1 << 63)) / (1 << 64) - rate) < 1e-3 * rate
+
+
+def test_toxicity_of_long_texts_and_clashing_columns(spark):
+    model = toxicity.ToxicityModel({"idiot": 4.0}, {}, np.array([-1.0, 1.0, 0.0, 0.0, 0.0, 0.0]))
+    docs = spark.createDataFrame([(1, "fine words " * 100_000 + "you idiot", "x", 1), (1, "fine", "y", 2)], "doc_id long, text string, score string, held_out int")
+    rows = toxicity.score(docs, model).collect()
+    assert sorted((r.score > 0.5, r.held_out) for r in rows) == [(False, 2), (True, 1)]
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -141,12 +214,41 @@ def test_hosts_paths_and_rules(spark):
 
 def test_reputation_shrinks_towards_the_domain(spark):
     rows = [("bad.example.com", 1)] * 60 + [("good.example.com", 0)] * 60 + [("new.example.com", None)] + [("one.other.org", 1)] + [(f"h{i}.other.org", 0) for i in range(50)]
-    found = {r.host: r for r in url_reputation.host_posteriors(spark.createDataFrame(rows, "host string, bad int")).collect()}
-    assert found["bad.example.com"].bad_rate_low > url_reputation.LIMIT > found["good.example.com"].bad_rate
+    given = spark.createDataFrame(rows, "host string, bad int").withColumn("times", F.lit(1))
+    with Scratch(spark, "test") as scratch:
+        found = {r.host: r for r in url_reputation.host_posteriors(given, scratch).collect()}
+    assert found["bad.example.com"].share_above > url_reputation.CERTAINTY and found["good.example.com"].bad_rate < url_reputation.LIMIT
     assert found["good.example.com"].bad_rate < found["new.example.com"].bad_rate < found["bad.example.com"].bad_rate
-    assert found["one.other.org"].bad_rate_low < url_reputation.LIMIT
+    assert found["one.other.org"].share_above < url_reputation.CERTAINTY
     m = found["bad.example.com"]
-    assert m.n == 60 and m.bad == 60 and 0 < m.bad_rate < 1
+    assert m.n == 60 and m.labelled == 60 and m.bad == 60 and 0 < m.bad_rate < 1
+
+
+def test_beta_shares_equal_numeric_integrals(spark):
+    cases = [(a, b) for a in (0.3, 1.0, 2.5, 40.0, 900.0, 4000.0) for b in (0.4, 1.0, 7.0, 130.0, 2700.0, 12_500.0)]
+    rows = spark.createDataFrame(cases, "a double, b double").select("a", "b", url_reputation.share_above(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in rows:
+        # y = x ** a takes the density's pole at 0 away, and the other end is integrated as the rest
+        def below(a, b, x):
+            y = (np.arange(400_000) + 0.5) / 400_000 * x**a
+            f = np.exp((b - 1) * np.log1p(-(y ** (1 / a))) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+            return float(f.sum() * x**a / 400_000)
+
+        low = r.a / (r.a + r.b) > 0.25
+        if max(r.a, r.b) < 500:
+            true = 1 - below(r.a, r.b, 0.25) if low else below(r.b, r.a, 0.75)
+            assert abs(r.p - true) < 1e-4, (r, true)
+        else:
+            assert (r.p > 0.5) == low or abs(r.p - 0.5) < 0.1
+
+
+def test_registered_domains(spark):
+    cases = {"a.b.example.com": "example.com", "x.example.co.uk": "example.co.uk", "u@h.example.org:80": "example.org", "10.0.0.1:8080": "10.0.0.1", "localhost": "localhost", "": "", "co.uk": "co.uk"}
+    host = F.col("host")
+    rows = spark.createDataFrame([(h,) for h in cases], "host string").select(host, url_reputation.registered_domain(host).alias("domain")).collect()
+    assert {r.host: r.domain for r in rows} == cases
+    suffixes = spark.createDataFrame([("example.com",), ("example.co.uk",), ("10.0.0.1",), ("localhost",)], "d string").select(url_reputation.suffix_of(F.col("d")).alias("s")).collect()
+    assert [r.s for r in suffixes] == ["com", "co.uk", "", ""]
 
 
 # -- language
@@ -168,6 +270,55 @@ def test_language_of_odd_texts(spark):
     assert found[103].lang_pred == "en" and not found[None].held_out
     assert language_id.identify(docs.limit(0)).count() == 0
     assert {r.doc_id for r in language_id.accepted(docs).where("doc_id > 99").collect()} == {103}
+    clashing = docs.withColumn("score", F.lit("s")).withColumn("language", F.lit("l")).withColumn("label", F.lit("x"))
+    assert language_id.accepted(clashing).columns == clashing.columns
+    model = language_id.fit(docs)
+    made = language_id.predict(clashing, model, F.col("text"))
+    assert made.columns == ["doc_id", "text", "lang", "language", "label", "lang_pred", "score"] and made.count() == len(rows)
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = ["Всё смешалось в доме Облонских, и жена узнала, что муж был в связи с бывшею в их доме гувернанткой.", "Zażółć gęślą jaźń i pójdź po chleb do sklepu, bo jutro będzie święto i wszystko będzie zamknięte.", "我今天去了北京的商店买了很多东西然后回家吃饭睡觉看电视非常高兴" * 3]
+    rows = spark.createDataFrame([(-i - 1, t, None) for i, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in language_id.accepted(docs.unionByName(rows)).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.where("text RLIKE '[A-Za-z]{3}'").select("doc_id").collect()}
+    assert not kept & {-1, -2, -3} and clean <= kept
+
+
+def test_ftrl_equals_a_plain_version():
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(60):
+        found = np.sort(rng.choice(50, rng.integers(2, 8), replace=False))
+        rows.append((found, rng.random(len(found)), int(rng.integers(0, 3))))
+    z, n = {}, {}
+
+    def weight(c, f):
+        a, b = z.get((c, f), 0.0), n.get((c, f), 0.0)
+        return 0.0 if abs(a) <= language_id.L1 else (math.copysign(language_id.L1, a) - a) / ((language_id.BETA + math.sqrt(b)) / language_id.ALPHA + language_id.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(language_id.EPOCHS):
+        for k in order.permutation(len(rows)):
+            found, x, label = rows[k]
+            w = {(c, f): weight(c, f) for c in range(3) for f in found}
+            logit = [sum(w[c, f] * v for f, v in zip(found, x)) for c in range(3)]
+            total = sum(math.exp(v) for v in logit)
+            for c in range(3):
+                error = math.exp(logit[c]) / total - (c == label)
+                for f, v in zip(found, x):
+                    g, old = error * v, n.get((c, f), 0.0)
+                    n[c, f] = old + g * g
+                    z[c, f] = z.get((c, f), 0.0) + g - (math.sqrt(n[c, f]) - math.sqrt(old)) / language_id.ALPHA * w[c, f]
+    made = language_id.fit_ftrl(rows, 3)
+    assert np.allclose([[made[c, f] for f in range(50)] for c in range(3)], [[weight(c, f) for f in range(50)] for c in range(3)])
+
+
+def test_language_sample_takes_a_repeated_text_once(spark):
+    docs = spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(20_000)] + [(20_000 + i, f"le chien numero {i % 7} dort", "fr") for i in range(300)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample_rows=200)
+    assert model.languages == ("en", "fr") and model.predict("le chien dort")[0] == "fr" and model.predict("the dog")[0] == "en"
 
 
 def test_temperature_makes_probabilities_honest():
@@ -194,8 +345,11 @@ def check_places(rows, shards=8):
 def test_shards_are_even_and_gapless(spark, bucket):
     rng = random.Random(2)
     rows = [(i, "t" * rng.randint(0, 40), 1) for i in range(301)] + [(7, "same", 2)] * 500 + [(None, None, 3)] * 3 + [(9, "y" * 5000, 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(5)
-    made = sharding.external_shuffle(docs, bucket_bytes=bucket).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(5).withColumn("bucket", F.col("slot")).withColumn("__bucket", F.col("slot")).withColumn("order", F.col("slot")).withColumn("row", F.lit("r"))
+    made = sharding.external_shuffle(docs, bucket_bytes=bucket)
+    assert made.columns == ["doc_id", "text", "bucket", "__bucket", "order", "row", "shard", "slot"]
+    made = made.collect()
+    assert all(r.bucket == r["__bucket"] == r.order for r in made) and {r.bucket for r in made} == {1, 2, 3, 4}
     assert sorted((str(r.doc_id), str(r.text)) for r in made) == sorted((str(i), str(t)) for i, t, _ in rows)
     check_places(made)
 
@@ -208,6 +362,17 @@ def test_sharding_query_and_empty_table(spark):
     assert sharding.places(docs.limit(0)).count() == 0
 
 
+def test_sharding_of_the_documents(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    made = queries.op9_sharding(spark, SF).toPandas().merge(docs, on="doc_id")
+    assert len(made) == len(docs) and (made.law == "rows").all() and made.grown_shard.isna().all()
+    raw = made.text.fillna("").map(str.encode)
+    assert (made["size"] == raw.map(len) + 1).all() and (made.text_crc32 == raw.map(zlib.crc32)).all()
+    check_places(list(made.itertuples()))
+    # neighbours of the table are dealt all over
+    assert made.sort_values("doc_id").shard.diff().abs().mean() > 1.5
+
+
 def test_fisher_yates_is_uniform():
     seen = pd.Series([tuple(sharding.fisher_yates(3, [k])) for k in range(6000)]).value_counts()
     assert len(seen) == 6 and seen.between(850, 1150).all()
@@ -257,10 +422,10 @@ def test_repeated_rows_are_one_neighbour(spark):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>")
     found = neighbours.search(table).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == expected
-    # with only the repeats within the radius, the other rows are ranked as well
-    code = neighbours.BinaryCode(np.zeros(8), np.eye(8), 0)
+    # where only the repeats of one id are near, the other rows are ranked as well
+    code = neighbours.BinaryCode(np.zeros(8), np.eye(8), 0.0)
     ids, rows = np.array([1] * 9 + [2, 3]), np.vstack([np.ones((9, 8)), -np.ones((2, 8))])
-    assert neighbours.search_block(code, 3, np.array([0]), np.ones((1, 8)), ids, rows)[1].tolist() == [1, 2, 3]
+    assert neighbours.Block(code, ids, rows).search(3, np.array([0]), np.ones((1, 8)))[1].tolist() == [1, 2, 3]
 
 
 def test_recall_of_neighbours(spark):
@@ -271,9 +436,36 @@ def test_recall_of_neighbours(spark):
     assert len({(r.query_id, r.vec_id) for r in found} & pairs) / len(pairs) >= 0.95
 
 
-def test_probing_finds_every_code_within_the_radius():
+def test_looking_up_finds_every_code_within_the_radius():
     rng = np.random.default_rng(6)
-    sample = rng.standard_normal((500, 16))
-    code = neighbours.fit(sample)
-    codes = code.encode(sample)
-    assert (neighbours.probe(code, codes[:20], codes) == (neighbours.hamming(codes[:20], codes) <= code.radius)).all()
+    codes = rng.integers(0, 256, (3000, 4), dtype=np.uint8)
+    codes = np.pad(codes, ((0, 0), (0, 4)))[:, :8]
+    queries = codes[:40] ^ np.packbits(rng.random((40, 64)) < 0.04, axis=1)
+    tables = neighbours.substring_tables(codes)
+    found = {(int(q), int(v)) for bits in range(neighbours.REACH + 1) for q, v in zip(*neighbours.look_up(tables, queries, bits))}
+    apart = neighbours.hamming(queries, codes)
+    within = set(zip(*(x.tolist() for x in np.nonzero(apart <= len(tables) * (neighbours.REACH + 1) - 1))))
+    assert within <= found and len(within) > 40
+    parts, asked = codes.view(np.uint16), queries.view(np.uint16)
+    near = np.bitwise_count(asked[:, None, :] ^ parts[None, :, :]).min(axis=2) <= neighbours.REACH
+    assert found == set(zip(*(x.tolist() for x in np.nonzero(near))))
+
+
+def test_near_neighbours_are_looked_up_and_few_are_ranked():
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((400, 64))
+    vectors = np.repeat(centres, 20, axis=0) + 0.05 * rng.standard_normal((8000, 64))
+    code = neighbours.fit(vectors[::4])
+    block = neighbours.Block(code, np.arange(8000), vectors)
+    asked = np.arange(0, 8000, 50)
+    q, v, _ = block.search(5, asked, vectors[asked])
+    near = exact_of(vectors, asked)
+    assert len({*zip(q.tolist(), v.tolist())} & near) / len(near) > 0.9
+    assert block.ranked < 0.02 * len(asked) * 8000
+
+
+def exact_of(vectors, asked, k=5):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    return {(int(q), int(v)) for q, row in zip(asked, np.argsort(-near, axis=1)[:, :k]) for v in row}

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from textloom.llm import decontaminate, line_dedup, near_dedup
 from textloom.llm.common import Scratch
 
@@ -166,6 +168,28 @@ def test_line_dedup_equals_brute_force(spark, rows, docs):
     assert Counter((r.doc_id, r.text, r.n_deleted) for r in made.collect()) == expected
 
 
+def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
+    text = "\n".join(f"this is line {i} of a text that many rows repeat as it is" for i in range(40))
+    rows = [(1, text)] + [(2, text)] * 50 + [(3, "one line of its own that stands nowhere else at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("__cuts", "cuts", "row", "doc", "key", "may", "word"):
+        docs = docs.withColumn(name, F.lit(name))
+    made = line_dedup.deduplicate(docs)
+    assert made.columns == [*docs.columns, "n_lines", "n_deleted"]
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_deleted, r["__cuts"]) for r in made.collect()) == Counter({(1, text, 40, 0, "__cuts"): 1, (2, "", 40, 40, "__cuts"): 50, (3, rows[-1][1], 1, 0, "__cuts"): 1})
+    with Scratch(spark, "test") as scratch:
+        assert line_dedup.copied_runs(docs, line_dedup.MIN_WORDS, scratch).count() == 1
+
+
+def test_line_dedup_with_hot_runs_equals_brute_force(spark):
+    # hundreds of documents repeat one passage, so its runs and their source are dealt into salts
+    passage = "\n".join(f"passage line {i} with words enough to be a run of its own" for i in range(3))
+    rows = [(i, f"own words {i} before the passage in this very document\n{passage}\nown words {i} after the passage in this very document") for i in range(300)]
+    lines, gone = brute_lines(rows, line_dedup.MIN_WORDS)
+    made = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_deleted for r in made.collect()} == {i: len(gone[i, t]) for i, t in rows}
+
+
 def brute_contamination(rows, items):
     windows, lengths = defaultdict(set), set()
     for i, t in items:

@@ -8,9 +8,11 @@ side.  From there on both sides are what one pass over the text would give,
 for the split pattern looks ahead by few characters, and a token sequence of a
 rank-ordered merge list is right exactly if each neighbouring pair of it is.
 
-Null and empty texts have no tokens.  A text that occurs in many documents is
-cut and encoded once.  All other columns pass through unchanged; one with the
-name of a new column is replaced.
+Null and empty texts have no tokens.  A long text that occurs in many documents
+is encoded once, piece by piece, and its pieces are joined in one task, which
+holds one text.  All other columns pass through unchanged, whatever their
+names; one with the name of a new column is replaced.  An empty table gives an
+empty result, and rows that repeat get the same result each.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import free_name
+from textloom.llm.common import packed, split_pattern, vocabulary
 
 #: Texts beyond this many characters are cut into halves.
 LONG_CHARS = 32_768
@@ -38,21 +40,18 @@ END_OF_TEXT = "<|endoftext|>"
 
 
 def default_ranks() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return vocabulary("byte_bpe_50k.tiktoken")
 
 
 @functools.cache
 def codec(path: str):
     """The encoding of a rank file, loaded once in each Python worker."""
-    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     end = max(ranks.values()) + 1
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: end})
+    return tiktoken.Encoding("ranks", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={END_OF_TEXT: end})
 
 
 def encode_text(path: str, text: str) -> np.ndarray:
@@ -94,6 +93,14 @@ def join_tree(path: str, parts: list[tuple[bytes, np.ndarray]], window: int = WI
     return parts[0][1] if parts else np.zeros(0, np.int32)
 
 
+def halves(text: str, most: int) -> list[str]:
+    """The text in order, halved until no piece has more than ``most`` characters."""
+    if len(text) <= max(most, 1):
+        return [text]
+    middle = len(text) // 2
+    return halves(text[:middle], most) + halves(text[middle:], most)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
@@ -131,18 +138,11 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
     is_long = F.coalesce(length > long_chars, F.lit(False))
     short = docs.where(~is_long).mapInArrow(each, schema)
 
-    key = free_name(docs, "__text_key")
-    long = docs.where(is_long).withColumn(key, F.sha2(text, 256))
-    halvings = F.ceil(F.log2(length / F.lit(long_chars))).cast("int")
-    pieces = F.pow(F.lit(2), halvings).cast("int")
-    start = (F.col("length") * F.col("part") / F.col("parts")).cast("int")
-    stop = (F.col("length") * (F.col("part") + 1) / F.col("parts")).cast("int")
-    cut = (
-        long.select(F.col(key).alias("key"), text.alias("whole"), length.cast("long").alias("length"), pieces.alias("parts"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "part", F.substring(F.col("whole"), start + 1, stop - start).alias("piece"))
-        .dropDuplicates(["key", "part"])
-    )
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, whole in zip(batch.column("key"), batch.column("whole")):
+                pieces = halves(whole.as_py(), long_chars)
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key.as_py()] * len(pieces)), "part": pa.array(range(len(pieces)), pa.int32()), "piece": pieces})
 
     def each_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small_batches(batches, "piece"):
@@ -153,9 +153,12 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
         ids = join_tree(path, [(piece.encode(), part) for _, piece, part in rows])
         return pa.table({"key": table["key"][:1], "ids": _lists([ids])})
 
-    joined = cut.mapInArrow(each_piece, "key string, part int, piece string, ids array<int>").groupBy("key").applyInArrow(whole, "key string, ids array<int>")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    long = long.join(joined, long[key] == joined["key"]).select(*columns, F.col("ids").alias(ids_col))
+    long = packed(docs.where(is_long)).withColumn("key", F.sha2(F.col(f"row.`{text_col}`"), 256))
+    pieces = long.select("key", F.col(f"row.`{text_col}`").alias("whole")).mapInArrow(cut, "key string, part int, piece string")
+    # one copy of each piece; it is also dealt by piece, so that the halves of one text are encoded in many tasks
+    pieces = pieces.groupBy("key", "part").agg(F.first("piece").alias("piece"))
+    joined = pieces.mapInArrow(each_piece, "key string, part int, piece string, ids array<int>").groupBy("key").applyInArrow(whole, "key string, ids array<int>")
+    long = long.join(joined, "key").select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("ids").alias(ids_col))
     return short.unionByName(long)
 
 

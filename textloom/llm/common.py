@@ -29,6 +29,20 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+def vocabulary(name: str) -> str:
+    """The file of a public tokenizer's vocabulary; only this function and the next know where these are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    """The pattern by which those vocabularies split texts."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines share.  A local one is made only where none is set and Spark is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)

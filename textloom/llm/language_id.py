@@ -8,6 +8,9 @@ temperature that calibrates the probabilities.
 
 A text that is null or has no letter gets ``und`` and score 0, and so does
 every text if there is no labelled row.  Null labels are not learnt from.
+Texts are read whole, however long.  A text that many rows repeat enters the
+sample once, and rows that repeat get the same result.  ``predict`` replaces
+columns named lang_pred and score; any other names may occur.
 """
 
 from __future__ import annotations
@@ -22,14 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import free_name
+
 UNDETERMINED = "und"
 FEATURES = 1 << 15
 MOST_CHARS = 3
 #: Most labelled rows that the weights are fitted on, about.
 SAMPLE_ROWS = 8192
+#: Most languages that dense weights are kept and broadcast for (128 MB).
+MOST_LANGUAGES = 512
+#: Texts of so many n-grams at least are rejected if their n-grams are rarer, by this factor, than in almost all learned texts.
+JUDGED_GRAMS, RARER = 40, 1.33
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-4
-_PARTS = 1 << 20
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -56,21 +64,33 @@ def weighted(grams: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.
     return found, x / max(float(np.linalg.norm(x)), 1e-12)
 
 
+def rarity(grams: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
+    """Mean inverse document frequency of a text's n-grams."""
+    found, counts = grams
+    return float((counts * idf[found]).sum() / counts.sum())
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
     idf: np.ndarray
     weights: np.ndarray
     temperature: float
+    rarity_limit: float = float("inf")
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the n-grams are so rare in the corpus that the text is in no learned language."""
         grams = ngram_counts(text)
         if grams is None or not self.languages:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, False
         found, x = weighted(grams, self.idf)
         p = _softmax(self.weights[:, found] @ x / self.temperature)
         k = int(p.argmax())
-        return self.languages[k], float(p[k])
+        foreign = int(grams[1].sum()) >= JUDGED_GRAMS and rarity(grams, self.idf) > self.rarity_limit
+        return self.languages[k], float(p[k]), foreign
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -137,41 +157,55 @@ def document_frequencies(texts: DataFrame, text_col: str) -> tuple[np.ndarray, i
     return frequencies, total
 
 
-def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
+def hash_limit(rate: float) -> int:
+    """The signed 64-bit value up to which hashes are drawn at ``rate``; it does not come down to none for small rates."""
+    return min(int(-(1 << 63) + min(rate, 1.0) * (1 << 64)), (1 << 63) - 1)
+
+
+def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fits a model on labelled rows; the sample's bound is ``sample_rows``."""
-    labelled = train.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("label").count().toPandas()
-    languages = tuple(sorted(sizes.label))
+    labelled = train.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(id_col).alias("id")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    languages = tuple(sorted(sizes))
     frequencies, total = document_frequencies(labelled, "text")
     idf = np.log((1 + total) / (1 + frequencies)) + 1
     if not languages:
         return LanguageModel((), idf, np.zeros((0, FEATURES)), 1.0)
     # each language gives its share of the bound at most, so a rare one is not lost
     share = sample_rows / len(languages)
-    dealt = F.pmod(F.xxhash64("text"), F.lit(_PARTS))
-    limit = F.lit(0)
-    for row in sizes.itertuples():
-        limit = F.when(F.col("label") == row.label, int(_PARTS * min(1.0, share / row.count))).otherwise(limit)
-    sample = labelled.withColumn("dealt", dealt).where(F.col("dealt") < limit)
+    limit = F.lit(None).cast("long")
+    for label in languages:
+        limit = F.when(F.col("label") == label, hash_limit(share / sizes[label])).otherwise(limit)
+    # rows are drawn by text and id and then made distinct, so copies of a text neither come in together nor count twice
+    drawn = labelled.where(F.xxhash64("text", "id") <= limit)
+    sample = drawn.groupBy("text", "label").agg(F.first(F.xxhash64("text")).alias("dealt"))
 
     def train_one(table: pa.Table) -> pa.Table:
         rows = []
         for text, label, at in sorted(zip(*(table[c].to_pylist() for c in ("text", "label", "dealt"))), key=lambda r: (r[2], r[0], r[1])):
             if grams := ngram_counts(text):
-                rows.append((*weighted(grams, idf), languages.index(label), at % 5 == 0))
+                rows.append((*weighted(grams, idf), languages.index(label), at % 5 == 0, rarity(grams, idf) if int(grams[1].sum()) >= JUDGED_GRAMS else None))
         # a language whose few texts would all be held back is fitted on them
         fitted = {r[2] for r in rows if not r[3]}
         w = fit_ftrl([r[:3] for r in rows if not r[3] or r[2] not in fitted], len(languages))
         held = [r for r in rows if r[3]]
         logits = np.array([w[:, r[0]] @ r[1] for r in held])
         t = fit_temperature(logits, np.array([r[2] for r in held], np.int64))
+        rare = [r[4] for r in rows if r[4] is not None]
+        most = float(np.quantile(rare, 0.999)) * RARER if rare else float("inf")
+        # the first row holds temperature and limit, the others the weights that are not zero
         k, f = np.nonzero(w)
-        return pa.table({"k": k.astype(np.int32), "f": f.astype(np.int32), "w": w[k, f], "t": np.full(len(k), t)})
+        return pa.table({"k": np.r_[-1, k].astype(np.int32), "f": np.r_[0, f].astype(np.int32), "w": np.r_[most, w[k, f]], "t": np.full(len(k) + 1, t)})
 
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(train_one, "k int, f int, w double, t double").toPandas()
     weights = np.zeros((len(languages), FEATURES))
-    weights[fitted.k, fitted.f] = fitted.w
-    return LanguageModel(languages, idf, weights, float(fitted.t.iloc[0]) if len(fitted) else 1.0)
+    if not len(fitted):
+        return LanguageModel(languages, idf, weights, 1.0)
+    made = fitted[fitted.k >= 0]
+    weights[made.k, made.f] = made.w
+    return LanguageModel(languages, idf, weights, float(fitted.t.iloc[0]), float(fitted.w[fitted.k < 0].iloc[0]))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: Column) -> DataFrame:
@@ -182,8 +216,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: Column) -> DataFrame:
     def classify(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    made = docs.withColumn("__language", classify(text))
-    return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "__language.lang_pred", "__language.score")
+    made = docs.withColumn(free_name(docs, "language"), classify(text))
+    language = made.columns[-1]
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], f"{language}.lang_pred", f"{language}.score")
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -199,15 +234,18 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, model, F.col("text")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """The documents whose language is determined with at least ``least_score``; the columns stay."""
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents in one of the learned languages; the columns stay.
+
+    A document goes if its text is null or has no letter, or if its n-grams are much rarer in the corpus than those
+    of the learned texts, which says that it is in another language, however many are learned."""
     of = fold(F.col("doc_id"), 4)
     model = fit(docs.where((of != 2) & (of >= 0)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def keeps(texts: pd.Series) -> pd.Series:
-        found = [shared.value.predict(t) for t in texts]
-        return pd.Series([lang != UNDETERMINED and score >= least_score for lang, score in found], dtype=bool)
+        judged = map(shared.value.judge, texts)
+        return pd.Series([lang != UNDETERMINED and not foreign for lang, _, foreign in judged], dtype=bool)
 
     return docs.where(keeps(F.col("text")))

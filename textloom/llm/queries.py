@@ -56,4 +56,49 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_dedup, op2_bpe_codec, op3_token_rollups, op4_toxicity, op5_line_dedup, op6_decontaminate, op7_url_reputation, op8_language_id, op9_sharding, op10_neighbours)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _reputation_sql() -> str:
+    """Rules and posteriors of op7; the beta share is the same continued fraction, folded over a list."""
+    upper, rules = url_reputation.UPPER, sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in rules)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in rules)
+    levels = "|".join(url_reputation.SECOND_LEVEL)
+    ip = r"regexp_matches({}, '^[0-9]+(\.[0-9]+){{3}}$')"
+    label = "[^.]*"
+
+    def strength(table: str) -> str:
+        return f"""(SELECT CASE WHEN count(*) = 0 THEN 10.0 ELSE 1 / least(greatest((sum(l * pow(bad / l - mean, 2)) - sum(mean * (1 - mean)))
+            / greatest(sum(l * mean * (1 - mean)) - sum(mean * (1 - mean)), 1e-9), 1e-3), 0.5) - 1 END FROM (SELECT *, labelled::DOUBLE AS l FROM {table} WHERE labelled > 0))"""
+
+    def below(a: str, b: str, x: str) -> str:
+        m = "floor(j / 2)"
+        even = f"{m} * ({b} - {m}) * {x} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m}))"
+        odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1))"
+        fold = f"list_reduce(list_transform(range({url_reputation.TERMS}, 0, -1), lambda q: q::DOUBLE), lambda v, j: 1 + CASE WHEN j % 2 = 0 THEN {even} ELSE {odd} END / v, 1.0::DOUBLE)"
+        return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / {a} / {fold}"
+
+    x = url_reputation.LIMIT
+    return rf"""WITH parsed AS (
+      SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    outcomes AS (SELECT host, bad FROM (SELECT host, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.[0-9A-Za-z_]+)?/?$', 1), '') AS BIGINT) AS doc FROM parsed) LEFT JOIN known ON doc = doc_id),
+    counted AS (SELECT host, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM outcomes GROUP BY host),
+    named AS (SELECT *, CASE WHEN {ip.format("name")} THEN name WHEN regexp_matches(name, '(^|\.)({levels})\.[a-z][a-z]$') THEN regexp_extract(name, '({label}\.)?({label}\.)?{label}$')
+        ELSE regexp_extract(name, '({label}\.)?{label}$') END AS domain FROM counted),
+    hosts AS (SELECT *, CASE WHEN {ip.format("domain")} THEN '' ELSE regexp_replace(domain, '^{label}\.?', '') END AS suffix FROM named),
+    domains0 AS (SELECT suffix, domain, sum(labelled) AS labelled, sum(bad) AS bad FROM hosts GROUP BY ALL),
+    suffixes0 AS (SELECT suffix, sum(labelled) AS labelled, sum(bad) AS bad FROM domains0 GROUP BY ALL),
+    suffixes1 AS (SELECT *, (SELECT (sum(bad) + {url_reputation.PRIOR_BAD})::DOUBLE / (sum(labelled) + {url_reputation.PRIOR_PAGES}) FROM suffixes0) AS mean FROM suffixes0),
+    suffixes AS (SELECT suffix, (bad + s * mean) / (labelled + s) AS shrunk FROM suffixes1, (SELECT {strength("suffixes1")} AS s)),
+    domains1 AS (SELECT d.*, s.shrunk AS mean FROM domains0 d JOIN suffixes s USING (suffix)),
+    domains AS (SELECT domain, (bad + s * mean) / (labelled + s) AS shrunk FROM domains1, (SELECT {strength("domains1")} AS s)),
+    hosts1 AS (SELECT h.*, d.shrunk AS mean FROM hosts h JOIN domains d USING (domain)),
+    posteriors AS (SELECT host, (bad + s * mean) AS a, labelled + s - (bad + s * mean) AS b FROM hosts1, (SELECT {strength("hosts1")} AS s)),
+    judged AS (SELECT host, CASE WHEN (CASE WHEN {x} < (a + 1) / (a + b + 2) THEN 1 - {below("a", "b", str(x))} ELSE {below("b", "a", f"(1 - {x})")} END) >= {url_reputation.CERTAINTY} THEN 'block' ELSE 'allow' END AS by_method FROM posteriors)
+    SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, by_method) AS verdict FROM parsed JOIN judged USING (host)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op7_url_reputation": _reputation_sql()}

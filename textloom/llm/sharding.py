@@ -1,28 +1,34 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters the records by a seeded hash into buckets that fit in a
-task's memory; pass two shuffles each bucket by Fisher-Yates and gives every
-record its place.  Buckets follow one another, so a record's place in the
-whole order is its bucket's offset plus its place in the bucket, and shards
-are equal ranges of that order: their row counts differ by one at most.
-
-A bucket that repeated rows or very large records fill beyond its size is
-dealt into cells by row number.  Null ids and null texts are records like any
-other.  Columns named shard or slot are replaced.  An empty table gives an empty result.
+Pass one scatters the records by a seeded hash of key and row number into
+buckets that fit in a task's memory, and writes them with their bucket; equal
+records part like others.  Pass two shuffles each bucket by Fisher-Yates and
+gives every record its place.  Buckets follow one another, so a record's place
+in the whole order is its bucket's offset, a running sum over the buckets'
+counts, plus its place in the bucket, and shards are equal ranges of that
+order: their row counts differ by one at most.
+
+As row numbers depend on how the input is split, another split gives another
+order.  Null ids and null texts are records like any other, a very long text
+is one record of its bucket, and rows that repeat are records of their own.
+Columns named shard or slot are replaced; any other names may occur.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.common import Scratch, packed
+
 #: Bytes of records that a bucket holds, about.
 BUCKET_BYTES = 16 << 20
-#: Cells that an overfull bucket can be dealt into.
-CELLS = 256
+#: Buckets that a task of the second pass takes one after the other, about.
+BUCKETS_A_TASK = 8
 
 
 def record_size(text: str = "text"):
@@ -41,46 +47,41 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
 
 def external_shuffle(records: DataFrame, shards: int = 8, seed: int = 17, key_cols: tuple[str, ...] = ("doc_id", "text"), text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Adds ``shard`` and ``slot`` (from 0, without gaps) to shuffled records."""
-    records = records.drop("shard", "slot")
-    keys = [F.col(f"`{c}`") for c in key_cols]
-    size = record_size(f"`{text_col}`")
-    total = records.agg(F.sum(size)).first()[0] or 0
+    spark, records = records.sparkSession, records.drop("shard", "slot")
+    scratch = Scratch(spark, "sharding")
+    total = records.agg(F.sum(record_size(f"`{text_col}`"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    dealt = records.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(buckets))).withColumn("__cell", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(CELLS)).cast("int"))
-
-    # a count for each bucket, and for the cells of those that are overfull
-    filled = dealt.groupBy("__bucket", "__cell").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
-    by_bucket = filled.groupBy("__bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-    counts = by_bucket.where(F.col("bytes") <= 3 * bucket_bytes).select("__bucket", F.lit(-1).alias("__cell"), "n")
-    over = by_bucket.where(F.col("bytes") > 3 * bucket_bytes).select("__bucket")
-    counts = counts.unionByName(filled.join(over, "__bucket", "left_semi").select("__bucket", "__cell", "n")).toPandas().sort_values(["__bucket", "__cell"])
-    # one row for each bucket_bytes of input: its size is known, and it is small beside the input
-    split = sorted(set(counts.loc[counts.__cell >= 0, "__bucket"].tolist())) if len(counts) else []
-    rows = int(counts.n.sum())
-    offsets = {(int(b), int(c)): int(o) for b, c, o in zip(counts["__bucket"], counts["__cell"], np.cumsum(counts["n"]) - counts["n"])}
-    shared = records.sparkSession.sparkContext.broadcast(offsets)
-    if split:
-        dealt = dealt.withColumn("__cell", F.when(F.col("__bucket").isin(split), F.col("__cell")).otherwise(-1))
-    else:
-        dealt = dealt.withColumn("__cell", F.lit(-1))
-
-    names = list(records.columns)
-    order = dealt.withColumn("__order", F.xxhash64(F.lit(seed + 1), *keys))
+    keys = [*(F.col(f"row.`{c}`") for c in key_cols), F.monotonically_increasing_id()]
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(buckets)).alias("bucket")
+    # written, for row numbers hold for one reading of the input only
+    dealt = scratch.table(packed(records).select("row", bucket, F.xxhash64(F.lit(seed + 1), *keys).alias("order")))
+    rows = dealt.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS_A_TASK)
+    met = dealt.repartition(tasks, "bucket").join(_offsets(dealt).hint("merge"), "bucket")
 
     def shuffle_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket, cell = key[0].as_py(), key[1].as_py()
-        table = table.sort_by([("__order", "ascending")])
-        table = table.take(pa.array(fisher_yates(table.num_rows, [seed, bucket, cell + 1])))
-        place = shared.value[bucket, cell] + np.arange(table.num_rows)
+        table = table.sort_by([("order", "ascending")])
+        table = table.take(pa.array(fisher_yates(table.num_rows, [seed, key[0].as_py()])))
+        place = table["before"].to_numpy() + np.arange(table.num_rows)
         # the first rows % shards shards hold one row more
         least, more = divmod(rows, shards)
         edge = more * (least + 1)
         shard = np.where(place < edge, place // (least + 1), more + (place - edge) // max(least, 1))
         slot = place - (shard * least + np.minimum(shard, more))
-        return table.select(names).append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
+        return pa.table({"row": table["row"], "shard": pa.array(shard, pa.int32()), "slot": pa.array(slot, pa.int64())})
+
+    schema = T.StructType([dealt.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    placed = met.groupBy("bucket").applyInArrow(shuffle_bucket, schema)
+    return placed.select(*[F.col(f"row.`{c}`") for c in records.columns], "shard", "slot")
+
 
-    schema = T.StructType([*records.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return order.groupBy("__bucket", "__cell").applyInArrow(shuffle_bucket, schema)
+def _offsets(dealt: DataFrame, span: int = 1024) -> DataFrame:
+    """How many rows the buckets before each bucket hold, summed within spans of buckets and over the spans."""
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("bucket") / F.lit(span)))
+    earlier = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.groupBy("span").agg(F.sum("n").alias("n")).select("span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("span").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(spans, "span").select("bucket", (F.col("start") + F.col("inside")).alias("before"))
 
 
 def write_shards(shuffled: DataFrame, path: str, order_cols: tuple[str, ...] = ("shard", "slot")) -> None:

@@ -10,28 +10,29 @@ over the ledger, whose rows do not grow with the documents, and ``compact``
 folds committed batches into one.
 
 Null sources and languages are groups of their own.  Null counts are 0.  An
-empty batch leaves the totals as they are.
+empty batch leaves the totals as they are, and replaces what its id held.
+Long texts are counted whole, repeated rows count each time, and columns
+beside those named here are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe_codec import codec
-from textloom.llm.common import Scratch
+from textloom.llm.bpe_codec import encode_text
+from textloom.llm.common import Scratch, vocabulary
 
 KEYS = ["source", "lang", "tokenizer"]
 _SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, batch_id string"
 
 
 def default_versions() -> dict[str, str]:
-    import public_tokenizers
-
-    return {v: public_tokenizers.path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    return {v: vocabulary(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
 
 
 def token_counts(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def token_counts(docs: DataFrame, versions: dict[str, str] | None = None) -> Dat
         for batch in batches:
             texts = [t or "" for t in batch.column(4).to_pylist()]
             for name, path in paths.items():
-                sizes = [len(codec(path).encode_to_numpy(t, disallowed_special=())) for t in texts]
+                sizes = [len(encode_text(path, t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([name] * len(sizes)), pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "bytes", "tokenizer", "tokens"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")
@@ -66,8 +67,10 @@ class TokenLedger:
         self._write(batch_id, sums)
 
     def _write(self, batch_id: str, sums: DataFrame) -> None:
-        rows = sums.withColumn("batch_id", F.lit(batch_id)).coalesce(1)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
+        """Replaces the batch's folder; an empty batch leaves a file without rows in it."""
+        if not re.fullmatch(r"[\w.-]+", batch_id):
+            raise ValueError("a batch's id is made of letters, digits, dots and hyphens")
+        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def batches(self) -> DataFrame:
         return self.spark.read.schema(_SCHEMA).parquet(self.path)
@@ -91,17 +94,24 @@ PROVISIONAL_BYTES = 4
 def maintained_totals(docs: DataFrame) -> DataFrame:
     """Totals of the documents that have tokens, kept up to date by four batches.
 
-    Documents come with counts of the first version and estimates of the second; the estimates are revised to counts;
-    documents without tokens are deleted; and the first batch is committed once more, which changes nothing."""
+    Documents come with estimates.  Those of the first version are deleted and inserted with their counts, those of
+    the second are revised to counts; documents without tokens are deleted; and the first batch is committed once
+    more, which changes nothing."""
     scratch = Scratch(docs.sparkSession, "token-rollups")
     _, second = default_versions()
     counts = scratch.table(token_counts(docs))
     estimate = F.floor(F.col("bytes") / PROVISIONAL_BYTES).cast("long")
     is_second, none = F.col("tokenizer") == second, F.lit(0).cast("long")
-    arrived = counts.select(F.lit("insert").alias("op"), *KEYS, F.when(is_second, estimate).otherwise(F.col("tokens")).alias("tokens"), none.alias("old_tokens"))
+
+    def change(rows: DataFrame, op: str, tokens: Column, old: Column = none) -> DataFrame:
+        return rows.select(F.lit(op).alias("op"), *KEYS, tokens.alias("tokens"), old.alias("old_tokens"))
+
     ledger = TokenLedger(docs.sparkSession, f"{scratch.root}/ledger")
+    arrived = change(counts, "insert", estimate)
     ledger.commit("arrived", arrived)
-    ledger.commit("counted", counts.where(is_second).select(F.lit("revise").alias("op"), *KEYS, "tokens", estimate.alias("old_tokens")))
-    ledger.commit("withdrawn", counts.where("tokens = 0").select(F.lit("delete").alias("op"), *KEYS, "tokens", none.alias("old_tokens")))
+    first = counts.where(~is_second)
+    ledger.commit("replaced", change(first, "delete", estimate).unionByName(change(first, "insert", F.col("tokens"))))
+    ledger.commit("counted", change(counts.where(is_second), "revise", F.col("tokens"), estimate))
+    ledger.commit("withdrawn", change(counts.where("tokens = 0"), "delete", F.col("tokens")))
     ledger.commit("arrived", arrived)
     return ledger.totals()
