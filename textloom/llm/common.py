@@ -124,17 +124,19 @@ def is_hot(n: Column, total: int) -> Column:
     return n > total * HOT_SHARE
 
 
-def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], spread: list[str], total: int | None = None, how: str = "inner") -> DataFrame:
-    """Joins ``rows`` with a written table of keys and ``n``, the number of rows that each key has.
+def salted_join(rows: DataFrame, side: DataFrame, keys: list[str], spread: list[str], total: int | None = None, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Joins ``rows`` with a table of keys and ``n``, the number of rows that each key has.
 
     The rows of hot keys are dealt into ``SALTS`` parts by the columns ``spread``, and the side's rows of these keys
     are repeated for each part.  At most 1 / ``HOT_SHARE`` keys can be hot, so these alone are broadcast; the join
-    itself is a merge join at every size.  ``n`` does not stay; ``total`` is the number of rows, if it is known."""
+    itself is a merge join at every size.  The side's ``n`` does not stay; ``total`` is the number of rows, if it is
+    known; ``counts`` holds keys and ``n`` alone, where that is cheaper to read than the side."""
+    counts = side if counts is None else counts
     if total is None:
-        total = side.agg(F.sum("n")).first()[0] or 0
+        total = counts.agg(F.sum("n")).first()[0] or 0
     hot, salt = free_name(rows, "hot"), free_name(rows, "salt")
     wanted = is_hot(F.col("n"), total)
-    marks = F.broadcast(side.where(wanted).select(*keys, F.lit(True).alias(hot)).distinct())
+    marks = F.broadcast(counts.where(wanted).select(*keys, F.lit(True).alias(hot)).distinct())
     dealt = rows.join(marks, keys, "left").withColumn(salt, F.when(F.col(hot), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0)).drop(hot)
     parts = F.when(wanted, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     repeated = side.withColumn(salt, F.explode(parts)).drop("n")

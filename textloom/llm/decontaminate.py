@@ -14,7 +14,9 @@ benchmark's shingles go into that pass as a set if there are at most
 ``SET_SHINGLES`` of them, and through a join otherwise.
 
 Null and empty texts have no words.  Items without id take no part.  Rows that
-repeat id and text get the same result each.
+repeat id and text get the same result each.  Texts are read whole, however
+long; columns beside those named here are not read, whatever their names.  An
+empty table gives an empty result, and an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, text_key, words
+from textloom.llm.common import Scratch, salted_join, text_key, words
 
 WINDOW, SHINGLE = 10, 5
 #: Most shingles of the benchmark that travel as a set within the plan (a megabyte).
@@ -87,13 +89,14 @@ def occurrences(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[Da
     shingles = _window_shingles(benchmark_windows(items))
     kept = scratch.table(_places(docs, shingles))
     places = kept.where(F.size("places") > 0).select("doc_id", "key", "n_words", F.explode("places").alias("p")).select("doc_id", "key", "n_words", "p.*")
-    rarity = places.groupBy("h", "size").agg(F.count("*").alias("n"))
+    rarity = scratch.table(places.groupBy("h", "size").agg(F.count("*").alias("n")))
     # a window with a shingle that no document holds occurs nowhere
     ranked = shingles.join(rarity, ["h", "size"], "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset", "size")).alias("prefix"), F.first("items").alias("items"))
-    prefixes = ranked.where("prefix.n > 0").select("prefix.h", "prefix.size", "prefix.offset", "window", "items")
+    prefixes = ranked.where("prefix.n > 0").select("prefix.h", "prefix.size", "prefix.offset", "prefix.n", "window", "items")
     start = F.col("at") - F.col("offset")
     length = F.size("window")
-    met = places.join(prefixes, ["h", "size"]).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + length <= F.col("n_words")))
+    # a passage that a large part of the documents share is dealt into salts
+    met = salted_join(places, prefixes, ["h", "size"], ["doc_id", "key", "at"], counts=rarity).withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + length <= F.col("n_words")))
     met = met.where(F.slice("around", F.col("start") - F.col("first") + 1, length) == F.col("window"))
     return kept, met.select("doc_id", "key", "start", (F.col("start") + length).alias("stop"), "items")
 

@@ -18,8 +18,14 @@ all its hubs that still lie in other components; at last every remaining pair
 of a bucket across components, unless their maps of shingles prove an overlap
 too small.  A pair within one component need not be verified.
 
+Hot contents, buckets, hubs and classes are dealt into salts where they are
+joined, so no task holds one whole.
+
 A text of fewer than five words is one shingle.  Texts without words are equal
-only as whole texts; a null text is a class of its own.
+only as whole texts; a null text is a class of its own.  Texts are read whole,
+however long; rows that repeat are in one class; other columns are not read,
+whatever their names, and pass ``deduplicate`` unchanged.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import UPPER, Scratch, free_name, is_empty, small_side, text_key
+from textloom.llm.common import UPPER, Scratch, free_name, is_empty, salted_join, small_side, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -164,7 +170,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def _chunks(texts: list[str | None], most: int = 1 << 20, rows: int = 1000) -> Iterator[slice]:
+def _chunks(texts: list[str | None], most: int = 1 << 18, rows: int = 250) -> Iterator[slice]:
     """Slices of about ``most`` characters, or one text, and at most ``rows`` texts."""
     start = held = 0
     for k, t in enumerate(texts):
@@ -205,9 +211,13 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), whether their weighted Jaccard is at least ``threshold``; texts: (node, text)."""
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+
+    def with_text(rows: DataFrame, end: str, other: str) -> DataFrame:
+        counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        side = counts.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
+        return salted_join(rows, side, [end], [other], counts=counts)
+
+    met = with_text(with_text(pairs, "b", "a"), "a", "b").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,36 +233,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """The least node of each linked node's component: (node, root).  Links: (a, b)."""
     both = scratch.table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    roots = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+    size = both.count()
+    roots = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"), F.count("*").alias("n")))
     while True:
         # the least root among a node's neighbours, then that root's own root
-        seen = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        nearer = roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = scratch.table(nearer.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
-        roots = moved.select("node", "root")
+        seen = salted_join(both, roots.select(F.col("node").alias("b"), "root", "n"), ["b"], ["a"], size).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        nearer = scratch.table(roots.join(seen, "node").select("node", "n", F.col("root").alias("old"), F.least("root", "near").alias("root")))
+        jump = nearer.groupBy("root").agg(F.count("*").alias("n")).join(roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
+        moved = scratch.table(salted_join(nearer, jump, ["root"], ["node"], how="left").select("node", "n", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
+        roots = moved.select("node", "root", "n")
         if is_empty(moved.where("old != root")):
-            return roots
+            return roots.select("node", "root")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), ``content``, the key of its words, ``key`` of its text, and class_key.
 
     An id may have several texts, in one class or in several; class_id and class_key together name a class."""
-    scratch = Scratch(docs.sparkSession, "near-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.table(_signed(docs))
+    with Scratch(docs.sparkSession, "near-dedup-work") as work:
+        return _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, work, Scratch(docs.sparkSession, "near-dedup"))
+
+
+def _classes(docs: DataFrame, threshold: float, scratch: Scratch, kept: Scratch) -> DataFrame:
+    signed = kept.table(_signed(docs))
     # one row stands for a content: the one with the least id and text key
-    nodes = signed.where(F.col("content").isNotNull()).groupBy("content").agg(F.min(F.struct("doc_id", "key", "shingles", "bands", "map")).alias("first"))
-    nodes = scratch.table(nodes.select("content", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"), "first.shingles", "first.bands", "first.map", F.monotonically_increasing_id().alias("node")))
+    nodes = signed.where(F.col("content").isNotNull()).groupBy("content").agg(
+        F.min(F.struct("doc_id", "key", "shingles", "bands", "map")).alias("first"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("named"), F.count("*").alias("n")
+    )
+    nodes = scratch.table(nodes.select("content", "named", "n", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"), "first.shingles", "first.bands", "first.map", F.monotonically_increasing_id().alias("node")))
     buckets = nodes.where("shingles > 0").select("node", "shingles", F.posexplode("bands").alias("band", "hash"))
-    shared = buckets.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.table(buckets.join(shared, ["band", "hash"]))
+    bucket = ["band", "hash"]
+    shared = scratch.table(buckets.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    buckets = scratch.table(salted_join(buckets, shared.withColumn("held", F.col("n")), bucket, ["node"], total, counts=shared))
     # a bucket's hub is the node that meets most others: what near copies were made from, if it is there
-    met_by = buckets.groupBy("node").agg(F.sum("n").alias("meets"))
+    met_by = buckets.groupBy("node").agg(F.sum("held").alias("meets"))
     hub = F.max(F.struct("meets", -F.col("node"))).alias("hub")
-    first = buckets.join(met_by, "node").groupBy("band", "hash").agg(hub).select("band", "hash", (-F.col("hub.col2")).alias("hub"))
-    buckets = scratch.table(buckets.drop("n").join(first, ["band", "hash"]))
+    first = buckets.join(met_by, "node").groupBy(*bucket).agg(hub, F.count("*").alias("n")).select(*bucket, "n", (-F.col("hub.col2")).alias("hub"))
+    buckets = scratch.table(salted_join(buckets.drop("held"), first, bucket, ["node"], total, counts=shared))
 
     candidates = scratch.table(buckets.select("node").distinct())
     wanted = small_side(scratch.table(nodes.join(candidates, "node", "left_semi").select("first_id", "first_key", "node")))
@@ -263,11 +281,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     low, high = F.least("shingles", "other"), F.greatest("shingles", "other")
     long_enough = low >= threshold * high  # an overlap of the shorter one at most
     size = buckets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")).distinct()
-    hubs = buckets.where("node != hub").groupBy("node", "hub", "shingles").agg(F.count("*").alias("times")).join(size, "hub").where(long_enough)
+    met = scratch.table(buckets.where("node != hub").groupBy("node", "hub", "shingles").agg(F.count("*").alias("times")))
+    met_by = met.groupBy("hub").agg(F.count("*").alias("n"))
+    hubs = salted_join(met, met_by.join(size, "hub"), ["hub"], ["node"], counts=met_by).where(long_enough)
     hubs = scratch.table(hubs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "node", "times"))
 
     # each node and the hub that is its in most buckets come first
-    one = hubs.groupBy("node").agg(F.max(F.struct("times", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    one = scratch.table(hubs.groupBy("node").agg(F.max(F.struct("times", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
     checked = scratch.table(_verified(one, texts, threshold))
     roots = components(checked.where("near"), scratch)
     rounds = 1
@@ -275,12 +295,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         labelled = scratch.table(buckets.drop("hub").join(roots, "node", "left").select("band", "hash", "node", "shingles", F.coalesce("root", "node").alias("root")))
         if rounds == 1:
             # each node and the first nodes of its buckets, if they are still apart
-            at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            apart = hubs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
+            apart = hubs
+            for end, other in (("a", "b"), ("b", "a")):
+                counts = hubs.groupBy(end).agg(F.count("*").alias("n"))
+                side = counts.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+                apart = salted_join(apart, side, [end], [other], how="left", counts=counts)
+            apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
         else:
             # buckets across components: those outside the largest component against all others
-            spread = labelled.groupBy("band", "hash", "root").agg(F.count("*").alias("n")).groupBy("band", "hash").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
-            mixed = labelled.join(spread.where("roots > 1").drop("roots"), ["band", "hash"])
+            spread = labelled.groupBy("band", "hash", "root").agg(F.count("*").alias("n")).groupBy("band", "hash").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+            # few buckets lie in several components; their rows are the only ones that meet
+            spread = scratch.table(spread.where("roots > 1").drop("roots"))
+            mixed = scratch.table(salted_join(labelled, spread.withColumn("held", F.col("n")), bucket, ["node"], total))
             outside = mixed.where("root != main").select("band", "hash", F.col("node").alias("x"), F.col("shingles").alias("other"), F.col("root").alias("root_x"))
             maps = nodes.select("node", "map")
             outside = outside.join(maps.select(F.col("node").alias("x"), F.col("map").alias("map_x")), "x")
@@ -289,7 +315,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             missing = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, n: s + n)
             shared_most = F.least(F.col("other") - missing("map_x", "map"), F.col("shingles") - missing("map", "map_x"))
             possible = shared_most >= threshold * (F.col("other") + F.col("shingles") - shared_most)
-            met = outside.join(mixed, ["band", "hash"]).where((F.col("root_x") != F.col("root")) & long_enough & possible)
+            met = salted_join(outside, mixed.withColumnRenamed("held", "n"), bucket, ["x"], total, counts=spread).where((F.col("root_x") != F.col("root")) & long_enough & possible)
             apart = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
         apart = scratch.table(apart.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         if not is_empty(apart):
@@ -299,12 +325,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         rounds += 1
 
-    named = signed.where(F.col("content").isNotNull()).select("doc_id", "key", "content").join(nodes.select("content", "node"), "content").join(roots, "node", "left")
-    named = named.select("doc_id", "key", "content", F.coalesce("root", "node").alias("root"))
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first")
-    least = named.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"))
+    # contents are named by the least id of their class, then rows by their content
+    named = scratch.table(nodes.select("content", "node", "named", "n").join(roots, "node", "left").select("content", "named", "n", F.coalesce("root", "node").alias("root")))
+    least = named.groupBy("root").agg(F.min("named").alias("least"), F.count("*").alias("n"))
+    of_content = salted_join(named.drop("named"), least, ["root"], ["content"]).select("content", "n", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("class_key"))
+    of_content = kept.table(of_content)
+    rows = signed.where(F.col("content").isNotNull()).select("doc_id", "key", "content")
+    named = salted_join(rows, of_content, ["content"], ["doc_id", "key"]).select("doc_id", "class_id", "content", "key", "class_key")
     alone = signed.where(F.col("content").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), "content", "key", F.col("key").alias("class_key"))
-    return named.join(least, "root").select("doc_id", "class_id", "content", "key", "class_key").unionByName(alone)
+    return named.unionByName(alone)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
