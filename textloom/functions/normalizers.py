@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,13 +168,50 @@ class BertNormalizer(Normalizer):
         return text.lower() if self.lowercase else text
 
     def column(self, text: Column) -> Column:
+        """Texts of ASCII stay in the JVM, where the classes are finite; the others go through Python once."""
+        ascii_only = F.octet_length(text) == F.char_length(text)
+        plain = F.translate(F.replace(text, F.lit("\x00"), F.lit("")), "\t\n\r" + _ASCII_CONTROLS, "   ") if self.clean_text else text
+        plain = F.lower(plain) if self.lowercase else plain
+        maps = (_Mapped(self._cleaned), _Mapped(lambda c: "" if unicodedata.category(c) == "Mn" else c), _Mapped(str.lower))
+
+        def normalized(texts: pa.Array) -> pa.Array:
+            cleaned, bare, lowered = maps
+            out = []
+            for t in texts.to_pylist():
+                if t is not None:
+                    t = t.translate(cleaned)
+                    if self.drops_accents:
+                        t = unicodedata.normalize("NFD", t).translate(bare)
+                    t = t.translate(lowered) if self.lowercase else t
+                out.append(t)
+            return pa.array(out, pa.string())
+
+        normalized.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.when(ascii_only, plain).otherwise(F.arrow_udf(normalized, "string")(F.when(~ascii_only, text)))
+
+    def _cleaned(self, c: str) -> str:
+        """What clean-up and the spacing of ideographs make of a character."""
         if self.clean_text:
-            text = F.regexp_replace(F.regexp_replace(text, r"[\x00\uFFFD]|[\p{C}&&[^\t\n\r]]", ""), rf"[{SPACE_CLASS}]", " ")
-        if self.handle_chinese_chars:
-            text = F.regexp_replace(text, f"([{cjk_class()}])", " $1 ")
-        if self.drops_accents:
-            text = F.regexp_replace(UnicodeForm("NFD").column(text), r"\p{Mn}", "")
-        return Lowercase().column(text) if self.lowercase else text
+            if c not in "\t\n\r" and (c in "\x00\ufffd" or unicodedata.category(c)[0] == "C"):
+                return ""
+            c = " " if is_space(c) else c
+        return f" {c} " if self.handle_chinese_chars and is_cjk(c) else c
+
+
+#: ASCII control characters that clean-up drops, but for the null character.
+_ASCII_CONTROLS = "".join(chr(i) for i in [*range(1, 32), 127] if chr(i) not in "\t\n\r")
+
+
+class _Mapped(dict):
+    """A table for ``str.translate`` that is filled as characters occur."""
+
+    def __init__(self, of: Callable[[str], str]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, point: int) -> str:
+        made = self[point] = self.of(chr(point))
+        return made
 
 
 @dataclass(frozen=True)

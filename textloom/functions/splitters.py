@@ -1,7 +1,7 @@
-"""Pre-tokenizers: text to ordered pieces.
+"""Splitters, which cut a text into the pieces that a model reads.
 
-``column`` gives an array of pieces with JVM functions alone.  ``align`` cuts
-aligned texts inside Arrow batches, for offsets into the original.
+A splitter is a column expression that gives an array of pieces; where offsets
+into the original are wanted it cuts aligned texts inside Arrow batches.
 """
 
 from __future__ import annotations
@@ -195,39 +195,47 @@ class ByteLevel(Splitter):
         return [p.map(to_byte_chars) for p in pieces]
 
 
-#: Scripts tried for each character; Java and Python know them by these names (fixed values).
+#: Names of the Unicode standard's scripts, as Java and Python know them (fixed values).
 SCRIPTS = (
-    "Latin Greek Cyrillic Armenian Hebrew Arabic Syriac Thaana Devanagari Bengali Gurmukhi Gujarati Oriya Tamil Telugu Kannada Malayalam Sinhala Thai Lao Tibetan Myanmar "
-    "Georgian Hangul Ethiopic Cherokee Khmer Mongolian Han Hiragana Katakana Bopomofo Yi Inherited Common"
+    "Adlam Ahom Anatolian_Hieroglyphs Arabic Armenian Avestan Balinese Bamum Bassa_Vah Batak Bengali Bhaiksuki Bopomofo Brahmi Braille Buginese Buhid Canadian_Aboriginal Carian "
+    "Caucasian_Albanian Chakma Cham Cherokee Common Coptic Cuneiform Cypriot Cyrillic Deseret Devanagari Duployan Egyptian_Hieroglyphs Elbasan Ethiopic Georgian Glagolitic Gothic Grantha Greek "
+    "Gujarati Gurmukhi Han Hangul Hanunoo Hatran Hebrew Hiragana Imperial_Aramaic Inherited Inscriptional_Pahlavi Inscriptional_Parthian Javanese Kaithi Kannada Katakana Kayah_Li Kharoshthi "
+    "Khmer Khojki Khudawadi Lao Latin Lepcha Limbu Linear_A Linear_B Lisu Lycian Lydian Mahajani Malayalam Mandaic Manichaean Marchen Meetei_Mayek Mende_Kikakui Meroitic_Cursive "
+    "Meroitic_Hieroglyphs Miao Modi Mongolian Mro Multani Myanmar Nabataean New_Tai_Lue Newa Nko Ogham Ol_Chiki Old_Hungarian Old_Italic Old_North_Arabian Old_Permic Old_Persian "
+    "Old_South_Arabian Old_Turkic Oriya Osage Osmanya Pahawh_Hmong Palmyrene Pau_Cin_Hau Phags_Pa Phoenician Psalter_Pahlavi Rejang Runic Samaritan Saurashtra Sharada Shavian Siddham "
+    "SignWriting Sinhala Sora_Sompeng Sundanese Syloti_Nagri Syriac Tagalog Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tamil Tangut Telugu Thaana Thai Tibetan Tifinagh Tirhuta Ugaritic Vai "
+    "Warang_Citi Yi"
 ).split()
+_HAN = ("Han", "Hiragana", "Katakana")
+_LONG_VOWEL = "\u30fc"
 
 
 @dataclass(frozen=True)
 class UnicodeScripts(Splitter):
-    """Splits where the script changes; kana and the long-vowel mark count as Han, a space joins either side."""
+    """Splits where the script changes; kana and the long-vowel mark count as Han.
+
+    A space joins what stands before it, and so do characters of no script; before the first script they are dropped."""
+
+    def column(self, text: Column) -> Column:
+        joined = " " + "".join(rf"[^{''.join(rf'\p{{Is{s}}}' for s in SCRIPTS)}]")
+        runs = [rf"[\p{{IsCommon}}&&[^ {_LONG_VOWEL}]][[\p{{IsCommon}}&&[^{_LONG_VOWEL}]]{joined}]*", "".join((f"[{(han := ''.join(rf'\p{{Is{s}}}' for s in _HAN) + _LONG_VOWEL)}]", f"[{han}{joined}]*"))]
+        runs += [rf"\p{{Is{s}}}[\p{{Is{s}}}{joined}]*" for s in sorted(SCRIPTS, key=lambda s: s != "Latin") if s not in (*_HAN, "Common")]
+        return F.regexp_extract_all(text, F.lit("|".join(runs)), F.lit(0))
 
     @cached_property
     def _classes(self) -> re.Pattern:
         return _compiled("|".join(rf"(?P<{s}>\p{{Script={s}}})" for s in SCRIPTS))
 
-    def script(self, c: str) -> str:
-        if ord(c) == 0x30FC:
+    def script(self, c: str) -> str | None:
+        """A character's script; None for spaces and characters without one."""
+        if c == _LONG_VOWEL:
             return "Han"
-        if c == " ":
-            return "Any"
-        found = self._classes.match(c)
-        name = found.lastgroup if found else "Unknown"
-        return "Han" if name in ("Hiragana", "Katakana") else name
+        found = self._classes.match(c) if c != " " else None
+        return found and ("Han" if found.lastgroup in _HAN else found.lastgroup)
 
     def cut(self, part: Aligned) -> list[Aligned]:
-        edges, last = [0], None
-        for i, c in enumerate(part.text):
-            script = self.script(c)
-            if script == "Any":
-                continue
-            if last not in (None, script):
-                edges.append(i)
-            last = script
+        scripts = [(i, s) for i, c in enumerate(part.text) if (s := self.script(c))]
+        edges = [i for k, (i, s) in enumerate(scripts) if not k or scripts[k - 1][1] != s]
         return [part.slice(a, b) for a, b in zip(edges, [*edges[1:], len(part.text)])]
 
 
@@ -244,16 +252,18 @@ class FixedLength(Splitter):
 
 @dataclass(frozen=True)
 class SplitterSequence(Splitter):
-    pretokenizers: tuple[Splitter, ...]
+    """Splitters one after the other, each on the pieces of the last."""
+
+    parts: tuple[Splitter, ...]
 
     def column(self, text: Column) -> Column:
         pieces = F.array(text)
-        for s in self.pretokenizers:
+        for s in self.parts:
             pieces = F.flatten(F.transform(pieces, s.column))
         return F.filter(pieces, lambda p: p != "")
 
     def align(self, parts: list[Aligned]) -> list[Aligned]:
-        for s in self.pretokenizers:
+        for s in self.parts:
             parts = s.align(parts)
         return parts
 

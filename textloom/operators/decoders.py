@@ -43,6 +43,10 @@ class Decoder:
     def decode(self, tokens: Column) -> Column:
         return F.array_join(self.chain(tokens), "")
 
+    def of_ids(self, names: dict[int, str]) -> Callable[[list[int]], str]:
+        """Ids to text in one step; ids without a name are left out."""
+        return lambda ids: "".join(self.chain_local([names[i] for i in ids if i in names]))
+
 
 @dataclass(frozen=True)
 class BpeDecoder(Decoder):
@@ -56,14 +60,22 @@ class BpeDecoder(Decoder):
         return [t.replace(self.suffix, " " if i < len(tokens) - 1 else "") for i, t in enumerate(tokens)]
 
 
+def _token_bytes(token: str) -> bytes:
+    """The bytes that printable characters stand for; a token with any other character stands for itself."""
+    table = byte_of()
+    return bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
+
+
 @dataclass(frozen=True)
 class ByteLevelDecoder(Decoder):
     """Printable characters back to bytes; what is no UTF-8 becomes U+FFFD."""
 
     def chain_local(self, tokens: list[str]) -> list[str]:
-        table = byte_of()
-        data = b"".join(bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t in tokens)
-        return [data.decode(errors="replace")]
+        return [b"".join(map(_token_bytes, tokens)).decode(errors="replace")]
+
+    def of_ids(self, names: dict[int, str]) -> Callable[[list[int]], str]:
+        known = {i: _token_bytes(t) for i, t in names.items()}
+        return lambda ids: b"".join([known[i] for i in ids if i in known]).decode(errors="replace")
 
 
 @dataclass(frozen=True)

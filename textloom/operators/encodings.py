@@ -67,6 +67,13 @@ def windows(n: Column, max_length: int, stride: int = 0, direction: str = "right
     return F.transform(steps, window)
 
 
+def window_parts(values: Column, max_length: int, stride: int = 0, direction: str = "right") -> Column:
+    """The windows of one array, the kept one first; an encoding's other fields need not be built for it."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.size(values).cast("int").alias("length")))
+    spans = F.when(F.size(values) <= max_length, whole).otherwise(windows(F.size(values), max_length, stride, direction))
+    return F.transform(spans, lambda w: F.slice(values, w["start"] + 1, w["length"]))
+
+
 def truncate(encoding: Column, max_length: int, stride: int = 0, direction: str = "right") -> Column:
     """Keeps ``max_length`` tokens; the other windows become ``overflowing``."""
 

@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 from functools import cached_property
 from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,36 +163,63 @@ class Bpe(Model):
         return out + [unk] if unk else out
 
     def _merged(self, symbols: list[list[int]]) -> list[list[int]]:
-        n = len(symbols)
-        before, after, ids = list(range(-1, n - 1)), list(range(1, n + 1)), [s[0] for s in symbols]
-        sizes, alive, skipped = [s[1] for s in symbols], [True] * n, []
-        queue = [(*self._ranks[ids[i], ids[i + 1]], i) for i in range(n - 1) if (ids[i], ids[i + 1]) in self._ranks]
-        queue = [(rank, i, new) for rank, new, i in queue]
-        heapq.heapify(queue)
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (found := self._ranks.get((ids[i], ids[j]))):
-                heapq.heappush(queue, (found[0], i, found[1]))
-
-        while queue:
-            rank, i, new = heapq.heappop(queue)
-            if self.dropout and random.random() < self.dropout:
-                skipped.append((rank, i, new))
-                continue
-            for entry in skipped:
-                heapq.heappush(queue, entry)
-            skipped.clear()
-            j = after[i]
-            if not alive[i] or j >= n or self._ranks.get((ids[i], ids[j]), (None, None))[1] != new:
-                continue
-            ids[i], sizes[i], alive[j], after[i] = new, sizes[i] + sizes[j], False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return [[ids[i], sizes[i]] for i in range(n) if alive[i]]
+        if self.dropout:
+            return self._merged_at_random(symbols)
+        # a symbol is known by where it starts; stop says where it ends, begin where the one before it starts
+        n, ids, sizes = len(symbols), [s[0] for s in symbols], [s[1] for s in symbols]
+        stop, begin = list(range(1, n + 1)), list(range(-1, n))
+        waiting: dict[int, list[int]] = {}  # starts of pairs by their rank
+
+        def rank_at(i: int) -> int | None:
+            found = self._ranks.get((ids[i], ids[stop[i]])) if i >= 0 and stop[i] < n else None
+            return found and found[0]
+
+        def offer(i: int) -> int:
+            rank = rank_at(i)
+            if rank is None:
+                return len(self.merges)
+            waiting.setdefault(rank, []).append(i)
+            return rank
+
+        for i in range(n):
+            offer(i)
+        while waiting:
+            # a round merges the lowest rank from the left, until a merge makes a pair that ranks lower still
+            rank = min(waiting)
+            starts = sorted(waiting.pop(rank))
+            for k, i in enumerate(starts):
+                if ids[i] < 0 or rank_at(i) != rank:
+                    continue
+                j = stop[i]
+                ids[i], sizes[i], stop[i] = self._ranks[ids[i], ids[j]][1], sizes[i] + sizes[j], stop[j]
+                ids[j], begin[stop[i]] = -1, i
+                if min(offer(i), offer(begin[i])) < rank:
+                    waiting.setdefault(rank, []).extend(starts[k + 1 :])
+                    break
+        return [[ids[i], sizes[i]] for i in range(n) if ids[i] >= 0]
+
+    def _merged_at_random(self, symbols: list[list[int]]) -> list[list[int]]:
+        """One merge after the other: of the pairs seen so far, the first by rank and place that is not dropped is taken.
+
+        A pair that an earlier merge has broken is taken as well, to no effect; if all are dropped, that is the end."""
+        parts = [(i, *s) for i, s in enumerate(symbols)]  # start, id, size
+
+        def pair_at(k: int) -> list[tuple[int, int, int]]:
+            found = self._ranks.get((parts[k][1], parts[k + 1][1])) if 0 <= k < len(parts) - 1 else None
+            return [(found[0], parts[k][0], found[1])] if found else []
+
+        seen = [p for k in range(len(parts)) for p in pair_at(k)]
+        while seen:
+            seen.sort()
+            chosen = next((p for p in seen if random.random() >= self.dropout), None)
+            if chosen is None:
+                break
+            seen.remove(chosen)
+            k = next((k for k, part in enumerate(parts) if part[0] == chosen[1]), -1)
+            if (now := pair_at(k)) and now[0][2] == chosen[2]:
+                parts[k : k + 2] = [(chosen[1], chosen[2], parts[k][2] + parts[k + 1][2])]
+                seen += pair_at(k) + pair_at(k - 1)
+        return [[i, size] for _, i, size in parts]
 
     def tokenize(self, word: str) -> list[Token]:
         if not word:
@@ -406,3 +434,20 @@ class Remembering:
                     self.kept.clear()
                 self.kept[word] = found
         return found
+
+
+def ids_of_lists(lists: pa.ListArray, kernel: Remembering) -> pa.ListArray:
+    """Token ids of arrays of words; each distinct word of a batch is tokenized once, unless the model is random."""
+    words, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    if kernel.model.is_random:
+        distinct, codes = words.to_pylist(), np.arange(len(words))
+    else:
+        coded = words.dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+    made = [[t.id for t in kernel.tokenize(w)] if w else [] for w in [*distinct, None]]
+    lengths = np.array([len(m) for m in made])
+    flat, starts, lengths_of = np.array([i for m in made for i in m], np.int64), np.cumsum(lengths) - lengths, lengths[codes]
+    ends = np.cumsum(lengths_of)
+    ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + lengths_of, lengths_of)]
+    offsets = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int64()), mask=lists.is_null())

@@ -68,10 +68,14 @@ class BpeTrainer:
     end_of_word_suffix: str = ""
     max_token_length: int | None = None
 
+    def character_counts(self, counts: DataFrame) -> DataFrame:
+        """Rows (char, n): how often each character occurs in all words."""
+        chars = counts.select(F.explode(F.split("word", "")).alias("char"), "count").where("char != ''")
+        return chars.groupBy("char").agg(F.sum("count").alias("n"))
+
     def alphabet(self, counts: DataFrame) -> list[str]:
         """The kept characters in order of code points."""
-        chars = counts.select(F.explode(F.split("word", "")).alias("char"), "count").where("char != ''")
-        weights = chars.groupBy("char").agg(F.sum("count").alias("n"))
+        weights = self.character_counts(counts)
         if self.limit_alphabet is not None:
             forced = list(self.initial_alphabet)
             weights = weights.where(~F.col("char").isin(forced)) if forced else weights
@@ -119,13 +123,14 @@ class BpeTrainer:
             merged_since += len(found)
             if merged_since >= 64:
                 words, merged_since = cuts.table(words), 0
+        cuts.drop()
         return Bpe(vocab, tuple(merges), continuing_subword_prefix=self.continuing_subword_prefix or None, end_of_word_suffix=self.end_of_word_suffix or None)
 
-    def _independent_pairs(self, words: DataFrame, vocab: dict[str, int], sizes: dict[str, int], most: int = 64) -> list[tuple[str, str]]:
-        """The next merges in order, as many as are certain: each is more frequent than any pair the ones before it can give rise to."""
+    def pair_counts(self, words: DataFrame) -> DataFrame:
+        """Rows (a, b, n, follows) of words given as ' a  b  c ': how often each pair occurs, and how often any pair can that its merge gives rise to."""
         s = F.split(F.trim("symbols"), "  ")
         split = words.select(s.alias("s"), "count").where(F.size("s") > 1)
-        # each pair with the symbols around it, so that one count gives pairs and what may follow from them
+        # each pair with the symbol after it, so that one count gives pairs and what may follow from them
         rows = split.select("count", F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(F.get("s", i).alias("a"), F.get("s", i + 1).alias("b"), F.get("s", i + 2).alias("c")))).alias("p")).select("count", "p.*")
         triples = rows.groupBy("a", "b", "c").agg(F.sum("count").alias("n"))
         third = F.col("c").isNotNull()
@@ -133,27 +138,26 @@ class BpeTrainer:
         first = F.struct("a", "b", "n", F.when(third, F.col("n")).otherwise(0).alias("follows"))
         second = F.when(third, F.struct(F.col("b").alias("a"), F.col("c").alias("b"), F.lit(0).cast("long").alias("n"), F.col("n").alias("follows")))
         both = triples.select(F.explode(F.array_compact(F.array(first, second))).alias("p")).select("p.*")
-        pairs = both.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("follows").alias("follows")).where(F.col("n") >= max(self.min_frequency, 1))
+        return both.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("follows").alias("follows"))
+
+    def _independent_pairs(self, words: DataFrame, vocab: dict[str, int], sizes: dict[str, int], most: int = 64) -> list[tuple[str, str]]:
+        """The next merges in order, as many as are certain: each is more frequent than any pair the ones before it can give rise to."""
+        pairs = self.pair_counts(words).where(F.col("n") >= max(self.min_frequency, 1))
+        # ties go by the ids of the symbols; the vocabulary's size bounds what is broadcast
+        known = words.sparkSession.createDataFrame([(t.replace(" ", _SPACE), i, sizes[t]) for t, i in vocab.items() if t in sizes], "token string, id long, size int")
+        of = lambda c: F.broadcast(known.select(F.col("token").alias(c), F.col("id").alias(f"id_{c}"), F.col("size").alias(f"size_{c}")))
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b")
         if self.max_token_length is not None:
             # pairs of first symbols always count; of those that merges give rise to, only the shorter ones
-            known = [(t.replace(" ", _SPACE), n) for t, n in sizes.items()]
-            size = lambda c: F.broadcast(words.sparkSession.createDataFrame(known, f"{c} string, size_{c} int"))
             length = F.col("size_a") + F.col("size_b")
-            pairs = pairs.join(size("a"), "a").join(size("b"), "b").where((length == 2) | (length < self.max_token_length)).select("a", "b", "n", "follows")
-        found = pairs.orderBy(F.desc("n")).limit(most + 1).collect()
-        if len(found) > most and found[0]["n"] == found[-1]["n"]:
-            found = pairs.where(F.col("n") == found[0]["n"]).collect()
-        elif len(found) > most:  # there may be more as frequent as the last
-            found = [r for r in found if r["n"] > found[-1]["n"]]
-        top = [(r["n"], r["a"].replace(_SPACE, " "), r["b"].replace(_SPACE, " "), r["follows"]) for r in found]
-        top.sort(key=lambda t: (-t[0], vocab[t[1]], vocab[t[2]]))
+            pairs = pairs.where((length == 2) | (length < self.max_token_length))
         out, used, bound = [], set(), 0
-        for n, a, b, follows in top:
-            if out and (a in used or b in used or n <= bound):
+        for r in pairs.orderBy(F.desc("n"), "id_a", "id_b").limit(most).collect():
+            if out and (r["a"] in used or r["b"] in used or r["n"] <= bound):
                 break
-            out.append((a, b))
-            used |= {a, b}
-            bound = max(bound, follows)
+            out.append((r["a"].replace(_SPACE, " "), r["b"].replace(_SPACE, " ")))
+            used |= {r["a"], r["b"]}
+            bound = max(bound, r["follows"])
         return out
 
 
@@ -211,7 +215,8 @@ class UnigramTrainer:
         return chars.unionByName(top.limit(self.seed_size))
 
     def train(self, counts: DataFrame) -> Unigram:
-        counts = Checkpoints(counts.sparkSession).table(counts)
+        cuts = Checkpoints(counts.sparkSession)
+        counts = cuts.table(counts)
         seeds = [(r["piece"], r["score"]) for r in self.seeds(counts).collect()]  # at most seed_size and the alphabet
         required = sorted({p for p, _ in seeds if len(p) == 1} | set(self.initial_alphabet))
         total = sum(s for _, s in seeds) or 1.0
@@ -226,6 +231,7 @@ class UnigramTrainer:
             if len(kept) >= len(pieces):
                 break
             pieces = kept
+        cuts.drop()
         return self._finalised(pieces, required)
 
     def _model(self, pieces: list[tuple[str, float]]) -> Unigram:
@@ -267,18 +273,25 @@ class UnigramTrainer:
 
         uses = {r["id"]: r["n"] for r in counts.select("word", "count").mapInArrow(used, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
         total = sum(uses.values()) or 1
+
+        def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """How a piece is made of others, if it is its own best segmentation; nothing if it is not."""
+            for batch in batches:
+                ids, others = [], []
+                for i, piece in zip(batch.column("id").to_pylist(), batch.column("piece").to_pylist()):
+                    found = shared.value.nbest(piece, 2)
+                    if found[0][1] == [(0, len(piece), i)]:
+                        ids.append(i)
+                        others.append([j for _, _, j in found[1][1]] if len(found) > 1 and len(piece) > 1 else None)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int32()), "parts": pa.array(others, pa.list_(pa.int32()))})
+
+        given = counts.sparkSession.createDataFrame(pa.table({"id": pa.array(range(1, len(pieces)), pa.int32()), "piece": pa.array([p for p, _ in pieces[1:]], pa.string())}))
         always, losses = [], []
-        for i, (piece, score) in enumerate(pieces):
-            if not i:
-                continue
-            found = model.nbest(piece, 2)
-            if found[0][1] != [(0, len(piece), i)]:
-                continue  # never the best segmentation of itself
-            if len(found) < 2 or len(piece) == 1:
+        for i, parts in sorted(((r["id"], r["parts"]) for r in given.mapInArrow(segmented, "id int, parts array<int>").collect()), key=lambda r: r[0]):
+            piece, score = pieces[i]
+            if parts is None:
                 always.append((piece, score))
-                continue
-            if n := uses.get(i, 0):
-                parts = [j for _, _, j in found[1][1]]
+            elif n := uses.get(i, 0):
                 log_total, new_total = math.log(total), math.log(total + n * (len(parts) - 1))
                 instead = sum(math.log(uses.get(j, 0) + n) - new_total for j in parts)
                 losses.append((n / total * (math.log(n) - log_total - instead), piece, score))

@@ -25,7 +25,7 @@ from textloom.functions.splitters import Splitter, splitter_from_json, splitter_
 from textloom.operators import encodings as E
 from textloom.operators.added_tokens import AddedToken, AddedVocabulary, cut
 from textloom.operators.decoders import Decoder, decoder_from_json, decoder_to_json
-from textloom.operators.models import Bpe, Model, Remembering, Unigram, WordLevel, WordPiece
+from textloom.operators.models import Bpe, Model, Remembering, Unigram, WordLevel, WordPiece, ids_of_lists
 from textloom.operators.processors import Processor, processor_from_json, processor_to_json
 
 
@@ -213,28 +213,30 @@ class TextPipeline:
         text = self.normalizer.column(F.col(text_col)) if self.normalizer else F.col(text_col)
         words = self.splitter.column(text) if self.splitter else F.filter(F.array(text), lambda w: w != "")
 
-        def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             kernel = shared.value._kernel()
             for lists in batches:
-                yield lists.map(lambda ws: None if ws is None else [t.id for w in ws for t in kernel.tokenize(w)])
+                yield ids_of_lists(lists, kernel)
 
-        each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return df.withColumn(ids_col, F.when(F.col(text_col).isNotNull(), F.pandas_udf(each, "array<long>")(words)))
+        each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return df.withColumn(ids_col, F.when(F.col(text_col).isNotNull(), F.arrow_udf(each, "array<long>")(words)))
 
     # -- decoding
 
     def decode(self, df: DataFrame, ids_col: str = "ids", text_col: str = "text", skip_special_tokens: bool = True) -> DataFrame:
         """Adds the text of an array of ids; ids that are no token are left out."""
         special = self.added.special_ids if skip_special_tokens else frozenset()
-        names = df.sparkSession.sparkContext.broadcast({i: t for i, t in {**self.model._by_id, **self.added.contents}.items() if i not in special})
+        names = {i: t for i, t in {**self.model._by_id, **self.added.contents}.items() if i not in special}
+        shared = df.sparkSession.sparkContext.broadcast((self.decoder, names))
 
-        @F.pandas_udf("array<string>")
-        def tokens(ids: pd.Series) -> pd.Series:
-            known = names.value
-            return ids.map(lambda row: None if row is None else [known[i] for i in row if i in known])
+        def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            decoder, known = shared.value
+            text_of = decoder.of_ids(known) if decoder else lambda ids: " ".join([known[i] for i in ids if i in known])
+            for rows in batches:
+                yield pa.array([None if r is None else text_of(r) for r in rows.to_pylist()], pa.string())
 
-        found = tokens(F.col(ids_col))
-        return df.withColumn(text_col, self.decoder.decode(found) if self.decoder else F.array_join(found, " "))
+        each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return df.withColumn(text_col, F.arrow_udf(each, "string")(F.col(ids_col)))
 
     def decode_local(self, ids: list[int], skip_special_tokens: bool = True) -> str:
         """The text of one list of ids."""

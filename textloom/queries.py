@@ -42,7 +42,7 @@ _SQL_WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]"
 _SQL_NOT_WORD = rf"[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}{_SQL_SPACE}]"
 _SQL_PUNCT = r"!-/:-@\[-`{-~\p{P}"
 
-# -- pre-tokenizers: pieces and how often they occur
+# -- splitters: a row for each piece, with its number in all documents
 
 
 def _pieces(splitter: S.Splitter, text: Callable[[Column], Column] = lambda t: t) -> Query:
@@ -294,10 +294,9 @@ _WORD_LIST_SQL = f"regexp_extract_all(text, '[^{_SQL_SPACE}]+')"
 
 def _windows_query(max_length: int, stride: int, direction: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cut = _word_encodings(spark, sf_dir).select("doc_id", E.truncate(F.col("e"), max_length, stride, direction).alias("t"))
-        first = F.struct(*[F.col("t")[f].alias(f) for f in E.FIELDS])
-        rows = cut.select("doc_id", F.posexplode(F.concat(F.array(first), F.col("t.overflowing"))).alias("pos", "w"))
-        return rows.select("doc_id", F.col("pos").cast("long").alias("window"), F.array_join("w.tokens", " ").alias("tokens"))
+        words = _table(spark, sf_dir, "documents").select("doc_id", S.WhitespaceSplit().column(F.col("text")).alias("tokens"))
+        parts = F.transform(E.window_parts(F.col("tokens"), max_length, stride, direction), lambda w: F.array_join(w, " "))
+        return words.select("doc_id", F.posexplode(parts).alias("window", "tokens")).withColumn("window", F.col("window").cast("long"))
 
     return query
 

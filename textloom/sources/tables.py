@@ -19,7 +19,8 @@ class Checkpoints:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            if not spark.sparkContext.master.startswith("local"):
+            master = spark.sparkContext.master
+            if not master.startswith("local[") and master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             _local = _local or tempfile.mkdtemp(prefix="textloom-")
             root = f"file://{_local}"
@@ -32,13 +33,21 @@ class Checkpoints:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Removes the tables, which nothing may read any longer."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
 
 def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """A row (text) for each line of the files, with its line end; the last line may have none."""
-    whole = spark.read.text(paths, wholetext=True)
-    # after each line end
-    lines = F.split("value", r"(?<=\n)")
-    return whole.select(F.explode(lines).alias("text")).where("text != ''")
+    """A row (text) for each line of the files, with its line end; the last line of a file may have none.
+
+    Files are split among tasks like any text.  Whether a file ends within a line shows in its size."""
+    file = F.col("_metadata")
+    lines = spark.read.text(paths, lineSep="\n").select("value", file["file_path"].alias("path"), file["file_size"].alias("size"), F.struct(file["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"))
+    with_ends = F.sum(F.octet_length("value") + 1)
+    cut = lines.groupBy("path").agg(with_ends.alias("bytes"), F.first("size").alias("size"), F.max("at").alias("at")).where("bytes > size").select("path", "at", F.lit("").alias("end"))
+    return lines.join(cut, ["path", "at"], "left").select(F.concat("value", F.coalesce("end", F.lit("\n"))).alias("text"))
 
 
 def batches_of_texts(df: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.plans.pipeline import TextPipeline
@@ -61,12 +62,19 @@ def decode_steps(tokens: DataFrame, pipeline: TextPipeline, skip_special_tokens:
     """Rows (stream_id, pos, id) with the text that each step gave out, or null."""
     shared = tokens.sparkSession.sparkContext.broadcast(pipeline)
 
-    def steps(rows: pd.DataFrame) -> pd.DataFrame:
-        stream = DecodeStream(shared.value, skip_special_tokens)
-        rows = rows.sort_values("pos")
-        return rows.assign(text=[stream.step(int(i)) for i in rows["id"]])[["stream_id", "pos", "id", "text"]]
-
-    return tokens.select("stream_id", "pos", "id").groupBy("stream_id").applyInPandas(steps, "stream_id long, pos long, id long, text string")
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, stream = None, None
+        for rows in batches:
+            out = []
+            for k, i in zip(rows["stream_id"], rows["id"]):
+                if stream is None or k != key:
+                    key, stream = k, DecodeStream(shared.value, skip_special_tokens)
+                out.append(stream.step(int(i)))
+            yield rows.assign(text=out)
+
+    # a stream's rows follow one another in one partition, batch by batch, so a long one need not fit in memory
+    rows = tokens.select(F.col("stream_id").cast("long"), F.col("pos").cast("long"), F.col("id").cast("long"))
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "pos").mapInPandas(steps, "stream_id long, pos long, id long, text string")
 
 
 def decode_streams(tokens: DataFrame, pipeline: TextPipeline, skip_special_tokens: bool = False) -> DataFrame:
