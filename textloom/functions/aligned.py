@@ -11,6 +11,9 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 Span = tuple[int, int]
 BEHAVIORS = ("removed", "isolated", "merged_with_previous", "merged_with_next", "contiguous")
 
@@ -179,3 +182,11 @@ def split_spans(parts: Iterable[tuple[Span, bool]], behavior: str) -> list[Span]
 
 def found_by(pattern: re.Pattern, text: str) -> list[Span]:
     return [m.span() for m in pattern.finditer(text)]
+
+
+def char_slice(text: Column, begin: int, end: int | None = None) -> Column:
+    """The characters from ``begin`` to ``end``; negative places count from the text's end."""
+    n = F.char_length(text)
+    place = lambda i: F.greatest(n + i, F.lit(0)) if i < 0 else F.least(F.lit(i), n)
+    first, stop = place(begin), n if end is None else place(end)
+    return text.substr(first + 1, F.greatest(stop - first, F.lit(0)))

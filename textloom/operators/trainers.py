@@ -34,15 +34,18 @@ def word_counts(texts: DataFrame, text_col: str, splitter: Splitter | None = Non
 
 @dataclass(frozen=True)
 class WordLevelTrainer:
-    vocab_size: int = 30_000
+    """The most frequent words; ``vocab_size`` None keeps all of them."""
+
+    vocab_size: int | None = 30_000
     min_frequency: int = 0
     special_tokens: tuple[str, ...] = ()
 
     def vocab_table(self, counts: DataFrame) -> DataFrame:
         """Rows (token, id): special tokens, then words by falling count and rising text."""
         spark = counts.sparkSession
-        room = max(0, self.vocab_size - len(self.special_tokens))
-        top = counts.where(F.col("count") >= self.min_frequency).orderBy(F.desc("count"), "word").limit(room)
+        top = counts.where(F.col("count") >= self.min_frequency)
+        if self.vocab_size is not None:
+            top = top.orderBy(F.desc("count"), "word").limit(max(0, self.vocab_size - len(self.special_tokens)))
         # a window over the kept rows alone, whose number is the vocabulary's size
         numbered = top.select(F.col("word").alias("token"), (F.row_number().over(Window.orderBy(F.desc("count"), "word")) - 1 + len(self.special_tokens)).cast("long").alias("id"))
         specials = spark.createDataFrame([(t, i) for i, t in enumerate(self.special_tokens)], "token string, id long")
@@ -82,9 +85,9 @@ class BpeTrainer:
             weights = weights.orderBy(F.desc("n"), "char").limit(max(0, self.limit_alphabet - len(forced)))
         return sorted({r["char"] for r in weights.collect()} | set(self.initial_alphabet))
 
-    def _symbols(self, alphabet: list[str]) -> Column:
+    def symbols(self, alphabet: list[str] | None = None) -> Column:
         """Words as ' a  b  c '; characters outside the alphabet are left out."""
-        kept = F.filter(F.split("word", ""), lambda c: (c != "") & c.isin(alphabet)) if self.limit_alphabet is not None else F.filter(F.split("word", ""), lambda c: c != "")
+        kept = F.filter(F.split("word", ""), lambda c: (c != "") & c.isin(alphabet)) if self.limit_alphabet is not None and alphabet is not None else F.filter(F.split("word", ""), lambda c: c != "")
         kept = F.transform(kept, lambda c: F.when(c == " ", _SPACE).otherwise(c))
         if self.continuing_subword_prefix or self.end_of_word_suffix:
             last = F.size(kept) - 1
@@ -97,7 +100,7 @@ class BpeTrainer:
         vocab: dict[str, int] = {}
         for token in [*self.special_tokens, *alphabet]:
             vocab.setdefault(token, len(vocab))
-        words = cuts.table(counts.select(self._symbols(alphabet).alias("symbols"), "count").where("symbols != '  '"))
+        words = cuts.table(counts.select(self.symbols(alphabet).alias("symbols"), "count").where("symbols != '  '"))
         if self.continuing_subword_prefix or self.end_of_word_suffix:
             marked = words.select(F.explode(F.split(F.trim("symbols"), "  ")).alias("s")).distinct().collect()
             for token in sorted(r["s"].replace(_SPACE, " ") for r in marked):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import encode_queries
 from textloom.functions import normalizers as N
 from textloom.functions import splitters as S
 from textloom.functions.chars import WHITE_SPACE, byte_alphabet
@@ -15,9 +17,11 @@ from textloom.operators import decoders as D
 from textloom.operators import encodings as E
 from textloom.operators.models import Bpe, Unigram, WordPiece, bpe_by_replacement, tokens_of_words, word_level_ids
 from textloom.operators.trainers import BpeTrainer, UnigramTrainer, WordLevelTrainer, word_counts
+from textloom.operators.processors import BertProcessor, Processor, RobertaProcessor
 from textloom.plans import presets
 from textloom.plans.pipeline import TextPipeline
 from textloom.plans.training import train
+from textloom.sources.tables import Checkpoints
 from textloom.streaming.decode_stream import decode_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,8 +86,20 @@ def pretok_byte_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(S.ByteLevel(add_prefix_space=False))(spark, sf_dir)
 
 
-_register("pretok_byte_level", pretok_byte_level)
-_register("pretok_unicode_scripts", _pieces(S.UnicodeScripts()))
+_ALPHABET = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in byte_alphabet()) + "]"
+
+
+def _byte_chars_sql(text: str) -> str:
+    """Each UTF-8 byte as its printable character."""
+    return f"array_to_string(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: {_ALPHABET}[CAST('0x' || h AS INT) + 1]), '')"
+
+
+# a mark keeps the last white space of a run apart from the others, which SQL's expressions cannot look ahead for
+_marked = f"regexp_replace(text, '([{_SQL_SPACE}]+)([{_SQL_SPACE}][^{_SQL_SPACE}])', '\\1' || chr(1) || '\\2', 'g')"
+_byte_level = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SQL_SPACE}\p{{L}}\p{{N}}]+|[{_SQL_SPACE}]+"
+_register("pretok_byte_level", pretok_byte_level, f"SELECT {_byte_chars_sql('piece')} AS piece, CAST(sum(n) AS BIGINT) AS n FROM (SELECT replace(raw, chr(1), '') AS piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_marked}, '{_byte_level}')) AS raw FROM documents) GROUP BY ALL) WHERE piece <> '' GROUP BY piece")
+# the documents hold Latin letters and characters of all scripts
+_register("pretok_unicode_scripts", _pieces(S.UnicodeScripts()), _pieces_sql(r"\p{Latin}[\p{Latin} ]*|[^\p{Latin} ][^\p{Latin}]*"))
 
 # -- normalizers: a hash of each normalized text
 
@@ -103,14 +119,30 @@ _register("norm_lowercase", _normalized(N.Lowercase()), _normalized_sql("lower(t
 _register("norm_strip", _normalized(N.Strip()), _normalized_sql(f"regexp_replace(text, '^[{_SQL_SPACE}]+|[{_SQL_SPACE}]+$', '', 'g')"))
 _register("norm_nfc", _normalized(N.UnicodeForm("NFC")), _normalized_sql("nfc_normalize(text)"))
 _register("norm_nfd_strip_accents", _normalized(N.NormalizerSequence((N.UnicodeForm("NFD"), N.StripAccents()))), _normalized_sql("strip_accents(text)"))
-_register("norm_nfkc", _normalized(N.UnicodeForm("NFKC")))
-_register("norm_nfkd", _normalized(N.UnicodeForm("NFKD")))
+#: Characters that compatibility forms change, which the documents do not hold, and what becomes of them.
+_COMPATIBLE = (" \ufb01 \u00bd \uff12 \u2026", " fi 1\u20442 2 ...")
+_decomposed = "text"
+for _c in map(chr, range(0xC0, 0x100)):
+    if unicodedata.decomposition(_c):
+        _decomposed = f"replace({_decomposed}, '{_c}', '{unicodedata.normalize('NFD', _c)}')"
+
+
+def _compatible(form: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _table(spark, sf_dir, "documents").select("doc_id", F.md5(N.UnicodeForm(form).column(F.concat(F.col("text"), F.lit(_COMPATIBLE[0])))).alias("hash"))
+
+    return query
+
+
+_register("norm_nfd", _normalized(N.UnicodeForm("NFD")), _normalized_sql(_decomposed))
+_register("norm_nfkc", _compatible("NFKC"), _normalized_sql(f"nfc_normalize(text) || '{_COMPATIBLE[1]}'"))
+_register("norm_nfkd", _compatible("NFKD"), _normalized_sql(f"{_decomposed} || '{_COMPATIBLE[1]}'"))
 _register("norm_replace", _normalized(N.Replace(Pattern("the"), "$1")), _normalized_sql("replace(text, 'the', '$1')"))
 _register("norm_replace_regex", _normalized(N.Replace(Pattern(r"[aeiou]{2,}", True), "_")), _normalized_sql("regexp_replace(text, '[aeiou]{2,}', '_', 'g')"))
 _register("norm_prepend", _normalized(N.Prepend("▁")), _normalized_sql("CASE WHEN text = '' THEN text ELSE '▁' || text END"))
 _register("norm_nmt", _normalized(N.Nmt()), _normalized_sql(f"regexp_replace(regexp_replace(text, '[{''.join(f'\\x{{{ord(c):X}}}' for c in N.NMT_DROPPED)}]', '', 'g'), '[{''.join(f'\\x{{{ord(c):X}}}' for c in N.NMT_SPACED)}]', ' ', 'g')"))
 _register("norm_bert", _normalized(N.BertNormalizer()), _normalized_sql(f"lower(strip_accents(regexp_replace(text, '[{_SQL_SPACE}]', ' ', 'g')))"))
-_register("norm_byte_level", _normalized(N.ByteChars()))
+_register("norm_byte_level", _normalized(N.ByteChars()), _normalized_sql(_byte_chars_sql("text")))
 
 # -- word level
 
@@ -132,7 +164,7 @@ _register("wordlevel_train", wordlevel_train, f"SELECT * FROM ({_VOCAB_SQL}) UNI
 
 
 def wordlevel_train_min_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return WordLevelTrainer(1 << 20, 25).vocab_table(_lowered_words(spark, sf_dir))
+    return WordLevelTrainer(None, 25).vocab_table(_lowered_words(spark, sf_dir))
 
 
 _register("wordlevel_train_min_frequency", wordlevel_train_min_frequency, f"SELECT word AS token, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM (SELECT word, count(*) AS n FROM ({_WORDS_SQL}) GROUP BY word HAVING count(*) >= 25)")
@@ -167,17 +199,16 @@ _COUNTS_SQL = f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_al
 
 
 def bpe_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _split_words(spark, sf_dir)
-    return counts.select(F.explode(F.split("word", "")).alias("char"), "count").where("char <> ''").groupBy("char").agg(F.sum("count").alias("n"))
+    return BpeTrainer().character_counts(_split_words(spark, sf_dir))
 
 
 _register("bpe_alphabet", bpe_alphabet, f"SELECT char, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS char, n FROM ({_COUNTS_SQL})) GROUP BY char")
 
 
 def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = _split_words(spark, sf_dir).select(F.filter(F.split("word", ""), lambda c: c != "").alias("s"), "count").where(F.size("s") > 1)
-    pairs = chars.select("count", F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.sum("count").alias("n"))
+    """How often each pair of characters occurs: what the trainer's first round counts."""
+    trainer, counts = BpeTrainer(), _split_words(spark, sf_dir)
+    return trainer.pair_counts(counts.select(trainer.symbols().alias("symbols"), "count")).select("a", "b", "n")
 
 
 _register("bpe_pair_counts", bpe_pair_counts, f"SELECT w[i] AS a, w[i + 1] AS b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT regexp_extract_all(word, '(?s).') AS w, n, unnest(range(1, length(word))) AS i FROM ({_COUNTS_SQL})) GROUP BY a, b")
@@ -192,9 +223,9 @@ def bpe_encode_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the merge queue over distinct words."""
-    counts = _split_words(spark, sf_dir)
-    chars = sorted(r["char"] for r in bpe_alphabet(spark, sf_dir).select("char").collect())
+    """The same by merges in rounds over distinct words."""
+    counts = Checkpoints(spark).table(_split_words(spark, sf_dir))
+    chars = BpeTrainer().alphabet(counts)
     vocab = {t: i for i, t in enumerate(dict.fromkeys([*chars, *"".join(a + b for a, b in SMALL_MERGES), *(a + b for a, b in SMALL_MERGES)]))}
     tokens = tokens_of_words(counts, Bpe(vocab, tuple(SMALL_MERGES)))
     return counts.join(tokens, "word").groupBy("token").agg(F.sum("count").alias("n"))
@@ -214,7 +245,27 @@ def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(model.merges)], "rank long, left string, right string")
 
 
-_register("bpe_train", bpe_train)
+# every step merges the most frequent pair in all words; ties go by single characters first, then by code points
+_MERGE_STEPS = f"""WITH RECURSIVE counts AS ({_COUNTS_SQL}), base AS (SELECT regexp_extract_all(word, '(?s).') AS w, n FROM counts), kept AS (SELECT count(DISTINCT c) AS chars FROM (SELECT unnest(w) AS c FROM base)),
+walk(step, symbols, n, a, b) AS (
+  SELECT 0, ' ' || array_to_string(w, '  ') || ' ', n, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM base
+  UNION ALL
+  SELECT w.step + 1, replace(w.symbols, ' ' || p.a || '  ' || p.b || ' ', ' ' || p.a || p.b || ' '), w.n, p.a, p.b FROM walk w, (
+    SELECT s[i] AS a, s[i + 1] AS b FROM (SELECT string_split(trim(symbols, ' '), '  ') AS s, n, unnest(range(1, len(string_split(trim(symbols, ' '), '  ')))) AS i FROM walk)
+    GROUP BY ALL ORDER BY sum(n) DESC, length(a) > 1, a, length(b) > 1, b LIMIT 1) p
+  WHERE w.step < 160 - (SELECT chars FROM kept))"""
+_register("bpe_train", bpe_train, f"{_MERGE_STEPS} SELECT DISTINCT CAST(step - 1 AS BIGINT) AS rank, a AS left, b AS right FROM walk WHERE step > 0")
+
+
+def bpe_encode_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all words by a vocabulary of 160 that is trained on them."""
+    cuts = Checkpoints(spark)
+    counts = cuts.table(_split_words(spark, sf_dir))
+    tokens = tokens_of_words(counts, BpeTrainer(160).train(counts))
+    return counts.join(tokens, "word").groupBy("token").agg(F.sum("count").alias("n"))
+
+
+_register("bpe_encode_trained", bpe_encode_trained, f"{_MERGE_STEPS} SELECT token, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(string_split(trim(symbols, ' '), '  ')) AS token, n FROM walk WHERE step = (SELECT max(step) FROM walk)) GROUP BY token")
 
 # -- word pieces and unigrams
 
@@ -222,7 +273,7 @@ _PIECES = ["[UNK]", "the", "th", "an", "on", "in", "er", "re", "##the", "##th",
 
 
 def wordpiece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = word_counts(_table(spark, sf_dir, "documents"), "text", S.BertSplitter(), N.Lowercase().column(F.col("text")))
+    counts = Checkpoints(spark).table(word_counts(_table(spark, sf_dir, "documents"), "text", S.BertSplitter(), N.Lowercase().column(F.col("text"))))
     tokens = tokens_of_words(counts, WordPiece({t: i for i, t in enumerate(_PIECES)}))
     return counts.join(tokens, "word").groupBy("token").agg(F.sum("count").alias("n"))
 
@@ -244,17 +295,16 @@ SELECT token, CAST(sum(n) AS BIGINT) AS n FROM (
 
 
 def unigram_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated substrings of the benchmark's words, and characters, with their scores."""
-    counts = word_counts(_table(spark, sf_dir, "benchmark"), "text", S.WhitespaceSplit())
-    return UnigramTrainer(max_piece_length=8).seeds(counts)
+    """Repeated substrings of the documents' words, and characters, with their scores."""
+    return UnigramTrainer().seeds(Checkpoints(spark).table(_split_words(spark, sf_dir)))
 
 
 _BENCH_SQL = _COUNTS_SQL.replace("FROM documents", "FROM benchmark")
 _register("unigram_seeds", unigram_seeds, f"""
-WITH words AS ({_BENCH_SQL}), starts AS (SELECT word, unnest(range(1, length(word))) AS p0 FROM words),
-subs AS (SELECT word, p0, unnest(range(2, least(8, length(word) - p0 + 1) + 1)) AS k FROM starts),
+WITH words AS ({_COUNTS_SQL}), starts AS (SELECT word, unnest(range(1, length(word))) AS p0 FROM words),
+subs AS (SELECT word, p0, unnest(range(2, least(16, length(word) - p0 + 1) + 1)) AS k FROM starts),
 parts AS (SELECT substr(word, p0, k) AS piece, substr(word, p0 + k, 1) AS next FROM subs)
-SELECT piece, CAST(count(*) * length(piece) AS DOUBLE) AS score FROM parts GROUP BY piece HAVING count(*) > 1 AND count(DISTINCT next) > 1
+(SELECT piece, CAST(count(*) * length(piece) AS DOUBLE) AS score FROM parts GROUP BY piece HAVING count(*) > 1 AND count(DISTINCT next) > 1 ORDER BY score DESC, piece DESC LIMIT 1000000)
 UNION ALL SELECT char AS piece, CAST(sum(n) AS DOUBLE) AS score FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS char, n FROM words) GROUP BY char""")
 
 #: A toy unigram vocabulary: scores are log probabilities.
@@ -358,7 +408,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(e.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("e").alias("f")), ["conv_id", "turn"])
 
 
-def _pair_template(t: E.Template) -> Query:
+def _pair_template(t: Processor) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _pairs(spark, sf_dir).select("conv_id", "turn", t.apply(F.col("e"), F.col("f")).alias("t"))
         total = lambda f: F.aggregate(f"t.{f}", F.lit(0).cast("long"), lambda s, x: s + x)
@@ -371,8 +421,8 @@ def _pair_sql(added: int, ids: int, types: str) -> str:
     return f"WITH t AS (SELECT conv_id, turn, len(w) AS n, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT conv_id, turn, {_WORD_LIST_SQL} AS w FROM conversations)) SELECT a.conv_id, a.turn, CAST(a.n + b.n + {added} AS BIGINT) AS n, a.s + b.s + {ids} AS id_sum, CAST({types} AS BIGINT) AS type_sum FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn"
 
 
-_register("template_pair_bert", _pair_template(E.bert_template()), _pair_sql(3, 305, "b.n + 1"))
-_register("template_pair_roberta", _pair_template(E.roberta_template()), _pair_sql(4, 6, "0"))
+_register("template_pair_bert", _pair_template(BertProcessor()), _pair_sql(3, 305, "b.n + 1"))
+_register("template_pair_roberta", _pair_template(RobertaProcessor(trim_offsets=False)), _pair_sql(4, 6, "0"))
 
 
 def encoding_char_to_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,11 +439,11 @@ _register("encoding_char_to_token", encoding_char_to_token, f"SELECT doc_id, n A
 def encode_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with their character offsets: a row for each token."""
     pipe = TextPipeline(WordPiece({"[UNK]": 0}), N.Lowercase(), S.WhitespaceSplit())
-    rows = E.token_rows(pipe.encode(_table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")), "encoding", ["doc_id", "text"])
+    rows = E.token_rows(pipe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")), "encoding", ["doc_id", "text"])
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("source"))
 
 
-_register("encode_offsets", encode_offsets, f"SELECT item_id AS doc_id, CAST(unnest(range(0, len(w))) AS BIGINT) AS pos, unnest(w) AS source FROM (SELECT item_id, {_WORD_LIST_SQL} AS w FROM benchmark)")
+_register("encode_offsets", encode_offsets, f"SELECT doc_id, CAST(unnest(range(0, len(w))) AS BIGINT) AS pos, unnest(w) AS source FROM (SELECT doc_id, {_WORD_LIST_SQL} AS w FROM documents)")
 
 # -- decoders over the words of conversations
 
@@ -419,8 +469,19 @@ _clean = "x"
 for _from, _to in D.CLEANUP:
     _clean = f"replace({_clean}, '{_from.replace(chr(39), chr(39) * 2)}', '{_to.replace(chr(39), chr(39) * 2)}')"
 _register("decode_wordpiece", _decoded(D.WordPieceDecoder("th")), _decoded_sql("array_to_string(list_transform(w, lambda y, i: list_transform([CASE WHEN i = 1 THEN y WHEN y LIKE 'th%' THEN substr(y, 3) ELSE ' ' || y END], lambda x: " + _clean + ")[1]), '')"))
-_register("decode_ctc", _decoded(D.CtcDecoder("e", "t"), lambda w: F.split(F.array_join(w, ""), "")), None)
-_register("decode_byte_fallback", _decoded(D.ByteFallbackDecoder()))
+_characters = "regexp_extract_all(array_to_string(w, ''), '(?s).')"
+_register("decode_ctc", _decoded(D.CtcDecoder("e", "t"), lambda w: F.split(F.array_join(w, ""), "")), f"SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(s, lambda x, i: CASE WHEN i = 1 OR x <> s[i - 1] THEN x ELSE 'e' END), lambda x: x <> 'e'), lambda x: CASE WHEN x = 't' THEN ' ' ELSE x END), '') AS decoded FROM (SELECT conv_id, turn, {_characters} AS s FROM (SELECT conv_id, turn, {_WORD_LIST_SQL} AS w FROM conversations))")
+
+
+def _as_bytes(words: Column) -> Column:
+    """Words of some lengths as byte tokens, of others as bytes that are no text, and the others as they are."""
+    of_bytes = lambda w: F.transform(F.regexp_extract_all(F.hex(w), F.lit(".."), F.lit(0)), lambda h: F.concat(F.lit("<0x"), h, F.lit(">")))
+    end = F.array(F.lit("_"))
+    each = lambda w: F.when(F.length(w) % 3 == 0, F.concat(of_bytes(w), end)).when(F.length(w) % 3 == 1, F.concat(F.array(F.lit("<0xFF>"), F.lit("<0xC3>")), end)).otherwise(F.array(w))
+    return F.flatten(F.transform(words, each))
+
+
+_register("decode_byte_fallback", _decoded(D.ByteFallbackDecoder(), _as_bytes), _decoded_sql("array_to_string(list_transform(w, lambda x: CASE length(x) % 3 WHEN 0 THEN x || '_' WHEN 1 THEN chr(65533) || chr(65533) || '_' ELSE x END), '')"))
 
 # -- round trips, vocabularies, statistics
 
@@ -466,14 +527,15 @@ _register("chat_template", chat_template, "SELECT conv_id, string_agg('<|' || ro
 
 
 def decode_stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte tokens of each benchmark item given out step by step, joined again."""
+    """Byte tokens of each turn of the conversations given out step by step, joined again."""
     pipe = presets.byte_level_bpe(Bpe({c: i for i, c in enumerate(byte_alphabet())}, ()))
-    ids = pipe.encode_ids(_table(spark, sf_dir, "benchmark")).select(F.col("item_id").alias("stream_id"), F.posexplode("ids").alias("pos", "id"))
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), "text")
+    ids = pipe.encode_ids(turns).select("stream_id", F.posexplode("ids").alias("pos", "id"))
     steps = decode_steps(ids, pipe).where("text IS NOT NULL").groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("s"))
-    return steps.select(F.col("stream_id").alias("item_id"), F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"))
+    return steps.select("stream_id", F.size("s").cast("long").alias("steps"), F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"))
 
 
-_register("decode_stream_steps", decode_stream_steps, "SELECT item_id, text FROM benchmark")
+_register("decode_stream_steps", decode_stream_steps, "SELECT conv_id * 1000 + turn AS stream_id, length(text) AS steps, text FROM conversations WHERE text <> ''")
 
 
 def byte_bpe_train_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,3 +548,6 @@ def byte_bpe_train_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("byte_bpe_train_encode", byte_bpe_train_encode, "SELECT doc_id, md5(text) AS hash FROM documents")
+
+QUERIES |= encode_queries.QUERIES
+ORACLE_SQL |= encode_queries.ORACLE_SQL
