@@ -22,7 +22,7 @@ from textloom.plans.training import train, train_from_files
 from textloom.sources.tables import text_lines
 from textloom.streaming.decode_stream import decode_steps, decode_streams
 
-TEXTS = ["Hey friend!  How are you?", "Café — déjà-vu 123½ ２", "", "ΟΔΥΣΣΕΎΣ 我今天", "a\tb\nc  d", " lead and trail ", "don't they're x's", "ﬁ ½ é", None]
+TEXTS = ["so far, so good?  Yes: it is!", "Café — déjà-vu 123½ ２", "", "ΟΔΥΣΣΕΎΣ 我今天", "a\tb\nc  d", " lead and trail ", "don't they're x's", "ﬁ ½ é", None]
 
 
 @pytest.mark.parametrize("splitter", [S.Whitespace(), S.WhitespaceSplit(), S.BertSplitter(), *(S.Punctuation(b) for b in ("removed", "isolated", "merged_with_previous", "merged_with_next", "contiguous")), S.Digits(), S.Digits(True), S.FixedLength(3), S.Metaspace(), S.Metaspace(split=False), S.ByteLevel(), S.ByteLevel(False), S.CharDelimiterSplit(" "), S.Split(Pattern(r"\w+", True), "isolated"), S.Split(Pattern(r"\w+", True), "removed", invert=True), S.Split(Pattern(" "), "merged_with_next"), S.SplitterSequence((S.WhitespaceSplit(), S.Punctuation())), S.UnicodeScripts()], ids=str)
@@ -97,7 +97,7 @@ def test_padding_templates_and_lookups(spark):
 
 
 def test_trimmed_offsets(spark):
-    tokens = ["ĠHello", "Ġthere", "ĠĠ", "x"]
+    tokens = ["Ġgreen", "Ġleave", "ĠĠ", "x"]
     spans = [(0, 6), (6, 12), (12, 14), (14, 15)]
     rows = [([{"id": 0, "value": t, "start": a, "end": b} for t, (a, b) in zip(tokens, spans)],)]
     df = spark.createDataFrame(rows, "t array<struct<id:long,value:string,start:int,end:int>>")
@@ -106,24 +106,24 @@ def test_trimmed_offsets(spark):
 
 
 def test_encode_pairs_words_and_offsets(spark):
-    vocab = {t: i for i, t in enumerate("[PAD] [UNK] [CLS] [SEP] hello world how are you , ? he ##llo the".split())}
+    vocab = {t: i for i, t in enumerate("[PAD] [UNK] [CLS] [SEP] some words how are you , ? so ##me the".split())}
     pipe = presets.bert_word_piece(WordPiece(vocab))
-    df = spark.createDataFrame([(1, "Héllo world, how?", None), (2, None, None), (3, "the world", "how are you"), (4, "", "")], "id int, text string, pair string")
+    df = spark.createDataFrame([(1, "Söme wörds, how?", None), (2, None, None), (3, "the words", "how are you"), (4, "", "")], "id int, text string, pair string")
     cut = pipe.with_(truncation=Truncation(6, 1), padding=Padding(8))
     rows = {r.id: r.encoding for r in cut.encode(df, "text", "pair").collect()}
     assert rows[2] is None and all(len(e.ids) == 8 for e in rows.values() if e)
-    assert rows[1].tokens == ["[CLS]", "hello", "world", ",", "how", "[SEP]", "[PAD]", "[PAD]"] and tuple(rows[1].offsets[2]) == (6, 11)
+    assert rows[1].tokens == ["[CLS]", "some", "words", ",", "how", "[SEP]", "[PAD]", "[PAD]"] and tuple(rows[1].offsets[2]) == (5, 10)
     assert [w.tokens[1:3] for w in rows[1].overflowing] == [["how", "?"]]
     assert rows[3].ids[:6] == [2, vocab["the"], 3, vocab["how"], vocab["are"], 3] and len(rows[3].overflowing) > 0
     plain = pipe.encode(df.where("id = 1"), offset_type="byte").first().encoding
-    assert [tuple(o) for o in plain.offsets][1:3] == [(0, 6), (7, 12)]
+    assert [tuple(o) for o in plain.offsets][1:3] == [(0, 5), (6, 12)]
     assert set(pipe.encode(df.where("id = 1"), offset_type="none").first().encoding.tokens) == {"[CLS]", "", "[SEP]"}
-    words = spark.createDataFrame([(["Hello", "you"],)], "text array<string>")
+    words = spark.createDataFrame([(["Some", "you"],)], "text array<string>")
     e = pipe.encode(words).first().encoding
-    assert e.word_ids == [None, 0, 1, None] and [tuple(o) for o in e.offsets][1:3] == [(0, 5), (0, 3)]
+    assert e.word_ids == [None, 0, 1, None] and [tuple(o) for o in e.offsets][1:3] == [(0, 4), (0, 3)]
     ids = pipe.encode_ids(df).collect()
     assert ids[0].ids == [4, 5, 9, 6, 10] and ids[1].ids is None and ids[3].ids == []
-    assert pipe.decode(pipe.encode_ids(df), "ids", "back").first().back == "hello world, how?"
+    assert pipe.decode(pipe.encode_ids(df), "ids", "back").first().back == "some words, how?"
 
 
 def test_processors_round_trip_as_json():
@@ -133,13 +133,13 @@ def test_processors_round_trip_as_json():
     assert BertProcessor().added_tokens(True) == 3 and RobertaProcessor().added_tokens(True) == 4 and ProcessorSequence(parts[:2]).added_tokens(False) == 4
 
 
-COUNTS = {"roses": 1, "are": 2, "red": 1, "voilets": 1, "blue": 1, "BERT": 1, "is": 2, "big": 1, "and": 1, "so": 1, "GPT-2": 1}
+COUNTS = {"stone": 1, "ten": 3, "net": 1, "tents": 2, "on": 2, "OK": 1, "no-go": 1}
 
 
 def test_word_level_training_is_a_top_k(spark):
     counts = spark.createDataFrame(list(COUNTS.items()), "word string, count long")
-    assert WordLevelTrainer(5, 0, ("<unk>",)).train(counts).vocab == {"<unk>": 0, "are": 1, "is": 2, "BERT": 3, "GPT-2": 4}
-    assert set(WordLevelTrainer(min_frequency=2).train(counts).vocab) == {"are", "is"}
+    assert WordLevelTrainer(5, 0, ("<unk>",)).train(counts).vocab == {"<unk>": 0, "ten": 1, "on": 2, "tents": 3, "OK": 4}
+    assert set(WordLevelTrainer(min_frequency=2).train(counts).vocab) == {"ten", "on", "tents"}
 
 
 def merges_one_by_one(counts, steps):
@@ -168,7 +168,7 @@ def merges_one_by_one(counts, steps):
 def test_merges_in_rounds_equal_merges_one_by_one(spark):
     counts = spark.createDataFrame(list(COUNTS.items()), "word string, count long")
     model = BpeTrainer(min_frequency=2).train(counts)
-    assert model.merges == (("r", "e"), ("a", "re"), ("i", "s")) and model.vocab["re"] == 22
+    assert list(model.merges[:3]) == merges_one_by_one(COUNTS, 3) == [("e", "n"), ("t", "en"), ("o", "n")]
     rng = random.Random(5)
     words = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))): rng.randint(1, 60) for _ in range(80)}
     model = BpeTrainer(30).train(spark.createDataFrame(list(words.items()), "word string, count long"))
@@ -178,8 +178,8 @@ def test_merges_in_rounds_equal_merges_one_by_one(spark):
 def test_word_piece_and_limits(spark):
     counts = spark.createDataFrame(list(COUNTS.items()), "word string, count long")
     pieces = WordPieceTrainer(60, special_tokens=("[UNK]",)).train(counts)
-    assert pieces.vocab["[UNK]"] == 0 and "##ue" in pieces.vocab and "are" in pieces.vocab and len(pieces.vocab) <= 60
-    assert [t.value for t in pieces.tokenize("are")] == ["are"]
+    assert pieces.vocab["[UNK]"] == 0 and "##ne" in pieces.vocab and "stone" in pieces.vocab and len(pieces.vocab) <= 60
+    assert [t.value for t in pieces.tokenize("stone")] == ["stone"]
     few = BpeTrainer(10, limit_alphabet=3, initial_alphabet=("z",)).alphabet(counts)
     assert few == sorted(few) and "z" in few and len(few) == 3
     assert max(map(len, BpeTrainer(100, max_token_length=2).train(counts).vocab)) <= 2
@@ -201,9 +201,10 @@ def test_long_pairs_do_not_crowd_out_admissible_ones(spark):
 
 
 def test_unigram_seeds_and_training(spark):
-    counts = spark.createDataFrame([("This is a", 1), ("こんにちは友達", 1)], "word string, count long")
+    counts = spark.createDataFrame([("papa", 2), ("paxpy", 1), ("みずうみ", 1)], "word string, count long")
     seeds = {r.piece: r.score for r in UnigramTrainer().seeds(counts).collect()}
-    assert seeds["is "] == 6 and seeds["s "] == 4 and {k for k in seeds if len(k) > 1} == {"is ", "s "}
+    # "pa" stands before p, at an end and before x, once in each distinct word
+    assert seeds["pa"] == 6 and seeds["p"] == 6 and {k for k in seeds if len(k) > 1} == {"pa"}
     text = "the cat and the dog and the bird sat on the mat with the other cat " * 4
     df = spark.createDataFrame([(text,)], "text string")
     words = word_counts(df, "text", S.Metaspace())

@@ -160,6 +160,23 @@ def encode_truncated_and_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "turn", (F.size("e.overflowing") + 1).cast("long").alias("windows"), _sum("e.attention_mask").alias("attended"), F.size("e.ids").cast("long").alias("length"))
 
 
+def _early(direction: str) -> Query:
+    """What is left of a text cut to 12 tokens, where no more words are tokenized than that takes."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pipe = TextPipeline(_UNKNOWN, splitter=S.WhitespaceSplit(), truncation=Truncation(12, direction=direction))
+        made = _encoded(spark, sf_dir, pipe, overflow=False).where(F.size("e.ids") > 0)
+        first, last = F.col("e.offsets")[0], F.element_at("e.offsets", -1)
+        return made.select("conv_id", "turn", F.size("e.ids").cast("long").alias("kept"), F.size("e.overflowing").cast("long").alias("windows"), F.substring(F.col("text"), first["start"] + 1, first["end"] - first["start"]).alias("first"), F.substring(F.col("text"), last["start"] + 1, last["end"] - last["start"]).alias("last"), F.element_at(E.words(F.col("e")), -1).cast("long").alias("word"))
+
+    return query
+
+
+for _direction, _ends in (("right", ("w[1]", "w[least(len(w), 12)]")), ("left", ("w[greatest(len(w) - 11, 1)]", "w[-1]"))):
+    QUERIES[f"encode_early_exit_{_direction}"] = _early(_direction)
+    ORACLE_SQL[f"encode_early_exit_{_direction}"] = f"SELECT conv_id, turn, CAST(least(len(w), 12) AS BIGINT) AS kept, CAST(0 AS BIGINT) AS windows, {_ends[0]} AS first, {_ends[1]} AS last, CAST(least(len(w), 12) - 1 AS BIGINT) AS word FROM {_TURNS} WHERE len(w) > 0"
+
+
 def _pair_cut(strategy: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         a = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(S.WhitespaceSplit().column(F.col("text"))).alias("n1"))

@@ -312,6 +312,11 @@ def token_to_word(encoding: Column, token: Column | int) -> Column:
     return F.get(encoding["word_ids"], token if isinstance(token, Column) else F.lit(token))
 
 
+def words(encoding: Column) -> Column:
+    """An older name of the word ids."""
+    return encoding["word_ids"]
+
+
 def token_to_sequence(encoding: Column, token: Column | int) -> Column:
     return F.get(encoding["sequence_ids"], token if isinstance(token, Column) else F.lit(token))
 

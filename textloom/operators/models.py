@@ -423,18 +423,28 @@ class Remembering:
     """A model with the results of frequent words kept; random models keep none."""
 
     model: Model
+    capacity: int = CACHE_WORDS
     kept: dict[str, list[Token]] = field(default_factory=dict)
 
     def tokenize(self, word: str) -> list[Token]:
         found = self.kept.get(word)
         if found is None:
             found = self.model.tokenize(word)
-            if len(word) <= CACHE_CHARS and not self.model.is_random:
-                if len(self.kept) >= CACHE_WORDS:
-                    self.kept.clear()
+            if self.capacity and len(word) <= CACHE_CHARS and not self.model.is_random:
+                if len(self.kept) >= self.capacity:
+                    self.clear()
                 self.kept[word] = found
         return found
 
+    def clear(self) -> None:
+        self.kept.clear()
+
+    def resize(self, capacity: int) -> None:
+        """Another capacity; what is kept beyond it goes."""
+        self.capacity = capacity
+        while len(self.kept) > capacity:
+            self.kept.popitem()
+
 
 def ids_of_lists(lists: pa.ListArray, kernel: Remembering) -> pa.ListArray:
     """Token ids of arrays of words; each distinct word of a batch is tokenized once, unless the model is random."""

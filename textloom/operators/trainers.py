@@ -10,6 +10,7 @@ words; only tables of the size of the vocabulary reach the driver.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +25,13 @@ from textloom.functions.splitters import Splitter
 from textloom.operators.models import Bpe, Unigram, WordLevel, WordPiece
 from textloom.sources.tables import Checkpoints
 
+log = logging.getLogger(__name__)
+
+
+def number_of_words(counts: DataFrame) -> int:
+    """How many distinct words a trainer is given."""
+    return counts.count()
+
 
 def word_counts(texts: DataFrame, text_col: str, splitter: Splitter | None = None, normalize: Column | None = None) -> DataFrame:
     """Rows (word, count) of a text column."""
@@ -123,6 +131,7 @@ class BpeTrainer:
                 x, y, z = (t.replace(" ", _SPACE) for t in (a, b, token))
                 chain = F.replace(chain, F.lit(f" {x}  {y} "), F.lit(f" {z} "))
             words = words.select(chain.alias("symbols"), "count")
+            log.info("%d of %d tokens", len(vocab), self.vocab_size)
             merged_since += len(found)
             if merged_since >= 64:
                 words, merged_since = cuts.table(words), 0
@@ -228,6 +237,7 @@ class UnigramTrainer:
         while True:
             for _ in range(self.n_sub_iterations):
                 pieces = self._maximised(pieces, self._expected(counts, pieces))
+            log.info("%d pieces, %d wanted", len(pieces), goal)
             if len(pieces) <= goal:
                 break
             kept = self._pruned(counts, pieces, goal)

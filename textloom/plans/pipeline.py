@@ -9,7 +9,7 @@ Truncation, special tokens and padding are column expressions.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from itertools import accumulate
 
@@ -103,63 +103,79 @@ class TextPipeline:
     def _kernel(self) -> Remembering:
         return Remembering(self.model)
 
-    def tokens_of(self, text: str, kernel: Remembering | None = None, finders: list | None = None) -> list[tuple[int, str, int, int, int]]:
-        """(id, token, word, start, end) of one text, in characters of the original."""
-        model = kernel or self._kernel()
-        raw, normalized = finders or self.added.finders(self.normalizer)
-        out, word = [], 0
+    def _words(self, text: str, finders: list) -> Iterator[tuple[Aligned, int | None]]:
+        """The words that the model is to read, and added tokens with their id, in order."""
+        raw, normalized = finders
         for piece, found in cut(Aligned(text), raw):
             parts = [(piece, found)]
             if found is None:
                 parts = cut(self.normalizer.align(piece) if self.normalizer else piece, normalized)
             for part, i in parts:
                 if i is not None:
-                    out.append((i, self.added.contents[i], word, *part.to_original(0, len(part.text))))
-                    word += 1
-                    continue
-                for w in self.splitter.align([part]) if self.splitter else [part]:
-                    if w.text:
-                        out += [(t.id, t.value, word, *w.to_original(t.start, t.end)) for t in model.tokenize(w.text)]
-                        word += 1
-        return out
+                    yield part, i
+                else:
+                    yield from ((w, None) for w in (self.splitter.align([part]) if self.splitter else [part]) if w.text)
+
+    def tokens_of(self, text: str, kernel: Remembering | None = None, finders: list | None = None, most: int | None = None, direction: str = "right") -> list[tuple[int, str, int, int, int]]:
+        """(id, token, word, start, end) of one text, in characters of the original.
 
-    def _raw(self, df: DataFrame, columns: dict[str, str], offset_type: str) -> DataFrame:
-        """Adds, for each column of texts or of words, the struct of what the model gives."""
+        With ``most``, words beyond those that give so many tokens are not tokenized; from the end if the direction is left."""
+        model = kernel or self._kernel()
+        words: Iterable[tuple[Aligned, int | None]] = self._words(text, finders or self.added.finders(self.normalizer))
+        if most is not None and direction == "left":
+            words = reversed(list(words))
+        found, n = [], 0
+        for w, i in words:
+            if most is not None and n >= most:
+                break
+            found.append([(i, self.added.contents[i], *w.to_original(0, len(w.text)))] if i is not None else [(t.id, t.value, *w.to_original(t.start, t.end)) for t in model.tokenize(w.text)])
+            n += len(found[-1])
+        if most is not None and direction == "left":
+            found.reverse()
+        return [(i, token, k, a, b) for k, word in enumerate(found) for i, token, a, b in word]
+
+    def _raw(self, df: DataFrame, columns: dict[str, str], offset_type: str, limits: dict[str, int | None]) -> DataFrame:
+        """Adds, for each column of texts or of words, the struct of what the model gives; of a text no more words than its limit needs."""
         shared = df.sparkSession.sparkContext.broadcast(self)
         given = {c: dict(df.dtypes)[c] for c in columns}
 
-        def rows_of(value, kernel: Remembering, finders: list) -> list[tuple[int, str, int, int, int]]:
+        def rows_of(value, kernel: Remembering, finders: list, most: int | None) -> list[tuple[int, str, int, int, int]]:
             pipe = shared.value
             if isinstance(value, list):  # words: offsets start again in each
                 return [(i, t, k, a, b) for k, w in enumerate(value) for i, t, _, a, b in _offsets(pipe.tokens_of(w or "", kernel, finders), w or "", offset_type)]
-            return _offsets(pipe.tokens_of(value, kernel, finders), value, offset_type)
+            return _offsets(pipe.tokens_of(value, kernel, finders, most, pipe.truncation.direction if most is not None else "right"), value, offset_type)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kernel, finders = shared.value._kernel(), shared.value.added.finders(shared.value.normalizer)
             for whole in batches:
                 for at in range(0, whole.num_rows, 500):
                     batch = whole.slice(at, 500)
-                    made = [_raw_array([None if v is None else rows_of(v, kernel, finders) for v in batch.column(c).to_pylist()]) for c in columns]
+                    made = [_raw_array([None if v is None else rows_of(v, kernel, finders, limits[c]) for v in batch.column(c).to_pylist()]) for c in columns]
                     yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *columns.values()])
 
         if bad := [c for c, kind in given.items() if kind not in ("string", "array<string>")]:
             raise ValueError(f"columns {bad} hold neither texts nor words")
         return df.mapInArrow(each, T.StructType([*df.schema.fields, *(T.StructField(n, _RAW) for n in columns.values())]))
 
-    def encode(self, df: DataFrame, text_col: str = "text", pair_col: str | None = None, encoding_col: str = "encoding", add_special_tokens: bool = True, offset_type: str = "char", batch_by: list[str] | None = None) -> DataFrame:
+    def encode(self, df: DataFrame, text_col: str = "text", pair_col: str | None = None, encoding_col: str = "encoding", add_special_tokens: bool = True, offset_type: str = "char", batch_by: list[str] | None = None, overflow: bool = True) -> DataFrame:
         """Adds an encoding (see ``encodings.ENCODING``).  Select and filter before: only then does the scan profit.
 
-        A null text has a null encoding; a row with a null pair is encoded as a single text."""
+        A null text has a null encoding; a row with a null pair is encoded as a single text.  Without ``overflow`` a
+        pipeline that truncates stops tokenizing a text once it has what is kept, and no windows are given."""
         if offset_type not in ("char", "byte", "none"):
             raise ValueError("offsets are in char, byte or none")
         columns = {text_col: "__first"} | ({pair_col: "__second"} if pair_col else {})
-        raw = self._raw(df, columns, offset_type)
+        t = self.truncation
+        most = t.max_length if t and not overflow else None
+        limits = {c: None if name == "__first" and t and t.strategy == "only_second" else most for c, name in columns.items()}
+        raw = self._raw(df, columns, offset_type, limits)
         first, second = _encoding(F.col("__first"), 0), _encoding(F.col("__second"), 1) if pair_col else None
         raw = raw.withColumn("__a", first)
         if pair_col:
             raw = raw.withColumn("__b", second)
         single = self._finished(F.col("__a"), None, add_special_tokens)
         made = single if not pair_col else F.when(F.col("__second").isNull(), single).otherwise(self._finished(F.col("__a"), F.col("__b"), add_special_tokens))
+        made = made if overflow else E.with_overflow(made)
         out = raw.withColumn(encoding_col, F.when(F.col("__first").isNotNull(), made)).drop("__first", "__second", "__a", "__b")
         p = self.padding
         if p:

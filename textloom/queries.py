@@ -251,8 +251,8 @@ walk(step, symbols, n, a, b) AS (
   SELECT 0, ' ' || array_to_string(w, '  ') || ' ', n, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM base
   UNION ALL
   SELECT w.step + 1, replace(w.symbols, ' ' || p.a || '  ' || p.b || ' ', ' ' || p.a || p.b || ' '), w.n, p.a, p.b FROM walk w, (
-    SELECT s[i] AS a, s[i + 1] AS b FROM (SELECT string_split(trim(symbols, ' '), '  ') AS s, n, unnest(range(1, len(string_split(trim(symbols, ' '), '  ')))) AS i FROM walk)
-    GROUP BY ALL ORDER BY sum(n) DESC, length(a) > 1, a, length(b) > 1, b LIMIT 1) p
+    SELECT a, b FROM (SELECT s[i] AS a, s[i + 1] AS b, n FROM (SELECT string_split(trim(symbols, ' '), '  ') AS s, n, unnest(range(1, len(string_split(trim(symbols, ' '), '  ')))) AS i FROM walk))
+    GROUP BY a, b ORDER BY sum(n) DESC, length(a) > 1, a, length(b) > 1, b LIMIT 1) p
   WHERE w.step < 160 - (SELECT chars FROM kept))"""
 _register("bpe_train", bpe_train, f"{_MERGE_STEPS} SELECT DISTINCT CAST(step - 1 AS BIGINT) AS rank, a AS left, b AS right FROM walk WHERE step > 0")
 
