@@ -1,7 +1,12 @@
-"""The corpus pipeline: stages take effect, keep the columns, and leave clean documents alone."""
+"""The corpus pipeline: stages take effect, keep the columns, leave clean documents alone, and equal brute force."""
 
 import corpus_pipeline
 import pandas as pd
+from pyspark.sql import functions as F
+from test_text_operators import brute_contamination, brute_lines, similarity
+
+from textloom.llm import line_dedup
+from textloom.llm.common import vocabulary
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +35,60 @@ def test_run_and_odd_documents(spark, tmp_path):
     rows = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     kept = {r.doc_id for r in rows}
     assert kept and not kept & set(odd.doc_id) and all(r.round_trip for r in rows)
+
+
+def test_stages_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spoken = corpus_pipeline.language(spark, docs, SF)
+    rows = [(r.doc_id, r.text) for r in spoken.collect()]
+    assert len({i for i, _ in rows}) == len(rows)
+
+    lines, gone = brute_lines(rows, line_dedup.MIN_WORDS)
+    texts = {}
+    for r in rows:
+        out, k = [], 0
+        for x in r[1].split("\n"):
+            filled = bool(x.strip(" "))
+            if not filled or k not in gone[r]:
+                out.append(x)
+            k += filled
+        if not gone[r] or len(gone[r]) < len(lines[r]):
+            texts[r[0]] = "\n".join(out)
+
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(texts)
+    sizes = {i: len(t.split()) for i, t in texts.items()}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if min(sizes[i], sizes[j]) >= 0.5 * max(sizes[i], sizes[j]) and (texts[i] == texts[j] or similarity(texts[i], texts[j]) >= 0.8):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    kept = {i: t for i, t in texts.items() if root(i) == i}
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dirty = {key[0] for key in brute_contamination(list(kept.items()), items) if key[-1]}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    expected = {i: library.encode(t, add_special_tokens=False).ids for i, t in kept.items() if i not in dirty}
+    found = {r.doc_id: r.token_ids for r in corpus_pipeline.run(spark, SF).collect()}
+    assert found == expected
+
+
+def test_stages_take_columns_of_any_name_and_long_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    for name in ("key", "row", "doc", "ids", "own_key", "score", "part", "n", "node", "hot", "salt", "decoded"):
+        docs = docs.withColumn(name, F.lit(name))
+    long = docs.limit(1).withColumn("doc_id", F.lit(9_000_001).cast("long")).withColumn("text", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.concat(F.lit("word"), i.cast("string")))))
+    docs = docs.unionByName(long)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SF)
+        assert made.columns == docs.columns
+        assert made.where("doc_id = 9000001").select("key", "row", "salt").collect() == [("key", "row", "salt")]
+    assert corpus_pipeline.tokens(spark, docs, SF).where("round_trip AND doc_id = 9000001").count() == 1

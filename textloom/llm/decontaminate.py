@@ -72,16 +72,19 @@ def _places(docs: DataFrame, shingles: DataFrame) -> DataFrame:
 
         found = [known_places(s) for s in sizes]
         return rows.select("doc_id", "key", F.size("w").alias("n_words"), (F.concat(*found) if found else F.array().cast("array<struct<at:int,h:bigint,size:int,first:int,around:array<string>>>")).alias("places"))
-    parts = []
+    # shingles alone go through the join; the words around those that are known are cut from the text afterwards
+    hits = None
     for s in sizes:
-        each = rows.select("doc_id", "key", "w", F.posexplode(_shingles("w", s)).alias("at", "h")).join(known, "h", "left_semi")
-        parts.append(each.select("doc_id", "key", place(s, F.col("h"), F.col("at")).alias("place")))
-    met = parts[0]
-    for part in parts[1:]:
-        met = met.unionByName(part)
-    met = met.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
-    sized = rows.select("doc_id", "key", F.size("w").alias("n_words"))
-    return sized.join(met, sized["doc_id"].eqNullSafe(met["doc_id"]) & (sized["key"] == met["key"]), "left").select(sized["doc_id"], sized["key"], "n_words", F.coalesce("places", F.array()).alias("places"))
+        each = rows.select("doc_id", "key", F.posexplode(_shingles("w", s)).alias("at", "h")).join(known, "h", "left_semi").select("doc_id", "key", F.struct("at", "h", F.lit(s).alias("size")).alias("hit"))
+        hits = each if hits is None else hits.unionByName(each)
+    hits = hits.groupBy(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key")).agg(F.collect_set("hit").alias("hits"))
+    met = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("key") == F.col("hit_key")), "left").select("doc_id", "key", "w", "hits")
+
+    def found_at(p: Column) -> Column:
+        first = F.greatest(p["at"] - (WINDOW - 1), F.lit(0))
+        return F.struct(p["at"].alias("at"), p["h"].alias("h"), p["size"].alias("size"), first.alias("first"), F.slice(F.col("w"), first + 1, p["at"] - first + WINDOW).alias("around"))
+
+    return met.select("doc_id", "key", F.size("w").alias("n_words"), F.coalesce(F.transform("hits", found_at), F.array()).alias("places"))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
