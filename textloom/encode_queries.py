@@ -121,6 +121,8 @@ QUERIES["decode_without_special_tokens"] = _bytes_back(_byte_pipe, True)
 ORACLE_SQL["decode_without_special_tokens"] = f"SELECT doc_id, {_IDS} AS n_ids, md5(replace(text, 'the', '')) AS hash FROM documents"
 QUERIES["decode_with_special_tokens"] = _bytes_back(_byte_pipe, False)
 ORACLE_SQL["decode_with_special_tokens"] = f"SELECT doc_id, {_IDS} AS n_ids, md5(text) AS hash FROM documents"
+QUERIES["decode_normalized_added_tokens"] = _bytes_back(lambda: presets.byte_level_bpe(Bpe({c: i for i, c in enumerate(byte_alphabet())}, ())).with_(normalizer=N.Lowercase()).with_added_tokens([AddedToken("THE")]), True)
+ORACLE_SQL["decode_normalized_added_tokens"] = f"SELECT doc_id, {_IDS.replace('text', 'lower(text)')} AS n_ids, md5(lower(text)) AS hash FROM documents"
 QUERIES["pipeline_json"] = _bytes_back(lambda: TextPipeline.from_json(_byte_pipe().to_json()), True)
 ORACLE_SQL["pipeline_json"] = ORACLE_SQL["decode_without_special_tokens"]
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.aligned import Aligned, found_by
 from textloom.functions.chars import SPACE_CLASS, WHITE_SPACE, byte_chars, cjk_class, is_cjk, is_space, quoted, to_byte_chars
-from textloom.functions.patterns import Pattern, pattern_from_json
+from textloom.functions.patterns import Pattern, _compiled, pattern_from_json
 
 
 class Normalizer:
@@ -257,14 +257,8 @@ class Precompiled(Normalizer):
 
 
 def _graphemes(text: str) -> list[tuple[int, int]]:
-    """Runs of a character with its combining marks, joiners and modifiers."""
-
-    def joins(i: int) -> bool:
-        joiner = chr(0x200D)
-        return unicodedata.category(text[i])[0] == "M" or text[i] in (chr(0x200C), joiner) or text[i - 1] == joiner or text[i - 1 : i + 1] == "\r\n"
-
-    edges = [i for i in range(len(text)) if i == 0 or not joins(i)]
-    return list(zip(edges, [*edges[1:], len(text)]))
+    """The user-perceived characters of a text, as Unicode's extended grapheme clusters."""
+    return [m.span() for m in _compiled(r"\X").finditer(text)]
 
 
 @dataclass(frozen=True)

@@ -60,6 +60,14 @@ class AddedVocabulary:
     def contents(self) -> dict[int, str]:
         return {i: t.content for t, i in self.tokens}
 
+    def decoded_contents(self, normalizer: Normalizer | None) -> dict[int, str]:
+        """What each token is decoded as: tokens that are found in normalized text come back normalized."""
+        return {i: normalizer.normalize_str(t.content) if t.normalized and normalizer else t.content for t, i in self.tokens}
+
+    @cached_property
+    def special_contents(self) -> frozenset[str]:
+        return frozenset(t.content for t, _ in self.tokens if t.special)
+
     @cached_property
     def special_ids(self) -> frozenset[int]:
         return frozenset(i for t, i in self.tokens if t.special)

@@ -9,8 +9,10 @@ Truncation, special tokens and padding are column expressions.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from itertools import accumulate
 
 import pandas as pd
@@ -239,10 +241,21 @@ class TextPipeline:
 
     # -- decoding
 
+    @cached_property
+    def _spoken(self) -> dict[int, str]:
+        """The texts that ids are decoded as."""
+        return {**self.model._by_id, **self.added.decoded_contents(self.normalizer)}
+
+    @cached_property
+    def _spoken_but_special(self) -> dict[int, str]:
+        return {i: t for i, t in self._spoken.items() if t not in self.added.special_contents}
+
+    def _names(self, skip_special_tokens: bool) -> dict[int, str]:
+        return self._spoken_but_special if skip_special_tokens else self._spoken
+
     def decode(self, df: DataFrame, ids_col: str = "ids", text_col: str = "text", skip_special_tokens: bool = True) -> DataFrame:
         """Adds the text of an array of ids; ids that are no token are left out."""
-        special = self.added.special_ids if skip_special_tokens else frozenset()
-        names = {i: t for i, t in {**self.model._by_id, **self.added.contents}.items() if i not in special}
+        names = self._names(skip_special_tokens)
         shared = df.sparkSession.sparkContext.broadcast((self.decoder, names))
 
         def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -256,8 +269,8 @@ class TextPipeline:
 
     def decode_local(self, ids: list[int], skip_special_tokens: bool = True) -> str:
         """The text of one list of ids."""
-        special = self.added.special_ids if skip_special_tokens else ()
-        tokens = [t for i in ids if i not in special and (t := self.id_to_token(i)) is not None]
+        names = self._names(skip_special_tokens)
+        tokens = [names[i] for i in ids if i in names]
         return "".join(self.decoder.chain_local(tokens)) if self.decoder else " ".join(tokens)
 
     # -- JSON
@@ -288,8 +301,12 @@ class TextPipeline:
         t, p = j.get("truncation"), j.get("padding")
         spelled = {"LongestFirst": "longest_first", "OnlyFirst": "only_first", "OnlySecond": "only_second"}
         tokens = tuple((AddedToken(**{k: v for k, v in a.items() if k != "id"}), a["id"]) for a in j.get("added_tokens") or [])
+        model = model_from_json(j["model"])
+        for token, i in tokens:
+            if model.token_to_id(token.content) not in (None, i):
+                warnings.warn(f"the added token {token.content} has id {i}, but the model knows it by another", stacklevel=2)
         return TextPipeline(
-            model_from_json(j["model"]),
+            model,
             normalizer_from_json(j.get("normalizer")),
             splitter_from_json(j.get("pre_tokenizer")),
             processor_from_json(j.get("post_processor")),
