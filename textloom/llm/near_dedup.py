@@ -18,8 +18,8 @@ all its hubs that still lie in other components; at last every remaining pair
 of a bucket across components, unless their maps of shingles prove an overlap
 too small.  A pair within one component need not be verified.
 
-Hot contents, buckets, hubs and classes are dealt into salts where they are
-joined, so no task holds one whole.
+Hot contents, classes and hubs, to whose members texts or rows are joined, are
+dealt into salts, so no task holds one whole.
 
 A text of fewer than five words is one shingle.  Texts without words are equal
 only as whole texts; a null text is a class of its own.  Texts are read whole,
@@ -210,14 +210,13 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), whether their weighted Jaccard is at least ``threshold``; texts: (node, text)."""
+    """Of the pairs (a, b), whether their weighted Jaccard is at least ``threshold``; texts: (node, text).
 
-    def with_text(rows: DataFrame, end: str, other: str) -> DataFrame:
-        counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        side = counts.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
-        return salted_join(rows, side, [end], [other], counts=counts)
-
-    met = with_text(with_text(pairs, "b", "a"), "a", "b").select("a", "b", "text_a", "text_b")
+    Many pairs may have the same ``b``, a hub."""
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    hubs = counts.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    met = salted_join(met, hubs, ["b"], ["a"], counts=counts).select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,17 +232,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """The least node of each linked node's component: (node, root).  Links: (a, b)."""
     both = scratch.table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    size = both.count()
-    roots = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root"), F.count("*").alias("n")))
+    roots = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
     while True:
         # the least root among a node's neighbours, then that root's own root
-        seen = salted_join(both, roots.select(F.col("node").alias("b"), "root", "n"), ["b"], ["a"], size).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        nearer = scratch.table(roots.join(seen, "node").select("node", "n", F.col("root").alias("old"), F.least("root", "near").alias("root")))
-        jump = nearer.groupBy("root").agg(F.count("*").alias("n")).join(roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
-        moved = scratch.table(salted_join(nearer, jump, ["root"], ["node"], how="left").select("node", "n", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
-        roots = moved.select("node", "root", "n")
+        seen = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        nearer = roots.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        moved = scratch.table(nearer.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
+        roots = moved.select("node", "root")
         if is_empty(moved.where("old != root")):
-            return roots.select("node", "root")
+            return roots
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -263,14 +261,13 @@ def _classes(docs: DataFrame, threshold: float, scratch: Scratch, kept: Scratch)
     nodes = scratch.table(nodes.select("content", "named", "n", F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"), "first.shingles", "first.bands", "first.map", F.monotonically_increasing_id().alias("node")))
     buckets = nodes.where("shingles > 0").select("node", "shingles", F.posexplode("bands").alias("band", "hash"))
     bucket = ["band", "hash"]
-    shared = scratch.table(buckets.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"))
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    buckets = scratch.table(salted_join(buckets, shared.withColumn("held", F.col("n")), bucket, ["node"], total, counts=shared))
+    shared = buckets.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.table(buckets.join(shared, bucket))
     # a bucket's hub is the node that meets most others: what near copies were made from, if it is there
-    met_by = buckets.groupBy("node").agg(F.sum("held").alias("meets"))
+    met_by = buckets.groupBy("node").agg(F.sum("n").alias("meets"))
     hub = F.max(F.struct("meets", -F.col("node"))).alias("hub")
-    first = buckets.join(met_by, "node").groupBy(*bucket).agg(hub, F.count("*").alias("n")).select(*bucket, "n", (-F.col("hub.col2")).alias("hub"))
-    buckets = scratch.table(salted_join(buckets.drop("held"), first, bucket, ["node"], total, counts=shared))
+    first = buckets.join(met_by, "node").groupBy(*bucket).agg(hub).select(*bucket, (-F.col("hub.col2")).alias("hub"))
+    buckets = scratch.table(buckets.drop("n").join(first, bucket))
 
     candidates = scratch.table(buckets.select("node").distinct())
     wanted = small_side(scratch.table(nodes.join(candidates, "node", "left_semi").select("first_id", "first_key", "node")))
@@ -281,13 +278,11 @@ def _classes(docs: DataFrame, threshold: float, scratch: Scratch, kept: Scratch)
     low, high = F.least("shingles", "other"), F.greatest("shingles", "other")
     long_enough = low >= threshold * high  # an overlap of the shorter one at most
     size = buckets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")).distinct()
-    met = scratch.table(buckets.where("node != hub").groupBy("node", "hub", "shingles").agg(F.count("*").alias("times")))
-    met_by = met.groupBy("hub").agg(F.count("*").alias("n"))
-    hubs = salted_join(met, met_by.join(size, "hub"), ["hub"], ["node"], counts=met_by).where(long_enough)
-    hubs = scratch.table(hubs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "node", "times"))
+    hubs = buckets.where("node != hub").groupBy("node", "hub", "shingles").agg(F.count("*").alias("times")).join(size, "hub").where(long_enough)
+    hubs = scratch.table(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b"), "times"))
 
     # each node and the hub that is its in most buckets come first
-    one = scratch.table(hubs.groupBy("node").agg(F.max(F.struct("times", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    one = scratch.table(hubs.groupBy("a").agg(F.max(F.struct("times", "b")).alias("p")).select("a", "p.b"))
     checked = scratch.table(_verified(one, texts, threshold))
     roots = components(checked.where("near"), scratch)
     rounds = 1
@@ -295,18 +290,15 @@ def _classes(docs: DataFrame, threshold: float, scratch: Scratch, kept: Scratch)
         labelled = scratch.table(buckets.drop("hub").join(roots, "node", "left").select("band", "hash", "node", "shingles", F.coalesce("root", "node").alias("root")))
         if rounds == 1:
             # each node and the first nodes of its buckets, if they are still apart
-            apart = hubs
-            for end, other in (("a", "b"), ("b", "a")):
-                counts = hubs.groupBy(end).agg(F.count("*").alias("n"))
-                side = counts.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
-                apart = salted_join(apart, side, [end], [other], how="left", counts=counts)
+            at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            apart = hubs.join(at("a"), "a", "left").join(at("b"), "b", "left")
             apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct()
         else:
             # buckets across components: those outside the largest component against all others
-            spread = labelled.groupBy("band", "hash", "root").agg(F.count("*").alias("n")).groupBy("band", "hash").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+            spread = labelled.groupBy("band", "hash", "root").agg(F.count("*").alias("n")).groupBy("band", "hash").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
             # few buckets lie in several components; their rows are the only ones that meet
             spread = scratch.table(spread.where("roots > 1").drop("roots"))
-            mixed = scratch.table(salted_join(labelled, spread.withColumn("held", F.col("n")), bucket, ["node"], total))
+            mixed = scratch.table(labelled.join(spread, bucket))
             outside = mixed.where("root != main").select("band", "hash", F.col("node").alias("x"), F.col("shingles").alias("other"), F.col("root").alias("root_x"))
             maps = nodes.select("node", "map")
             outside = outside.join(maps.select(F.col("node").alias("x"), F.col("map").alias("map_x")), "x")
@@ -315,9 +307,10 @@ def _classes(docs: DataFrame, threshold: float, scratch: Scratch, kept: Scratch)
             missing = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, n: s + n)
             shared_most = F.least(F.col("other") - missing("map_x", "map"), F.col("shingles") - missing("map", "map_x"))
             possible = shared_most >= threshold * (F.col("other") + F.col("shingles") - shared_most)
-            met = salted_join(outside, mixed.withColumnRenamed("held", "n"), bucket, ["x"], total, counts=spread).where((F.col("root_x") != F.col("root")) & long_enough & possible)
+            met = outside.join(mixed, bucket).where((F.col("root_x") != F.col("root")) & long_enough & possible)
             apart = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        apart = scratch.table(apart.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        known = checked.select("a", "b") if rounds == 1 else checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        apart = scratch.table(apart.join(known, ["a", "b"], "left_anti"))
         if not is_empty(apart):
             checked = scratch.table(checked.unionByName(_verified(apart, texts, threshold)))
             roots = components(checked.where("near"), scratch)
