@@ -252,7 +252,7 @@ def test_entry_points(spark):
     assert len(queries) > 60 and set(sql) <= set(queries)
 
 
-@pytest.mark.parametrize("name", ["wordlevel_encode", "pretok_bert", "norm_bert", "wordpiece_encode", "unigram_seeds", "truncate_right", "truncate_pair", "pad_batch_longest", "template_pair_bert", "encoding_char_to_token", "decode_wordpiece", "token_statistics"])
+@pytest.mark.parametrize("name", ["wordlevel_encode", "pretok_bert", "norm_bert", "wordpiece_encode", "unigram_seeds", "truncate_right", "truncate_pair", "pad_batch_longest", "template_pair_bert", "encoding_char_to_token", "decode_wordpiece", "decode_byte_fallback", "added_tokens_single_word", "token_statistics"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
