@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe_codec, decontaminate, language_id, line_dedup, near_dedup, neighbours, sharding, token_rollups, toxicity, url_reputation
+from textloom.llm import bpe_codec, decontaminate, fill_in_middle, language_id, license_rules, license_scan, line_dedup, near_dedup, neighbours, sharding, token_rollups, toxicity, url_reputation, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,25 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of_rows(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_bpe_codec, op3_token_rollups, op4_toxicity, op5_line_dedup, op6_decontaminate, op7_url_reputation, op8_language_id, op9_sharding, op10_neighbours)
-}
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_bpe_codec, op3_token_rollups, op4_toxicity, op5_line_dedup, op6_decontaminate, op7_url_reputation, op8_language_id, op9_sharding, op10_neighbours,
+        op11_whitening, op12_license_scan, op13_fill_in_middle,
+    )
+}
 
 
 def _reputation_sql() -> str:
@@ -101,4 +117,43 @@ def _reputation_sql() -> str:
     SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, by_method) AS verdict FROM parsed JOIN judged USING (host)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op7_url_reputation": _reputation_sql()}
+def _licenses_sql() -> str:
+    """Spaced words, all rules' matches with their word numbers, and the same fold from left to right."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = lambda made: ", ".join(f"({r.order}, {quoted(r.label)}, {r.weight}::DOUBLE, {quoted(r.gate)}, {quoted(r.regex)})" for r in made)
+    base = [license_rules.Rule(k, label, 1.0, "", license_rules.regex_of(phrase)) for k, (phrase, label) in enumerate(license_rules.BASE)]
+    upper = url_reputation.UPPER
+    n_words = lambda x: f"((length({x}) - length(replace({x}, ' ', ''))) // 2)"
+
+    def spans(table: str) -> str:
+        return f"""(SELECT r, ord, label, weight, {n_words("before")} AS start, {n_words("before || hit")} AS stop FROM (
+            SELECT r, ord, label, weight, found[k] AS hit, coalesce(array_to_string(gaps[1:k], ''), '') || coalesce(array_to_string(found[1:k - 1], ''), '') AS before FROM (
+            SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (
+            SELECT r, ord, label, weight, string_split_regex(spaced, regex) AS gaps, regexp_extract_all(spaced, regex) AS found FROM texts JOIN {table} ON contains(spaced, gate)))))"""
+
+    return rf"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x00-/:-@\[-`{{-\x7f]+', '  ', 'g'), ' ') || ' ' AS spaced FROM documents),
+    base(ord, label, weight, gate, regex) AS (VALUES {rows(base)}),
+    rules(ord, label, weight, gate, regex) AS (VALUES {rows(license_rules.rules())}),
+    places AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(label) AS base FROM {spans("base")} GROUP BY r),
+    sorted AS (SELECT r, list([{{'start': start, 'stop': stop, 'ord': ord, 'label': label, 'weight': weight}}] ORDER BY start, -stop, ord) AS l FROM {spans("rules")} GROUP BY r),
+    kept AS (SELECT r, list_reduce(l, lambda a, x: CASE WHEN x[1].stop <= a[-1].stop THEN a WHEN x[1].start >= a[-1].stop THEN a || x WHEN x[1].ord < a[-1].ord THEN a[:-2] || x ELSE a END) AS l FROM sorted)
+    SELECT doc_id, CASE WHEN spaced = '  ' THEN 0 ELSE {n_words("spaced")} END::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+        array_to_string(list_sort(list_distinct(coalesce(base, []))), ',') AS base_labels,
+        array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(list_transform(l, lambda x: x.label), []))), ',') AS labels,
+        1 - list_reduce(list_prepend(1::DOUBLE, coalesce(list_transform(l, lambda x: 1 - x.weight), [])), lambda a, b: a * b) AS score, coalesce(len(l), 0)::BIGINT AS n_detections
+    FROM texts LEFT JOIN places USING (r) LEFT JOIN kept USING (r)"""
+
+
+def _fill_in_middle_sql() -> str:
+    draw = lambda k: f"('0x' || substr(digest, {8 * k + 1}, 8))::BIGINT"
+    joined = lambda units: f"coalesce(array_to_string({units}, ''), '')"
+    return rf"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('{fill_in_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+    drawn AS (SELECT *, len(units) AS n, {draw(0)} % (len(units) + 1) AS a, {draw(1)} % (len(units) + 1) AS b,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR {draw(2)} % 100 >= {fill_in_middle.FIM_PERCENT} THEN 'plain' WHEN {draw(3)} % 100 < {fill_in_middle.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM texts),
+    cut AS (SELECT *, {joined("units[1:least(a, b)]")} AS p, {joined("units[least(a, b) + 1:greatest(a, b)]")} AS m, {joined("units[greatest(a, b) + 1:]")} AS s FROM drawn)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256 FROM cut"""
+
+
+#: Whitening has no SQL (eigenvectors); tests hold it against a plain eigendecomposition.
+ORACLE_SQL: dict[str, str] = {"op7_url_reputation": _reputation_sql(), "op12_license_scan": _licenses_sql(), "op13_fill_in_middle": _fill_in_middle_sql()}
