@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -244,6 +245,48 @@ def test_beta_shares_equal_numeric_integrals(spark):
             assert (r.p > 0.5) == low or abs(r.p - 0.5) < 0.1
 
 
+def test_beta_shares_of_large_hosts_equal_integrals_at_every_size(spark):
+    cases = []
+    for n in (500.0, 5_000.0, 19_990.0, 20_010.0, 40_000.0, 1e6, 1e8):
+        for deviations in (-4.0, -1.0, 0.0, 1.0, 1.6, 1.66, 1.73, 4.0):
+            a = n * (0.25 + deviations * math.sqrt(0.25 * 0.75 / n))
+            cases.append((a, n - a))
+    rows = spark.createDataFrame(cases, "a double, b double").select("a", "b", url_reputation.share_above(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in rows:
+        mean, n = r.a / (r.a + r.b), r.a + r.b
+        sd = math.sqrt(mean * (1 - mean) / n)
+
+        def mass(low, high, a=r.a, b=r.b, mean=mean):
+            t = low + (np.arange(100_000) + 0.5) / 100_000 * (high - low)
+            top = a * math.log(mean) + b * math.log1p(-mean)
+            return float(np.exp((a - 1) * np.log(t) + (b - 1) * np.log1p(-t) - top).sum() * (high - low))
+
+        low, high = max(1e-12, min(mean - 12 * sd, 0.25 - sd)), min(1 - 1e-12, max(mean + 12 * sd, 0.25 + sd))
+        above, below = mass(0.25, high), mass(low, 0.25)
+        assert abs(r.p - above / (above + below)) < 2e-5, (r, above / (above + below))
+
+
+def test_verdicts_of_large_hosts_equal_the_sql(spark, tmp_path):
+    hosts, doc, pages, outcomes = [], 0, [], []
+    for n in (300, 19_990, 20_010, 40_000):
+        for k, deviations in enumerate((1.5, 1.64, 1.66, 1.7, 1.8)):
+            bad = round(n * 0.25 + deviations * math.sqrt(n * 0.25 * 0.75))
+            hosts.append(f"h{k}.site{n}.info")
+            pages.append(pd.DataFrame({"page_id": range(doc, doc + n), "url": [f"http://{hosts[-1]}/x/{i}" for i in range(doc, doc + n)]}))
+            outcomes.append(pd.DataFrame({"doc_id": range(doc, doc + n), "quality": [0] * bad + [1] * (n - bad), "toxic": 0}))
+            doc += n
+    none = pd.DataFrame({"page_id": [-1, -2, -3, -3], "url": [None, "no url", "http://h0.site300.info/" + "y" * 100_000, "http://h0.site300.info/" + "y" * 100_000]})
+    pd.concat([*pages, none]).to_parquet(tmp_path / "pages.parquet")
+    pd.concat(outcomes).to_parquet(tmp_path / "labels.parquet")
+    with duckdb.connect() as db:
+        for t in ("pages", "labels"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+        want = db.sql(f"SELECT host, verdict, count(*) FROM ({queries.ORACLE_SQL['op7_url_reputation']}) GROUP BY ALL").fetchall()
+    made = queries.op7_url_reputation(spark, str(tmp_path)).groupBy("host", "verdict").count()
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    assert {v for h, v, _ in want if ".site" in h} == {"allow", "block"} and sum(n for _, _, n in want) == doc + 4
+
+
 def test_registered_domains(spark):
     cases = {"a.b.example.com": "example.com", "x.example.co.uk": "example.co.uk", "u@h.example.org:80": "example.org", "10.0.0.1:8080": "10.0.0.1", "localhost": "localhost", "": "", "co.uk": "co.uk"}
     host = F.col("host")
@@ -410,6 +453,22 @@ def test_neighbours_of_few_and_odd_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in neighbours.search(table.where("vec_id IN (0, 1)")).collect()] == [(0, 1)]
 
 
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(14)
+    sizes = [1e-300, 1e-200, 1.0, 1e200, 1e300]
+    vectors = [(i, rng.standard_normal(8) * sizes[i % 5]) for i in range(200)] + [(200, np.array([1e200, 1e-200] * 4)), (201, np.full(8, 5e-324))]
+    unit = {i: v / np.abs(v).max() for i, v in vectors}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    expected = {}
+    for q in range(0, 201, 50):
+        cosines = {i: float(unit[q] @ v) for i, v in unit.items() if i != q}
+        for r, i in enumerate(sorted(cosines, key=lambda i: (-cosines[i], i))[:5], 1):
+            expected[q, r] = i, cosines[i]
+    found = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>")).collect()
+    assert {(r.query_id, r["rank"]): r.vec_id for r in found} == {k: i for k, (i, _) in expected.items()}
+    assert all(abs(r.score - expected[r.query_id, r["rank"]][1]) < 1e-12 for r in found)
+
+
 def test_repeated_rows_are_one_neighbour(spark):
     rng = np.random.default_rng(8)
     vectors = [(i, rng.standard_normal(8)) for i in range(120)]

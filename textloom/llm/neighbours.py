@@ -22,7 +22,8 @@ Rows that repeat an id, with the same or another vector, are one candidate or
 one query: the score of two ids is the best of any of their rows.
 
 Vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part, nor do null ids.  Rows with the query's
+non-finite components take no part, nor do null ids; components of any finite
+size do, for vectors are scaled by powers of two.  Rows with the query's
 own id are its own.  Other columns are not read, whatever their names.  An
 empty table gives an empty result.
 """
@@ -70,6 +71,11 @@ class BinaryCode:
         return bits * share + self.slack * np.sqrt(bits * np.maximum(share * (1 - share), 1 / bits))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near one: no angle and no rounding changes, but squares neither vanish nor overflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -246,7 +252,7 @@ def _packed(rows: DataFrame, most: int, dims: int) -> DataFrame:
 
     def _block(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ids, vectors = (np.concatenate(x) for x in zip(*held))
-        return pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "vectors": [vectors.astype(np.float64).tobytes()]})
+        return pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "vectors": [scaled(vectors.astype(np.float64).reshape(len(ids), dims)).tobytes()]})
 
     return rows.where(F.size("vector") == dims).select("id", "vector").mapInArrow(pack, "ids binary, vectors binary")
 
@@ -265,7 +271,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     sample = rows.where((F.size("vector") == dims) & taken).groupBy("id").agg(F.min("vector").alias("vector")).toPandas().sort_values("id")
     if not len(sample):
         sample = rows.where(F.size("vector") == dims).limit(SAMPLE_ROWS).select("id", "vector").toPandas()
-    code = spark.sparkContext.broadcast(fit(np.stack(sample["vector"]), k))
+    code = spark.sparkContext.broadcast(fit(scaled(np.stack(sample["vector"])), k))
 
     # each block of queries meets each block of the index once; both are dealt over the same cells
     cells = cells or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

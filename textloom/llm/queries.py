@@ -92,7 +92,7 @@ def _reputation_sql() -> str:
         m = "floor(j / 2)"
         even = f"{m} * ({b} - {m}) * {x} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m}))"
         odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1))"
-        fold = f"list_reduce(list_transform(range({url_reputation.TERMS}, 0, -1), lambda q: q::DOUBLE), lambda v, j: 1 + CASE WHEN j % 2 = 0 THEN {even} ELSE {odd} END / v, 1.0::DOUBLE)"
+        fold = f"list_reduce(list_transform(range({url_reputation.TERMS} + {url_reputation.TERMS_BY_ROOT} * ceil(sqrt({a} + {b}))::BIGINT, 0, -1), lambda q: q::DOUBLE), lambda v, j: 1 + CASE WHEN j % 2 = 0 THEN {even} ELSE {odd} END / v, 1.0::DOUBLE)"
         return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / {a} / {fold}"
 
     x = url_reputation.LIMIT
