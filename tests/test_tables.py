@@ -1,8 +1,10 @@
 """Encodings, trainers, joins and streams on tables."""
 
 import random
+from collections import Counter, defaultdict
 from itertools import product
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from textloom.functions.chars import byte_alphabet
 from textloom.functions.patterns import Pattern
 from textloom.operators import encodings as E
 from textloom.operators.models import Bpe, Unigram, WordLevel, WordPiece, tokens_of_words
+from textloom.operators.pair_table import certain_merges
 from textloom.operators.processors import BertProcessor, ByteLevelProcessor, ProcessorSequence, RobertaProcessor, TemplateProcessor, processor_from_json, processor_to_json
 from textloom.operators.trainers import BpeTrainer, UnigramTrainer, WordLevelTrainer, WordPieceTrainer, word_counts
 from textloom.plans import presets
@@ -185,15 +188,67 @@ def test_word_piece_and_limits(spark):
     assert max(map(len, BpeTrainer(100, max_token_length=2).train(counts).vocab)) <= 2
 
 
+def test_many_merges_with_repeats_and_overlaps_equal_merges_one_by_one(spark):
+    rng = random.Random(8)
+    for alphabet, n, longest, merges in (("ab", 60, 14, 40), ("abcdefgh", 300, 10, 80), ("aé😀", 80, 12, 40)):
+        words = {"".join(rng.choice(alphabet) for _ in range(rng.randint(1, longest))): rng.randint(1, 10_000) for _ in range(n)}
+        expected = merges_one_by_one(words, merges)
+        made = len({c for w in words for c in w} | {a + b for a, b in expected})
+        model = BpeTrainer(made).train(spark.createDataFrame(list(words.items()), "word string, count long").repartition(3))
+        assert list(model.merges)[: len(expected)] == expected[: len(model.merges)] and len(model.vocab) == made
+
+
+def test_merges_of_documents_equal_merges_one_by_one(spark):
+    counts = word_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "text", S.WhitespaceSplit())
+    model = BpeTrainer(500).train(counts)
+    words = {r["word"]: r["count"] for r in counts.collect()}
+    symbols, ids, merges = {w: list(w) for w in words}, {c: i for i, c in enumerate(sorted({c for w in words for c in w}))}, []
+    pairs, holders = Counter(), defaultdict(set)
+    for w, s in symbols.items():
+        for p in zip(s, s[1:]):
+            pairs[p] += words[w]
+            holders[p].add(w)
+    while len(ids) < 500:
+        a, b = min(pairs, key=lambda p: (-pairs[p], ids[p[0]], ids[p[1]]))
+        ids.setdefault(a + b, len(ids))
+        merges.append((a, b))
+        for w in holders.pop((a, b)):
+            s, out = symbols[w], []
+            for p in zip(s, s[1:]):
+                pairs[p] -= words[w]
+            while s:
+                k = 2 if s[:2] == [a, b] else 1
+                out.append("".join(s[:k]))
+                s = s[k:]
+            symbols[w] = out
+            for p in zip(out, out[1:]):
+                pairs[p] += words[w]
+                holders[p].add(w)
+        pairs = +pairs
+    assert list(model.merges) == merges and model.vocab == ids
+
+
+def test_certain_merges_stop_where_the_order_is_open():
+    new = lambda a, b: ((a, b), None)
+    pairs, few = [(0, 1, 100), (1, 2, 90), (3, 4, 80), (5, 6, 70)], np.array([10, 10, 10, 10])
+    # (1, 2) loses 15 of its places to (0, 1), and is 75 then
+    assert certain_merges(pairs, 0, few, {(0, 1): 15}, new) == [0, 2, 1, 3]
+    # what arises from the first may be as frequent as 75
+    assert certain_merges(pairs, 0, np.array([75, 10, 10, 10]), {(0, 1): 15}, new) == [0, 2]
+    assert certain_merges(pairs, 70, few, {}, new) == [0, 1, 2]
+    # of runs of 0, (0, 2) may lose nothing or all of 3
+    assert certain_merges([(0, 0, 9), (0, 2, 8), (3, 4, 7)], 0, np.array([1, 1, 1]), {(0, 1): 3}, new) == [0]
+    # the first makes token 6, whose pair (5, 6) may gain 10, or 15: then it may be as frequent as (3, 4), or more so
+    assert certain_merges(pairs, 0, few, {}, lambda a, b: ("t", 6) if a == 0 else ((a, b), None)) == [0, 1, 2]
+    assert certain_merges(pairs, 0, np.array([15, 5, 5, 5]), {}, lambda a, b: ("t", 6) if a == 0 else ((a, b), None)) == [0, 1]
+
+
 def test_long_pairs_do_not_crowd_out_admissible_ones(spark):
-    # 70 pairs that merges gave rise to are too long and more frequent than the one that may be merged
-    words = [(f" {chr(0x400 + i)}a  {chr(0x500 + i)} ", 100) for i in range(70)] + [(" x  y ", 5)]
-    sizes = {s: len(s) for w, _ in words for s in w.split()}
-    table = spark.createDataFrame(words, "symbols string, count long")
-    vocab = {s: i for i, s in enumerate(sizes)}
-    assert BpeTrainer(max_token_length=2)._independent_pairs(table, vocab, sizes) == [("x", "y")]
-    assert BpeTrainer(max_token_length=3)._independent_pairs(table, vocab, sizes) == [("x", "y")]
-    assert len(BpeTrainer(max_token_length=4)._independent_pairs(table, vocab, sizes)) > 1
+    # more pairs that merges gave rise to than a round looks at are too long, and more frequent than the one that may be merged
+    made = [(chr(0x4000 + i) + "ab", 100) for i in range(1500)] + [("xy", 5)]
+    counts = spark.createDataFrame(made, "word string, count long")
+    chars = {c for w, _ in made for c in w}
+    assert set(BpeTrainer(100_000, max_token_length=3).train(counts).vocab) == chars | {"ab", "xy"}
     # pairs of first symbols always count, longer ones below the limit
     counts = spark.createDataFrame([("abc", 9), ("ab", 4)], "word string, count long")
     for most, made in ((1, {"ab"}), (3, {"ab"}), (4, {"ab", "abc"})):

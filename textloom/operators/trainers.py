@@ -1,9 +1,9 @@
 """Trainers: vocabularies from a column of words, as Spark jobs.
 
 Words are counted once by partial and final aggregation.  Word-level
-vocabularies are one top-k.  Byte-pair merges are found in rounds: one job
-counts pairs over the distinct words, and as many of the most frequent pairs
-are merged at once as cannot influence each other.  Unigram pieces are
+vocabularies are one top-k.  Byte-pair merges are found in rounds over a table
+of pairs that is maintained by signed changes (see ``pair_table``): as many of
+the most frequent pairs are merged at once as are certain to be next in order.  Unigram pieces are
 estimated by expectation maximisation, each E-step one job over the distinct
 words; only tables of the size of the vocabulary reach the driver.
 """
@@ -15,7 +15,9 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +25,22 @@ from pyspark.sql import functions as F
 from textloom.functions.chars import byte_alphabet
 from textloom.functions.splitters import Splitter
 from textloom.operators.models import Bpe, Unigram, WordLevel, WordPiece
+from textloom.operators.pair_table import CANDIDATES, COMPACT, WORD_COLUMNS, Words, certain_merges, first_pairs, merge_round, neighbours, pair_sums
 from textloom.sources.tables import Checkpoints
 
 log = logging.getLogger(__name__)
 
 
+def _code_points(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The word and the code point of each character."""
+    texts = words.to_pylist()
+    return np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _characters(codes: np.ndarray) -> pa.Array:
+    return pa.array([chr(c) for c in codes.tolist()], pa.string())
+
+
 def number_of_words(counts: DataFrame) -> int:
     """How many distinct words a trainer is given."""
     return counts.count()
@@ -64,10 +77,6 @@ class WordLevelTrainer:
         return WordLevel({r["token"]: r["id"] for r in rows}, unk_token)
 
 
-#: Stands for a space within words while they are merged.
-_SPACE = chr(0xE000)
-
-
 @dataclass(frozen=True)
 class BpeTrainer:
     vocab_size: int = 30_000
@@ -93,84 +102,122 @@ class BpeTrainer:
             weights = weights.orderBy(F.desc("n"), "char").limit(max(0, self.limit_alphabet - len(forced)))
         return sorted({r["char"] for r in weights.collect()} | set(self.initial_alphabet))
 
-    def symbols(self, alphabet: list[str] | None = None) -> Column:
-        """Words as ' a  b  c '; characters outside the alphabet are left out."""
-        kept = F.filter(F.split("word", ""), lambda c: (c != "") & c.isin(alphabet)) if self.limit_alphabet is not None and alphabet is not None else F.filter(F.split("word", ""), lambda c: c != "")
-        kept = F.transform(kept, lambda c: F.when(c == " ", _SPACE).otherwise(c))
-        if self.continuing_subword_prefix or self.end_of_word_suffix:
-            last = F.size(kept) - 1
-            kept = F.transform(kept, lambda c, i: F.concat(F.when(i > 0, self.continuing_subword_prefix).otherwise(""), c, F.when(i == last, self.end_of_word_suffix).otherwise("")))
-        return F.concat(F.lit(" "), F.array_join(kept, "  "), F.lit(" "))
+    def character_pairs(self, counts: DataFrame) -> DataFrame:
+        """Rows (a, b, n): how often each pair of characters occurs in all words."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, codes = _code_points(batch.column("word"))
+                n = batch.column("count").to_numpy()
+                pair, total = pair_sums(Words(n, codes.astype(np.int32), np.bincount(word, minlength=len(n))))
+                yield pa.RecordBatch.from_pydict({"pair": pair, "n": total})
+
+        pairs = counts.select("word", "count").mapInArrow(each, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pair = batch.column("pair").to_numpy()
+                yield pa.RecordBatch.from_arrays([_characters(pair >> 32), _characters(pair & 0xFFFFFFFF), batch.column("n")], names=["a", "b", "n"])
+
+        return pairs.mapInArrow(named, "a string, b string, n long")
+
+    def _first_symbols(self, counts: DataFrame, alphabet: list[str], vocab: dict[str, int]) -> DataFrame:
+        """Words as ids of their characters, marked by prefix and suffix; forms that are new get the next ids."""
+        known = np.asarray([ord(c) for c in alphabet], np.int64)  # by code points
+        prefix, suffix = self.continuing_subword_prefix, self.end_of_word_suffix
+
+        def placed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            """The word of each character that is kept, and its form: four times its number, 1 if others are before it, 2 if none is behind."""
+            word, codes = _code_points(batch.column("word"))
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            kept = known[at] == codes
+            word, at = word[kept], at[kept]
+            later, last = np.r_[False, word[1:] == word[:-1]], np.r_[word[1:] != word[:-1], True]
+            return word, 4 * at + later[: len(at)] + 2 * last[: len(at)]
+
+        def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"form": np.unique(placed(batch)[1]).astype(np.int64)})
+
+        spoken = lambda form: (prefix if form & 1 else "") + alphabet[form >> 2] + (suffix if form & 2 else "")
+        if prefix or suffix:
+            found = counts.select("word").mapInArrow(forms, "form long").distinct().collect()
+            for token in sorted({spoken(r["form"]) for r in found}):
+                vocab.setdefault(token, len(vocab))
+        ids = np.asarray([vocab.get(spoken(f), -1) for f in range(4 * len(alphabet))], np.int32)
+
+        def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, form = placed(batch)
+                n = batch.column("count").to_numpy()
+                made = Words(n, ids[form], np.bincount(word, minlength=len(n)))
+                yield made.some(made.lengths > 0).table()
+
+        return counts.select("word", "count").mapInArrow(symbols, WORD_COLUMNS)
 
     def train(self, counts: DataFrame) -> Bpe:
         cuts = Checkpoints(counts.sparkSession)
+        counts = cuts.table(counts.select("word", "count"))
         alphabet = self.alphabet(counts)
         vocab: dict[str, int] = {}
         for token in [*self.special_tokens, *alphabet]:
             vocab.setdefault(token, len(vocab))
-        words = cuts.table(counts.select(self.symbols(alphabet).alias("symbols"), "count").where("symbols != '  '"))
-        if self.continuing_subword_prefix or self.end_of_word_suffix:
-            marked = words.select(F.explode(F.split(F.trim("symbols"), "  ")).alias("s")).distinct().collect()
-            for token in sorted(r["s"].replace(_SPACE, " ") for r in marked):
-                vocab.setdefault(token, len(vocab))
         merges: list[tuple[str, str]] = []
-        skip = len(self.continuing_subword_prefix)
-        sizes = {t: 1 for t in vocab}  # in first symbols
-        merged_since = 0
-        while len(vocab) < self.vocab_size:
-            found = self._independent_pairs(words, vocab, sizes)
-            if not found:
+        least = max(self.min_frequency, 1)
+        if alphabet:
+            words = cuts.table(self._first_symbols(counts, alphabet, vocab))
+            # the special tokens and the characters are first symbols; a token's size is how many of them it is made of
+            tokens, sizes = list(vocab), dict.fromkeys(vocab.values(), 1)
+            pairs, changes = cuts.table(first_pairs(words)), []
+        while alphabet and len(vocab) < self.vocab_size:
+            now = reduce(DataFrame.unionByName, changes, pairs)
+            if changes:
+                now = now.groupBy("pair").agg(F.sum("n").alias("n"))
+            if len(changes) >= COMPACT:
+                pairs, changes = cuts.table(now.where("n > 0")), []
+                now = pairs
+            top = self._admissible(now.where(F.col("n") >= least), sizes).orderBy(F.desc("n"), "pair").limit(CANDIDATES + 1).collect()
+            if not top:
                 break
-            chain = F.col("symbols")
-            for a, b in found[: self.vocab_size - len(vocab)]:
-                token = a + b[skip:]
+            floor = top[CANDIDATES]["n"] if len(top) > CANDIDATES else 0
+            given = [(r["pair"] >> 32, r["pair"] & 0xFFFFFFFF, r["n"]) for r in top[:CANDIDATES]]
+            most, overlaps = neighbours(words, [r["pair"] for r in top[:CANDIDATES]])
+            def token_of(a: int, b: int) -> tuple[str, int | None]:
+                token = self._joined(tokens[a], tokens[b])
+                return token, vocab.get(token)
+
+            chosen = []
+            for k in certain_merges(given, max(floor, least - 1), most, overlaps, token_of):
+                a, b, _ = given[k]
+                token = self._joined(tokens[a], tokens[b])
+                if token not in vocab:
+                    if len(vocab) >= self.vocab_size:
+                        break
+                    vocab[token] = len(vocab)
+                    tokens.append(token)
                 # a token that exists already takes no new id, but its merge counts
-                vocab.setdefault(token, len(vocab))
-                sizes[token] = sizes[a] + sizes[b]
-                merges.append((a, b))
-                x, y, z = (t.replace(" ", _SPACE) for t in (a, b, token))
-                chain = F.replace(chain, F.lit(f" {x}  {y} "), F.lit(f" {z} "))
-            words = words.select(chain.alias("symbols"), "count")
+                sizes[vocab[token]] = sizes[a] + sizes[b]
+                merges.append((tokens[a], tokens[b]))
+                chosen.append((a, b, vocab[token]))
+            round_ = cuts.table(merge_round(words, chosen))
+            words = round_.where("symbols IS NOT NULL").select("count", "symbols")
+            changes.append(round_.where("pair IS NOT NULL").select("pair", "n"))
             log.info("%d of %d tokens", len(vocab), self.vocab_size)
-            merged_since += len(found)
-            if merged_since >= 64:
-                words, merged_since = cuts.table(words), 0
         cuts.drop()
         return Bpe(vocab, tuple(merges), continuing_subword_prefix=self.continuing_subword_prefix or None, end_of_word_suffix=self.end_of_word_suffix or None)
 
-    def pair_counts(self, words: DataFrame) -> DataFrame:
-        """Rows (a, b, n, follows) of words given as ' a  b  c ': how often each pair occurs, and how often any pair can that its merge gives rise to."""
-        s = F.split(F.trim("symbols"), "  ")
-        split = words.select(s.alias("s"), "count").where(F.size("s") > 1)
-        # each pair with the symbol after it, so that one count gives pairs and what may follow from them
-        rows = split.select("count", F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(F.get("s", i).alias("a"), F.get("s", i + 1).alias("b"), F.get("s", i + 2).alias("c")))).alias("p")).select("count", "p.*")
-        triples = rows.groupBy("a", "b", "c").agg(F.sum("count").alias("n"))
-        third = F.col("c").isNotNull()
-        # a triple counts for its first pair, and bounds what either of its pairs can give rise to
-        first = F.struct("a", "b", "n", F.when(third, F.col("n")).otherwise(0).alias("follows"))
-        second = F.when(third, F.struct(F.col("b").alias("a"), F.col("c").alias("b"), F.lit(0).cast("long").alias("n"), F.col("n").alias("follows")))
-        both = triples.select(F.explode(F.array_compact(F.array(first, second))).alias("p")).select("p.*")
-        return both.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("follows").alias("follows"))
-
-    def _independent_pairs(self, words: DataFrame, vocab: dict[str, int], sizes: dict[str, int], most: int = 64) -> list[tuple[str, str]]:
-        """The next merges in order, as many as are certain: each is more frequent than any pair the ones before it can give rise to."""
-        pairs = self.pair_counts(words).where(F.col("n") >= max(self.min_frequency, 1))
-        # ties go by the ids of the symbols; the vocabulary's size bounds what is broadcast
-        known = words.sparkSession.createDataFrame([(t.replace(" ", _SPACE), i, sizes[t]) for t, i in vocab.items() if t in sizes], "token string, id long, size int")
-        of = lambda c: F.broadcast(known.select(F.col("token").alias(c), F.col("id").alias(f"id_{c}"), F.col("size").alias(f"size_{c}")))
-        pairs = pairs.join(of("a"), "a").join(of("b"), "b")
-        if self.max_token_length is not None:
-            # pairs of first symbols always count; of those that merges give rise to, only the shorter ones
-            length = F.col("size_a") + F.col("size_b")
-            pairs = pairs.where((length == 2) | (length < self.max_token_length))
-        out, used, bound = [], set(), 0
-        for r in pairs.orderBy(F.desc("n"), "id_a", "id_b").limit(most).collect():
-            if out and (r["a"] in used or r["b"] in used or r["n"] <= bound):
-                break
-            out.append((r["a"].replace(_SPACE, " "), r["b"].replace(_SPACE, " ")))
-            used |= {r["a"], r["b"]}
-            bound = max(bound, r["follows"])
-        return out
+    def _joined(self, a: str, b: str) -> str:
+        return a + b[len(self.continuing_subword_prefix) :]
+
+    def _admissible(self, pairs: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        """Pairs that may be merged: of first symbols always, of those that merges give rise to only the shorter ones."""
+        if self.max_token_length is None:
+            return pairs
+        table = pairs.sparkSession.createDataFrame(pa.table({"id": pa.array(list(sizes), pa.int64()), "size": pa.array(list(sizes.values()), pa.int64())}))
+        side = lambda name, key: (F.broadcast(table.select(F.col("id").alias(f"id_{name}"), F.col("size").alias(name))), key == F.col(f"id_{name}"))
+        sized = pairs.join(*side("first", F.shiftright("pair", 32))).join(*side("second", F.expr("pair & 4294967295")))
+        length = F.col("first") + F.col("second")
+        return sized.where((length == 2) | (length < self.max_token_length)).select("pair", "n")
 
 
 @dataclass(frozen=True)

@@ -207,8 +207,7 @@ _register("bpe_alphabet", bpe_alphabet, f"SELECT char, CAST(sum(n) AS BIGINT) AS
 
 def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each pair of characters occurs: what the trainer's first round counts."""
-    trainer, counts = BpeTrainer(), _split_words(spark, sf_dir)
-    return trainer.pair_counts(counts.select(trainer.symbols().alias("symbols"), "count")).select("a", "b", "n")
+    return BpeTrainer().character_pairs(_split_words(spark, sf_dir))
 
 
 _register("bpe_pair_counts", bpe_pair_counts, f"SELECT w[i] AS a, w[i + 1] AS b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT regexp_extract_all(word, '(?s).') AS w, n, unnest(range(1, length(word))) AS i FROM ({_COUNTS_SQL})) GROUP BY a, b")
@@ -257,6 +256,15 @@ walk(step, symbols, n, a, b) AS (
 _register("bpe_train", bpe_train, f"{_MERGE_STEPS} SELECT DISTINCT CAST(step - 1 AS BIGINT) AS rank, a AS left, b AS right FROM walk WHERE step > 0")
 
 
+def bpe_train_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merges of a vocabulary of 2,100 tokens, in order; tests hold it against merges one by one."""
+    model = BpeTrainer(2_100).train(_split_words(spark, sf_dir))
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(model.merges)], "rank long, left string, right string")
+
+
+_register("bpe_train_documents", bpe_train_documents)
+
+
 def bpe_encode_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all words by a vocabulary of 160 that is trained on them."""
     cuts = Checkpoints(spark)
