@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -261,6 +262,21 @@ def merge(encodings: list[Column], growing_offsets: bool = True) -> Column:
     return concat(out)
 
 
+def merge_overflowing(encodings: list[Column], growing_offsets: bool = True) -> Column:
+    """As ``merge``, of encodings with ``overflowing``: each window of one meets the others' kept parts and each of their windows.
+
+    Windows of the earlier encoding come first, each with the later one's kept part and then with its windows; after
+    those the earlier one's kept part with the later one's windows."""
+
+    def both(a: Column, b: Column) -> Column:
+        joined = lambda x, y: merge([x, y], growing_offsets)
+        of_b = lambda x: F.transform(b["overflowing"], lambda y: joined(x, y))
+        crossed = F.flatten(F.transform(a["overflowing"], lambda x: F.concat(F.array(joined(x, b)), of_b(x))))
+        return with_overflow(joined(a, b), F.concat(crossed, of_b(a)))
+
+    return reduce(lambda x, y: bound(x, lambda a: bound(y, lambda b: both(a, b))), encodings)
+
+
 def _moved(encoding: Column, by: Column) -> Column:
     return F.transform(encoding["offsets"], lambda o: F.struct((o["start"] + by).alias("start"), (o["end"] + by).alias("end")))
 

@@ -7,6 +7,7 @@ Python worker, whose results are remembered.  Word-level lookups are joins.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import random
@@ -29,10 +30,32 @@ class Token(NamedTuple):
     end: int
 
 
+class Draws(random.Random):
+    """Random numbers by counting: the n-th of a key is always the same, whatever was drawn elsewhere."""
+
+    def __new__(cls, *_: object) -> Draws:
+        return super().__new__(cls)
+
+    def __init__(self, seed: int, *key: object):
+        super().__init__()
+        self.at = int.from_bytes(hashlib.blake2b(repr((seed, *key)).encode(), digest_size=8).digest(), "little")
+
+    def random(self) -> float:
+        """The next step of a counter, mixed (splitmix64)."""
+        self.at = (self.at + 0x9E3779B97F4A7C15) & _64
+        z = ((self.at ^ (self.at >> 30)) * 0xBF58476D1CE4E5B9) & _64
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _64
+        return ((z ^ (z >> 31)) >> 11) / (1 << 53)
+
+
+_64 = (1 << 64) - 1
+
+
 class Model:
     vocab: dict[str, int]
 
-    def tokenize(self, word: str) -> list[Token]:
+    def tokenize(self, word: str, rng: random.Random | None = None) -> list[Token]:
+        """The word's tokens; a random model draws from ``rng``."""
         raise NotImplementedError
 
     @property
@@ -63,7 +86,7 @@ class WordLevel(Model):
     vocab: dict[str, int]
     unk_token: str = "<unk>"
 
-    def tokenize(self, word: str) -> list[Token]:
+    def tokenize(self, word: str, rng: random.Random | None = None) -> list[Token]:
         if word in self.vocab:
             return [Token(self.vocab[word], word, 0, len(word))]
         if self.unk_token not in self.vocab:
@@ -82,7 +105,7 @@ class WordPiece(Model):
     def _longest(self) -> int:
         return max(map(len, self.vocab), default=0)
 
-    def tokenize(self, word: str) -> list[Token]:
+    def tokenize(self, word: str, rng: random.Random | None = None) -> list[Token]:
         out, start = [], 0
         while len(word) <= self.max_input_chars_per_word and start < len(word):
             prefix = self.continuing_subword_prefix if start else ""
@@ -162,9 +185,9 @@ class Bpe(Model):
                     unk = [self.vocab[self.unk_token], 1]
         return out + [unk] if unk else out
 
-    def _merged(self, symbols: list[list[int]]) -> list[list[int]]:
+    def _merged(self, symbols: list[list[int]], rng: random.Random | None = None) -> list[list[int]]:
         if self.dropout:
-            return self._merged_at_random(symbols)
+            return self._merged_at_random(symbols, rng or random)
         # a symbol is known by where it starts; stop says where it ends, begin where the one before it starts
         n, ids, sizes = len(symbols), [s[0] for s in symbols], [s[1] for s in symbols]
         stop, begin = list(range(1, n + 1)), list(range(-1, n))
@@ -198,7 +221,7 @@ class Bpe(Model):
                     break
         return [[ids[i], sizes[i]] for i in range(n) if ids[i] >= 0]
 
-    def _merged_at_random(self, symbols: list[list[int]]) -> list[list[int]]:
+    def _merged_at_random(self, symbols: list[list[int]], rng) -> list[list[int]]:
         """One merge after the other: of the pairs seen so far, the first by rank and place that is not dropped is taken.
 
         A pair that an earlier merge has broken is taken as well, to no effect; if all are dropped, that is the end."""
@@ -211,7 +234,7 @@ class Bpe(Model):
         seen = [p for k in range(len(parts)) for p in pair_at(k)]
         while seen:
             seen.sort()
-            chosen = next((p for p in seen if random.random() >= self.dropout), None)
+            chosen = next((p for p in seen if rng.random() >= self.dropout), None)
             if chosen is None:
                 break
             seen.remove(chosen)
@@ -221,13 +244,13 @@ class Bpe(Model):
                 seen += pair_at(k) + pair_at(k - 1)
         return [[i, size] for _, i, size in parts]
 
-    def tokenize(self, word: str) -> list[Token]:
+    def tokenize(self, word: str, rng: random.Random | None = None) -> list[Token]:
         if not word:
             return []
         if self.ignore_merges and word in self.vocab:
             return [Token(self.vocab[word], word, 0, len(word))]
         out, at = [], 0
-        for i, size in self._merged(self._symbols(word)):
+        for i, size in self._merged(self._symbols(word), rng):
             # a byte that is not its character's first lies on that character
             out.append(Token(i, self._by_id[i], at if size else max(at - 1, 0), at + size))
             at += size
@@ -301,6 +324,15 @@ class Unigram(Model):
                 paths[stop] += [(score + s, [*path, (start, stop, i)]) for score, path in paths[start]]
         return heapq.nlargest(n, paths[-1], key=lambda p: p[0])
 
+    def best_pieces(self, text: str, n: int) -> list[tuple[float, list[str]]]:
+        """The n best segmentations as texts: by score, then by their pieces; each place keeps its n best beginnings."""
+        paths: list[list[tuple[float, list[str]]]] = [[(0.0, [])]] + [[] for _ in text]
+        for start, here in enumerate(self.edges(text)):
+            paths[start] = heapq.nsmallest(n, paths[start], key=lambda p: (-p[0], p[1]))
+            for stop, _, s in here:
+                paths[stop] += [(score + s, [*path, text[start:stop]]) for score, path in paths[start]]
+        return heapq.nsmallest(n, paths[-1], key=lambda p: (-p[0], p[1]))
+
     def _forward(self, edges: list[list[tuple[int, int | None, float]]], theta: float = 1.0) -> list[float]:
         alpha = [0.0] + [-math.inf] * len(edges)
         for start, here in enumerate(edges):
@@ -337,18 +369,18 @@ class Unigram(Model):
             at = start
         return out[::-1]
 
-    def _segments(self, word: str) -> list[tuple[int, int, int | None]]:
+    def _segments(self, word: str, rng: random.Random | None = None) -> list[tuple[int, int, int | None]]:
         if self.alpha is None:
             return self.best(word)
         if self.nbest_size and self.nbest_size > 1:
             found = self.nbest(word, self.nbest_size)
             top = found[0][0]
-            return random.choices([p for _, p in found], [math.exp(self.alpha * (s - top)) for s, _ in found])[0]
-        return self.sample(word, self.alpha)
+            return (rng or random).choices([p for _, p in found], [math.exp(self.alpha * (s - top)) for s, _ in found])[0]
+        return self.sample(word, self.alpha, rng)
 
-    def tokenize(self, word: str) -> list[Token]:
+    def tokenize(self, word: str, rng: random.Random | None = None) -> list[Token]:
         fused: list[tuple[int, int, int | None]] = []
-        for start, stop, i in self._segments(word):
+        for start, stop, i in self._segments(word, rng):
             unknown = i is None or i == self.unk_id
             if fused and unknown and self.fuse_unk and (fused[-1][2] is None or fused[-1][2] == self.unk_id):
                 fused[-1] = (fused[-1][0], stop, i)
@@ -398,6 +430,40 @@ def tokens_of_words(words: DataFrame, model: Model, word_col: str = "word") -> D
     return distinct.mapInArrow(each, "word string, pos int, id long, token string, start int, end int")
 
 
+def sampled_tokens(rows: DataFrame, model: Model, key: list[str], words_col: str, seed: int = 0) -> DataFrame:
+    """A row for each token of each word of each row: key, word, pos, id, token, drawn anew for each place.
+
+    What is drawn depends on the seed, the row's key and the word's place alone: other partitions, batches or retries
+    give the same.  Rows of one key share their draws.  Null words have no tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    given = rows.select(*key, F.col(words_col).alias("__words"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*key).schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                keys = list(zip(*[batch.column(c).to_pylist() for c in key]))
+                made = [(i, at, pos, t.id, t.value) for i, words in enumerate(batch.column("__words").to_pylist()) for at, w in enumerate(words or []) if w for pos, t in enumerate(shared.value.tokenize(w, Draws(seed, *keys[i], at)))]
+                of, *columns = list(zip(*made)) or [()] * 5
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(of, pa.int64())) for c in key], *[pa.array(c, t) for c, t in zip(columns, types)]], names=[*key, "word", "pos", "id", "token"])
+
+    return given.mapInArrow(each, f"{schema}, word int, pos int, id long, token string")
+
+
+def nbest_rows(model: Unigram, n: int):
+    """A table function: (word) -> rows (rank, score, pieces) of its n best segmentations; equal scores go by the pieces."""
+
+    class NBest:
+        def eval(self, word: str):
+            if word:
+                for rank, (score, pieces) in enumerate(model.best_pieces(word, n), 1):
+                    yield rank, score, pieces
+
+    return F.udtf(NBest, returnType="rank int, score double, pieces array<string>")
+
+
 def word_level_ids(words: DataFrame, vocab: DataFrame, unk_id: int, word_col: str = "word") -> DataFrame:
     """Adds ``id`` by a join with the vocabulary (token, id), which Catalyst broadcasts where it is small enough."""
     v = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
@@ -426,7 +492,7 @@ class Remembering:
     capacity: int = CACHE_WORDS
     kept: dict[str, list[Token]] = field(default_factory=dict)
 
-    def tokenize(self, word: str) -> list[Token]:
+    def tokenize(self, word: str, rng: random.Random | None = None) -> list[Token]:
         found = self.kept.get(word)
         if found is None:
             found = self.model.tokenize(word)

@@ -11,9 +11,7 @@ words; only tables of the size of the vocabulary reach the driver.
 from __future__ import annotations
 
 import logging
-import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,8 +22,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions.chars import byte_alphabet
 from textloom.functions.splitters import Splitter
+from textloom.operators.lattices import PieceTrie, best_paths, by_length, expected_counts
 from textloom.operators.models import Bpe, Unigram, WordLevel, WordPiece
 from textloom.operators.pair_table import CANDIDATES, COMPACT, WORD_COLUMNS, Words, certain_merges, first_pairs, merge_round, neighbours, pair_sums
+from textloom.operators.suffixes import repeated_substrings
 from textloom.sources.tables import Checkpoints
 
 log = logging.getLogger(__name__)
@@ -238,14 +238,14 @@ class WordPieceTrainer:
         return WordPiece(found.vocab, unk_token, self.continuing_subword_prefix)
 
 
-def _digamma(x: float) -> float:
+def _digamma(x: np.ndarray) -> np.ndarray:
     """By recurrence to large arguments, then the asymptotic series."""
-    out = 0.0
-    while x < 7:
-        out -= 1 / x
-        x += 1
+    x, out = np.array(x, float), np.zeros(np.shape(x))
+    while (small := x < 7).any():
+        out -= np.where(small, 1 / x, 0.0)
+        x = np.where(small, x + 1, x)
     y = 1 / (x * x)
-    return out + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y / 240)))
 
 
 @dataclass(frozen=True)
@@ -264,100 +264,107 @@ class UnigramTrainer:
 
         A substring counts where it has at least two different right neighbours."""
         chars = counts.select(F.explode(F.split("word", "")).alias("piece"), "count").where("piece != ''").groupBy("piece").agg(F.sum("count").cast("double").alias("score"))
-        starts = counts.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-        lengths = F.sequence(F.lit(2), F.least(F.lit(self.max_piece_length), F.length("word") - F.col("at") + 1))
-        subs = starts.where(F.col("at") < F.length("word")).select("word", "at", F.explode(lengths).alias("n"))
-        subs = subs.select(F.substring(F.col("word"), F.col("at"), F.col("n")).alias("piece"), F.substring(F.col("word"), F.col("at") + F.col("n"), F.lit(1)).alias("next"))
-        by_next = subs.groupBy("piece", "next").agg(F.count("*").alias("n"))
-        repeated = by_next.groupBy("piece").agg(F.sum("n").alias("n"), F.count("*").alias("nexts")).where("n > 1 AND nexts > 1")
+        repeated = repeated_substrings(counts, self.max_piece_length)
         top = repeated.select("piece", (F.col("n") * F.length("piece")).cast("double").alias("score")).orderBy(F.desc("score"), F.desc("piece"))
         return chars.unionByName(top.limit(self.seed_size))
 
     def train(self, counts: DataFrame) -> Unigram:
         cuts = Checkpoints(counts.sparkSession)
-        counts = cuts.table(counts)
-        seeds = [(r["piece"], r["score"]) for r in self.seeds(counts).collect()]  # at most seed_size and the alphabet
-        required = sorted({p for p, _ in seeds if len(p) == 1} | set(self.initial_alphabet))
-        total = sum(s for _, s in seeds) or 1.0
-        pieces = [("<UNK>", math.nan)] + sorted(((p, math.log(s) - math.log(total)) for p, s in seeds), key=lambda x: (-x[1], x[0]))
+        counts = cuts.table(counts.select("word", "count").where("word != ''"))
+        seeds = self.seeds(counts).toArrow()  # at most seed_size and the alphabet
+        names, score = seeds.column("piece").to_pylist(), seeds.column("score").to_numpy()
+        required = sorted({p for p in names if len(p) == 1} | set(self.initial_alphabet))
+        logs = np.log(score) - np.log(score.sum() or 1.0)
+        order = sorted(range(len(names)), key=lambda i: (-logs[i], names[i]))
+        pieces, scores = ["<UNK>", *(names[i] for i in order)], np.r_[np.nan, logs[order]]
         goal = max(int(self.vocab_size * 1.1), 1)
         while True:
             for _ in range(self.n_sub_iterations):
-                pieces = self._maximised(pieces, self._expected(counts, pieces))
+                kept, scores = self._maximised(self._expected(counts, self._trie(pieces, scores)))
+                pieces = [pieces[i] for i in kept]
             log.info("%d pieces, %d wanted", len(pieces), goal)
             if len(pieces) <= goal:
                 break
-            kept = self._pruned(counts, pieces, goal)
+            kept = self._kept(counts, pieces, scores, goal)
             if len(kept) >= len(pieces):
                 break
-            pieces = kept
+            pieces, scores = [pieces[i] for i in kept], scores[kept]
         cuts.drop()
-        return self._finalised(pieces, required)
+        return self._finalised(list(zip(pieces, scores.tolist())), required)
 
-    def _model(self, pieces: list[tuple[str, float]]) -> Unigram:
-        least = min((s for _, s in pieces[1:]), default=0.0)
-        return Unigram(((pieces[0][0], least - 10), *pieces[1:]), 0)
+    @staticmethod
+    def _trie(pieces: list[str], scores: np.ndarray) -> PieceTrie:
+        least = scores[1:].min(initial=0.0) if len(scores) > 1 else 0.0
+        return PieceTrie.of(pieces, np.r_[least - 10, scores[1:]])
 
-    def _expected(self, counts: DataFrame, pieces: list[tuple[str, float]]) -> dict[int, float]:
-        """Expected count of each piece over all words, summed per partition and then over partitions."""
-        shared = counts.sparkSession.sparkContext.broadcast(self._model(pieces))
+    def _summed(self, counts: DataFrame, trie: PieceTrie, of: Callable[[PieceTrie, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """A number for each piece: summed over groups of words in a task, then over tasks."""
+        shared = counts.sparkSession.sparkContext.broadcast(trie)
 
-        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: Counter = Counter()
-            for batch in batches:
-                for word, n in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist()):
-                    for i, e in shared.value.marginals(word)[0].items():
-                        sums[i] += n * e
-            yield pa.RecordBatch.from_pydict({"id": pa.array(list(sums), pa.int32()), "e": pa.array(list(sums.values()), pa.float64())})
-
-        rows = counts.select("word", "count").mapInArrow(expect, "id int, e double").groupBy("id").agg(F.sum("e").alias("e")).collect()
-        return {r["id"]: r["e"] for r in rows}
-
-    def _maximised(self, pieces: list[tuple[str, float]], expected: dict[int, float]) -> list[tuple[str, float]]:
-        kept = [(p, expected[i]) for i, (p, _) in enumerate(pieces) if i and expected.get(i, 0.0) >= 0.5]
-        total = _digamma(sum(e for _, e in kept) or 1.0)
-        return [pieces[0], *((p, _digamma(e) - total) for p, e in kept)]
-
-    def _pruned(self, counts: DataFrame, pieces: list[tuple[str, float]], goal: int) -> list[tuple[str, float]]:
-        """Leaves out the pieces whose absence costs the least likelihood."""
-        model = self._model(pieces)
-        shared = counts.sparkSession.sparkContext.broadcast(model)
-
-        def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: Counter = Counter()
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(len(shared.value.scores))
             for batch in batches:
-                for word, n in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist()):
-                    for i in {(i, a) for a, _, i in shared.value.best(word)}:
-                        sums[i[0]] += n
-            yield pa.RecordBatch.from_pydict({"id": pa.array(list(sums), pa.int32()), "n": pa.array(list(sums.values()), pa.int64())})
-
-        uses = {r["id"]: r["n"] for r in counts.select("word", "count").mapInArrow(used, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-        total = sum(uses.values()) or 1
-
-        def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """How a piece is made of others, if it is its own best segmentation; nothing if it is not."""
+                n = batch.column("count").to_numpy()
+                for places, codes in by_length(batch.column("word").to_pylist()):
+                    sums += of(shared.value, codes, n[places])
+            ids = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_pydict({"id": ids, "n": sums[ids]})
+
+        rows = counts.select("word", "count").mapInArrow(each, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(len(trie.scores))
+        out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
+        return out
+
+    def _expected(self, counts: DataFrame, trie: PieceTrie) -> np.ndarray:
+        return self._summed(counts, trie, expected_counts)
+
+    @staticmethod
+    def _maximised(expected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pieces stay, and their new scores; the first stays always, without one."""
+        kept = np.flatnonzero(expected >= 0.5)
+        kept = kept[kept > 0]
+        scores = _digamma(expected[kept]) - _digamma(np.asarray(expected[kept].sum() or 1.0))
+        return np.r_[0, kept], np.r_[np.nan, scores]
+
+    def _kept(self, counts: DataFrame, pieces: list[str], scores: np.ndarray, goal: int) -> np.ndarray:
+        """Which pieces stay when those go whose absence costs the least likelihood."""
+        trie = self._trie(pieces, scores)
+
+        def used(trie: PieceTrie, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+            _, words, found = best_paths(trie, codes)
+            return np.bincount(found, n[words], minlength=len(trie.scores))
+
+        uses = self._summed(counts, trie, used)
+        shared = counts.sparkSession.sparkContext.broadcast((trie, uses))
+
+        def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What the likelihood loses without a piece; infinite for one of a character, none for one that is not its own best segmentation or unused."""
+            trie, uses = shared.value
+            total = uses.sum() or 1.0
             for batch in batches:
-                ids, others = [], []
-                for i, piece in zip(batch.column("id").to_pylist(), batch.column("piece").to_pylist()):
-                    found = shared.value.nbest(piece, 2)
-                    if found[0][1] == [(0, len(piece), i)]:
-                        ids.append(i)
-                        others.append([j for _, _, j in found[1][1]] if len(found) > 1 and len(piece) > 1 else None)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int32()), "parts": pa.array(others, pa.list_(pa.int32()))})
-
-        given = counts.sparkSession.createDataFrame(pa.table({"id": pa.array(range(1, len(pieces)), pa.int32()), "piece": pa.array([p for p, _ in pieces[1:]], pa.string())}))
-        always, losses = [], []
-        for i, parts in sorted(((r["id"], r["parts"]) for r in given.mapInArrow(segmented, "id int, parts array<int>").collect()), key=lambda r: r[0]):
-            piece, score = pieces[i]
-            if parts is None:
-                always.append((piece, score))
-            elif n := uses.get(i, 0):
-                log_total, new_total = math.log(total), math.log(total + n * (len(parts) - 1))
-                instead = sum(math.log(uses.get(j, 0) + n) - new_total for j in parts)
-                losses.append((n / total * (math.log(n) - log_total - instead), piece, score))
+                ids, loss = batch.column("id").to_numpy(), np.full(batch.num_rows, np.nan)
+                for places, codes in by_length(batch.column("piece").to_pylist()):
+                    own = trie.scores[ids[places]]
+                    if codes.shape[1] == 1:
+                        loss[places] = np.inf
+                        continue
+                    score, words, parts = best_paths(trie, codes, whole=False)
+                    n = uses[ids[places]]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        new_total = np.log(total + n * (np.bincount(words, minlength=len(places)) - 1))
+                        instead = np.bincount(words, np.log(uses[parts] + n[words]) - new_total[words], minlength=len(places))
+                        lost = n / total * (np.log(n) - np.log(total) - instead)
+                    loss[places] = np.where((own >= score) & (n > 0), lost, np.nan)
+                yield pa.RecordBatch.from_pydict({"id": ids, "loss": loss})
+
+        given = counts.sparkSession.createDataFrame(pa.table({"id": pa.array(range(1, len(pieces)), pa.int64()), "piece": pa.array(pieces[1:], pa.string())}))
+        rows = given.repartition("id").mapInArrow(losses, "id long, loss double").where(~F.isnan("loss")).toArrow()
+        ids, loss = rows.column("id").to_numpy(), rows.column("loss").to_numpy()
+        names = np.asarray([pieces[i] for i in ids], object)
+        always = np.sort(ids[np.isinf(loss)])
+        others = sorted(np.flatnonzero(~np.isinf(loss)).tolist(), key=lambda k: (-loss[k], names[k]))
         size = max(goal, int(self.shrinking_factor * len(pieces)))
-        losses.sort(key=lambda x: (-x[0], x[1]))
-        return [pieces[0], *always, *((p, s) for _, p, s in losses[: max(0, size - len(always) - 1)])]
+        return np.r_[0, always, ids[others[: max(0, size - len(always) - 1)]]].astype(np.int64)
 
     def _finalised(self, pieces: list[tuple[str, float]], required: list[str]) -> Unigram:
         scores, least = dict(pieces[1:]), min((s for _, s in pieces[1:]), default=0.0)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom import encode_queries
+from textloom import encode_queries, table_queries
 from textloom.functions import normalizers as N
 from textloom.functions import splitters as S
 from textloom.functions.chars import WHITE_SPACE, byte_alphabet
@@ -307,7 +307,6 @@ def unigram_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return UnigramTrainer().seeds(Checkpoints(spark).table(_split_words(spark, sf_dir)))
 
 
-_BENCH_SQL = _COUNTS_SQL.replace("FROM documents", "FROM benchmark")
 _register("unigram_seeds", unigram_seeds, f"""
 WITH words AS ({_COUNTS_SQL}), starts AS (SELECT word, unnest(range(1, length(word))) AS p0 FROM words),
 subs AS (SELECT word, p0, unnest(range(2, least(16, length(word) - p0 + 1) + 1)) AS k FROM starts),
@@ -315,6 +314,8 @@ parts AS (SELECT substr(word, p0, k) AS piece, substr(word, p0 + k, 1) AS next F
 (SELECT piece, CAST(count(*) * length(piece) AS DOUBLE) AS score FROM parts GROUP BY piece HAVING count(*) > 1 AND count(DISTINCT next) > 1 ORDER BY score DESC, piece DESC LIMIT 1000000)
 UNION ALL SELECT char AS piece, CAST(sum(n) AS DOUBLE) AS score FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS char, n FROM words) GROUP BY char""")
 
+_BENCH_SQL = _COUNTS_SQL.replace("FROM documents", "FROM benchmark")
+
 #: A toy unigram vocabulary: scores are log probabilities.
 _TOY = (("<unk>", 0.0), ("a", -4.0), ("e", -4.1), ("h", -4.2), ("n", -4.3), ("t", -4.4), ("th", -3.0), ("an", -3.1), ("the", -2.5), ("he", -3.7), ("en", -3.6))
 
@@ -329,9 +330,9 @@ _register("unigram_encode", unigram_encode)
 
 
 def unigram_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of a vocabulary of 200, trained on the benchmark's words."""
-    counts = word_counts(_table(spark, sf_dir, "benchmark"), "text", S.Metaspace())
-    model = UnigramTrainer(200, special_tokens=("<unk>",), unk_token="<unk>", max_piece_length=8).train(counts)
+    """The pieces of a vocabulary of 8,000, trained on the documents' words; tests hold the training against one word at a time."""
+    counts = word_counts(_table(spark, sf_dir, "documents"), "text", S.Metaspace())
+    model = UnigramTrainer(8_000, special_tokens=("<unk>",), unk_token="<unk>").train(counts)
     return spark.createDataFrame([(i, p) for i, (p, _) in enumerate(model.pieces)], "id long, piece string")
 
 
@@ -557,5 +558,5 @@ def byte_bpe_train_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _register("byte_bpe_train_encode", byte_bpe_train_encode, "SELECT doc_id, md5(text) AS hash FROM documents")
 
-QUERIES |= encode_queries.QUERIES
-ORACLE_SQL |= encode_queries.ORACLE_SQL
+QUERIES |= encode_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL |= encode_queries.ORACLE_SQL | table_queries.ORACLE_SQL

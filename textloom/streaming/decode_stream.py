@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.plans.pipeline import TextPipeline
@@ -94,6 +95,46 @@ def decode_streams(tokens: DataFrame, pipeline: TextPipeline, skip_special_token
     return grouped.applyInPandasWithState(steps, "stream_id long, pos long, id long, text string", "ids array<long>, prefix string, prefix_index int", "append", GroupStateTimeout.NoTimeout)
 
 
+_STATE = "ids array<long>, prefix string, prefix_index int"
+
+
+def decode_streams_from(tokens: DataFrame, pipeline: TextPipeline, prefills: DataFrame | None = None, skip_special_tokens: bool = False, idle_ms: int | None = None) -> DataFrame:
+    """As ``decode_streams``, where streams may begin with ids that were given before: rows (stream_id, ids) of ``prefills``.
+
+    These ids are context and give no text themselves.  A stream that is idle for ``idle_ms`` is forgotten: a later
+    token of it begins anew.  Needs the RocksDB state store."""
+    shared = tokens.sparkSession.sparkContext.broadcast(pipeline)
+
+    class Steps(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.held = handle.getValueState("stream", _STATE, idle_ms)
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+            stream = DecodeStream(shared.value, skip_special_tokens)
+            if self.held.exists():
+                ids, prefix, index = self.held.get()
+                stream.state = [int(i) for i in ids], prefix, index
+            batch = pd.concat(list(rows)).sort_values("pos")
+            batch = batch.assign(stream_id=key[0], text=[stream.step(int(i)) for i in batch["id"]])
+            self._keep(stream)
+            yield batch[["stream_id", "pos", "id", "text"]]
+
+        def handleInitialState(self, key: tuple, row: pd.DataFrame, timers: object) -> None:
+            self._keep(DecodeStream(shared.value, skip_special_tokens, [int(i) for i in row["ids"].iloc[0]]))
+
+        def _keep(self, stream: DecodeStream) -> None:
+            ids, prefix, index = stream.state
+            self.held.update(([int(i) for i in ids], prefix, index))
+
+        def close(self) -> None:
+            pass
+
+    grouped = tokens.select("stream_id", "pos", "id").groupBy("stream_id")
+    first = prefills.select("stream_id", "ids").groupBy("stream_id") if prefills is not None else None
+    mode = "ProcessingTime" if idle_ms else "None"
+    return grouped.transformWithStateInPandas(Steps(), "stream_id long, pos long, id long, text string", "Append", mode, first)
+
+
 def encode_stream(texts: DataFrame, pipeline: TextPipeline, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Encoding has no state: a stream's rows are encoded as a table's are."""
     return pipeline.encode_ids(texts, text_col, ids_col)
