@@ -103,14 +103,14 @@ def decode_streams_from(tokens: DataFrame, pipeline: TextPipeline, prefills: Dat
 
     These ids are context and give no text themselves.  A stream that is idle for ``idle_ms`` is forgotten: a later
     token of it begins anew.  Needs the RocksDB state store."""
-    shared = tokens.sparkSession.sparkContext.broadcast(pipeline)
 
+    # the processor is also made once on the driver, where broadcasts are not loaded: it carries the pipeline itself
     class Steps(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.held = handle.getValueState("stream", _STATE, idle_ms)
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-            stream = DecodeStream(shared.value, skip_special_tokens)
+            stream = DecodeStream(pipeline, skip_special_tokens)
             if self.held.exists():
                 ids, prefix, index = self.held.get()
                 stream.state = [int(i) for i in ids], prefix, index
@@ -120,7 +120,7 @@ def decode_streams_from(tokens: DataFrame, pipeline: TextPipeline, prefills: Dat
             yield batch[["stream_id", "pos", "id", "text"]]
 
         def handleInitialState(self, key: tuple, row: pd.DataFrame, timers: object) -> None:
-            self._keep(DecodeStream(shared.value, skip_special_tokens, [int(i) for i in row["ids"].iloc[0]]))
+            self._keep(DecodeStream(pipeline, skip_special_tokens, [int(i) for i in row["ids"].iloc[0]]))
 
         def _keep(self, stream: DecodeStream) -> None:
             ids, prefix, index = stream.state
