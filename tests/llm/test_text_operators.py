@@ -230,3 +230,15 @@ def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate.contamination(nothing, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("most", [decontaminate.SET_SHINGLES, 0])
+def test_items_that_share_a_passage_are_all_found(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "SET_SHINGLES", most)
+    shared, other = " ".join(f"s{i}" for i in range(14)), " ".join(f"o{i}" for i in range(12))
+    items = [(f"i{k}", shared if k % 3 else f"{shared} {other} end{k}") for k in range(120)] + [("short", "o3 o4")]
+    docs = [(k, f"a{k} {shared} b" if k % 2 else f"{shared} {other}") for k in range(60)] + [(100, f"x {other} y"), (101, "nothing here"), (102, None), (1, f"a1 {shared} b")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), bench).collect()
+    fields = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert Counter(tuple(r[f] for f in fields) for r in found) == Counter(brute_contamination(docs, items))
