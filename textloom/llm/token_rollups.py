@@ -3,11 +3,12 @@
 A change is a signed row: an insert adds a document and its tokens, a delete
 takes them away, and a revision adds the difference of new and old count.  A
 batch of changes is summed by source, language and tokenizer version and
-written as one partition of a ledger, named by the batch's id.  Committing a
-batch again replaces its partition by equal sums, so a retry or a replay
-changes nothing; a batch that failed left no partition.  Totals are the sums
-over the ledger, whose rows do not grow with the documents, and ``compact``
-folds committed batches into one.
+written as an attempt into a folder of a ledger, named by the batch's id.  Of
+the attempts that were written whole the last counts, so a retry or a replay
+changes nothing, one that breaks off leaves what was committed, and a reader
+never finds a batch missing meanwhile.  Totals are the sums over the ledger,
+whose rows do not grow with the documents, and ``compact`` folds committed
+batches into one.
 
 Null sources and languages are groups of their own.  Null counts are 0.  An
 empty batch leaves the totals as they are, and replaces what its id held.
@@ -66,14 +67,36 @@ class TokenLedger:
         sums = changes.groupBy(*KEYS).agg(F.sum(sign).cast("long").alias("docs"), F.sum(tokens).cast("long").alias("tokens"))
         self._write(batch_id, sums)
 
+    def _folders(self, path: str, start: str) -> list[str]:
+        """Names of the folders in a folder that start so."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in files.listStatus(place) if s.getPath().getName().startswith(start)) if files.exists(place) else []
+
+    def _attempts(self, batch: str, whole: bool) -> list[str]:
+        """The paths of a batch's attempts in order; ``whole``: only those that were written to their end."""
+        paths = [f"{self.path}/{batch}/{a}" for a in self._folders(f"{self.path}/{batch}", "attempt=")]
+        return [p for p in paths if not whole or self._folders(p, "_SUCCESS")]
+
     def _write(self, batch_id: str, sums: DataFrame) -> None:
-        """Replaces the batch's folder; an empty batch leaves a file without rows in it."""
+        """Adds an attempt to the batch's folder; an empty batch leaves a file without rows in it."""
         if not re.fullmatch(r"[\w.-]+", batch_id):
             raise ValueError("a batch's id is made of letters, digits, dots and hyphens")
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        batch = f"batch_id={batch_id}"
+        last = max((int(p.rpartition("=")[2]) for p in self._attempts(batch, whole=False)), default=0)
+        sums.coalesce(1).write.parquet(f"{self.path}/{batch}/attempt={last + 1:06d}")
+        # the one before stays for those who read it now
+        whole = self._attempts(batch, whole=True)
+        for path in whole[:-2]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     def batches(self) -> DataFrame:
-        return self.spark.read.schema(_SCHEMA).parquet(self.path)
+        """The sums of all committed batches."""
+        committed = [attempts[-1] for batch in self._folders(self.path, "batch_id=") if (attempts := self._attempts(batch, whole=True))]
+        if not committed:
+            return self.spark.createDataFrame([], _SCHEMA)
+        return self.spark.read.schema(_SCHEMA).option("basePath", self.path).parquet(*committed)
 
     def totals(self) -> DataFrame:
         """Documents and tokens by source, language and tokenizer version; groups without documents and tokens are left out."""
