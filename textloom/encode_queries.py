@@ -323,16 +323,28 @@ def vocabulary_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipe.model.vocab_table(spark)
 
 
-@_add("vocab_with_added_tokens", "SELECT * FROM (VALUES ('<unk>', 0), ('a', 1), ('b', 2), ('[X]', 3)) t(token, id)")
+@_add("vocab_with_added_tokens", f"""SELECT '<unk>' AS token, 0::INT AS id UNION ALL SELECT '[X]', 50
+UNION ALL (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word)::INT FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word ORDER BY count(*) DESC, word LIMIT 49)""")
 def vocab_with_added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary with added tokens; one that the model knows is there once."""
-    pipe = TextPipeline(WordLevel({"<unk>": 0, "a": 1, "b": 2})).with_added_tokens(["a", "[X]"])
+    """The documents' vocabulary of 50 with added tokens; one that the model knows is there once."""
+    words = word_counts(_table(spark, sf_dir, "documents"), "text", S.WhitespaceSplit())
+    model = WordLevelTrainer(50, special_tokens=("<unk>",)).train(words)
+    pipe = TextPipeline(model).with_added_tokens([model.id_to_token(1), "[X]"])
     return spark.createDataFrame(sorted(pipe.vocab().items(), key=lambda x: x[1]), "token string, id int")
 
 
-@_add("byte_level_alphabet", "SELECT CAST(b AS BIGINT) AS byte, chr(CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 THEN b ELSE 255 + CAST(row_number() OVER (PARTITION BY NOT (b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174) ORDER BY b) AS INT) END) AS char FROM (SELECT CAST(unnest(range(0, 256)) AS INT) AS b)")
+_PRINTABLE = "b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174"
+
+
+@_add("byte_level_alphabet", f"""
+WITH alphabet AS (SELECT b, chr(CASE WHEN {_PRINTABLE} THEN b ELSE 255 + CAST(row_number() OVER (PARTITION BY NOT ({_PRINTABLE}) ORDER BY b) AS INT) END) AS char FROM (SELECT CAST(unnest(range(0, 256)) AS INT) AS b)),
+bytes AS (SELECT ('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')))::INT AS b FROM documents)
+SELECT b::BIGINT AS byte, char, count(*) AS n FROM bytes JOIN alphabet USING (b) GROUP BY ALL""")
 def byte_level_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(byte_alphabet())), "byte long, char string")
+    """The bytes of the documents, the characters that stand for them, and how often they occur."""
+    alphabet = spark.createDataFrame(list(enumerate(byte_alphabet())), "byte long, char string")
+    pairs = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    return pairs.select(F.conv("pair", 16, 10).cast("long").alias("byte"), "n").join(F.broadcast(alphabet), "byte").select("byte", "char", "n")
 
 
 @_add("custom_parts", "SELECT conv_id, turn, text || '!' AS marked, list_filter(string_split(text, 'e'), lambda x: x <> '') AS pieces, reverse(text) AS turned FROM conversations")
