@@ -14,6 +14,7 @@ import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,17 @@ def word_counts(texts: DataFrame, text_col: str, splitter: Splitter | None = Non
     return texts.select(F.explode(words).alias("word")).where(F.col("word") != "").groupBy("word").count()
 
 
+def _numbered(tokens: DataFrame, order: list[Column], first: int) -> DataFrame:
+    """Rows (token, id) numbered in order: sorted by ranges, numbered within each, and moved by what is before the range."""
+    marked = Checkpoints(tokens.sparkSession).table(tokens.orderBy(*order).select("token", F.monotonically_increasing_id().alias("mark")))
+    # a mark is the range's number and, in its last 33 bits, the place there
+    ranges = sorted((r["range"], r["n"]) for r in marked.groupBy(F.shiftright("mark", 33).alias("range")).agg(F.count("*").alias("n")).collect())
+    before = list(accumulate((n for _, n in ranges), initial=first))
+    starts = tokens.sparkSession.createDataFrame([(r, b) for (r, _), b in zip(ranges, before)], "range long, start long")
+    met = marked.withColumn("range", F.shiftright("mark", 33)).join(F.broadcast(starts), "range")
+    return met.select("token", (F.col("start") + F.expr("mark & 8589934591")).alias("id"))
+
+
 @dataclass(frozen=True)
 class WordLevelTrainer:
     """The most frequent words; ``vocab_size`` None keeps all of them."""
@@ -65,10 +77,13 @@ class WordLevelTrainer:
         """Rows (token, id): special tokens, then words by falling count and rising text."""
         spark = counts.sparkSession
         top = counts.where(F.col("count") >= self.min_frequency)
-        if self.vocab_size is not None:
-            top = top.orderBy(F.desc("count"), "word").limit(max(0, self.vocab_size - len(self.special_tokens)))
-        # a window over the kept rows alone, whose number is the vocabulary's size
-        numbered = top.select(F.col("word").alias("token"), (F.row_number().over(Window.orderBy(F.desc("count"), "word")) - 1 + len(self.special_tokens)).cast("long").alias("id"))
+        first = len(self.special_tokens)
+        if self.vocab_size is None:
+            numbered = _numbered(top.select(F.col("word").alias("token"), "count"), [F.desc("count"), F.col("token")], first)
+        else:
+            top = top.orderBy(F.desc("count"), "word").limit(max(0, self.vocab_size - first))
+            # a window over the kept rows alone, whose number is the vocabulary's size
+            numbered = top.select(F.col("word").alias("token"), (F.row_number().over(Window.orderBy(F.desc("count"), "word")) - 1 + first).cast("long").alias("id"))
         specials = spark.createDataFrame([(t, i) for i, t in enumerate(self.special_tokens)], "token string, id long")
         return specials.unionByName(numbered)
 
