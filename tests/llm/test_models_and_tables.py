@@ -48,6 +48,8 @@ def test_encode_and_decode_tables(spark):
     rows = [(1, "Hello  world", "x"), (2, None, "y"), (3, "", "z"), (4, long, "l"), (4, long, "l"), (None, long, "n"), (5, "a<|endoftext|>b", None), (6, "x" * 3000, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece string").withColumn("token_ids", F.lit("old"))
     made = bpe_codec.decode(bpe_codec.encode(docs, long_chars=512)).collect()
+    at_once = bpe_codec.encode(docs, long_chars=512, decoded_col="decoded")
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, made))
     assert len(made) == len(rows)
     for r in made:
         assert r.decoded == (r.text or "") and r.token_ids == bpe_codec.encode_text(RANKS, r.text or "").tolist()

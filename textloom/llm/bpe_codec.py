@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ LONG_CHARS = 32_768
 AGREE = 4
 #: Tokens first taken from either side of a join.
 WINDOW = 16
+#: Tokens that are Python numbers at a time while a text is decoded.
+DECODED = 65_536
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -58,6 +60,12 @@ def encode_text(path: str, text: str) -> np.ndarray:
     return np.asarray(codec(path).encode_to_numpy(text, allowed_special="all"), dtype=np.int32)
 
 
+def decode_ids(path: str, ids: np.ndarray) -> str:
+    """The text of token ids; bytes that are no UTF-8 become U+FFFD."""
+    parts = (codec(path).decode_bytes(ids[at : at + DECODED].tolist()) for at in range(0, len(ids), DECODED))
+    return b"".join(parts).decode(errors="replace")
+
+
 def _aligned(data: bytes, at: int) -> bool:
     return at >= len(data) or data[at] & 0xC0 != 0x80
 
@@ -107,10 +115,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32()))
 
 
-def _small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``most`` bytes of text, or one row."""
+def _small_batches(batches: Iterator[pa.RecordBatch], column: str, length: Callable[[pa.Array], pa.Array] = pc.binary_length, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``most`` bytes of text (or whatever ``length`` counts), or one row."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for k, n in enumerate(sizes):
             if total and total + n > most:
@@ -125,15 +133,20 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", ranks: str | None = None, long_chars: int = LONG_CHARS) -> DataFrame:
-    """Adds ``ids_col``: the token ids of the whole text."""
-    path, docs = ranks or default_ranks(), docs.drop(ids_col)
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", ranks: str | None = None, long_chars: int = LONG_CHARS, decoded_col: str | None = None) -> DataFrame:
+    """Adds ``ids_col``: the token ids of the whole text.
+
+    With ``decoded_col`` the ids are decoded as well, in the task that made them, so that one Python worker does both."""
+    path, docs = ranks or default_ranks(), docs.drop(ids_col, *([decoded_col] if decoded_col else []))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small_batches(batches, text_col):
-            yield _with_column(batch, ids_col, _lists([encode_text(path, t or "") for t in batch.column(text_col).to_pylist()]))
+            ids = [encode_text(path, t or "") for t in batch.column(text_col).to_pylist()]
+            made = _with_column(batch, ids_col, _lists(ids))
+            yield _with_column(made, decoded_col, pa.array([decode_ids(path, i) for i in ids], pa.string())) if decoded_col else made
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    schema = T.StructType([*docs.schema.fields, *added])
     text, length = F.col(f"`{text_col}`"), F.char_length(F.col(f"`{text_col}`"))
     is_long = F.coalesce(length > long_chars, F.lit(False))
     short = docs.where(~is_long).mapInArrow(each, schema)
@@ -159,7 +172,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids",
     pieces = pieces.groupBy("key", "part").agg(F.first("piece").alias("piece"))
     joined = pieces.mapInArrow(each_piece, "key string, part int, piece string, ids array<int>").groupBy("key").applyInArrow(whole, "key string, ids array<int>")
     long = long.join(joined, "key").select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("ids").alias(ids_col))
-    return short.unionByName(long)
+    return short.unionByName(decode(long, ids_col, decoded_col, path) if decoded_col else long)
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", text_col: str = "decoded", ranks: str | None = None) -> DataFrame:
@@ -167,18 +180,15 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", text_col: str = "deco
     path, encoded = ranks or default_ranks(), encoded.drop(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [codec(path).decode_bytes(ids or []).decode(errors="replace") for ids in part.column(ids_col).to_pylist()]
-                yield _with_column(part, text_col, pa.array(texts, pa.string()))
+        for batch in _small_batches(batches, ids_col, pc.list_value_length, 1 << 19):
+            texts = [decode_ids(path, v.values.to_numpy()) if v.is_valid else "" for v in batch.column(ids_col)]
+            yield _with_column(batch, text_col, pa.array(texts, pa.string()))
 
     return encoded.mapInArrow(each, T.StructType([*encoded.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """One row per document: number of tokens, and hashes of the ids and of the decoded text."""
-    encoded = encode(docs.select("doc_id", "text"), ranks=ranks).select("doc_id", "token_ids")
+    made = encode(docs.select("doc_id", "text"), ranks=ranks, decoded_col="decoded")
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
-    hashed = encoded.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"))
-    return decode(hashed).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return made.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
