@@ -34,6 +34,8 @@ from textloom.llm.common import HOT_SHARE, SALTS, Scratch, is_empty, key_filter,
 
 #: Words that a repeated run must have.
 MIN_WORDS = 8
+#: Levels that are joined in one plan while runs are lengthened.
+LEVELS_AT_ONCE = 3
 _LAST = (1 << 63) - 1
 _PLACE = ["doc", "key", "pos"]
 _SOURCE = ["src_doc", "src_key", "src_pos"]
@@ -136,6 +138,9 @@ def copied_runs(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
         runs = _joined_at_source(runs, levels[k], hot)
         more = F.when(F.col("own") == F.col("theirs"), 1 << k).otherwise(0)
         runs = runs.withColumn("lines", F.col("lines") + more).drop("own", "theirs")
+        # a plan of few levels: the driver keeps a description of the whole plan for each of its stages
+        if k and k % LEVELS_AT_ONCE == 0:
+            runs = scratch.table(runs)
     return runs.select(*_PLACE, "lines")
 
 
