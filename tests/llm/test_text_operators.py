@@ -181,6 +181,21 @@ def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
         assert line_dedup.copied_runs(docs, line_dedup.MIN_WORDS, scratch).count() == 1
 
 
+def test_overlapping_repeated_and_nested_cuts(spark):
+    runs = [(1, 7, 2, 3), (1, 7, 2, 3), (1, 7, 4, 4), (1, 7, 5, 1), (1, 7, 12, 1), (2, 7, 0, 2)]
+    cuts = line_dedup._cuts(spark.createDataFrame(runs, "doc long, key long, pos int, lines int"))
+    text = "\n".join(f" {i}" if i % 4 else f"\n{i}" for i in range(15))
+    shaped = cuts.withColumn("text", F.lit(text)).select("doc", *line_dedup._without(F.col("text"), F.col("cuts")))
+    made = {r[0]: (r[1], r[2]) for r in shaped.collect()}
+    for doc, gone in ((1, {2, 3, 4, 5, 6, 7, 12}), (2, {0, 1})):
+        filled, left = -1, []
+        for line in text.split("\n"):
+            filled += bool(line.strip(" "))
+            if not line.strip(" ") or filled not in gone:
+                left.append(line)
+        assert made[doc] == ("\n".join(left), len(gone))
+
+
 def test_line_dedup_with_hot_runs_equals_brute_force(spark):
     # hundreds of documents repeat one passage, so its runs and their source are dealt into salts
     passage = "\n".join(f"passage line {i} with words enough to be a run of its own" for i in range(3))

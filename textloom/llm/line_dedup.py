@@ -144,12 +144,24 @@ def copied_runs(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     return runs.select(*_PLACE, "lines")
 
 
+def _cuts(runs: DataFrame) -> DataFrame:
+    """For each document the runs in order, as ``skip`` lines that stay and ``drop`` lines that go; runs may overlap or repeat."""
+    before = Window.partitionBy("doc", "key").orderBy("pos", "lines").rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.col("pos") + F.col("lines")
+    parts = runs.select(*_PLACE, stop.alias("stop"), F.coalesce(F.max(stop).over(before), F.lit(0)).alias("done")).where("stop > done")
+    skip, drop = F.greatest(F.col("pos") - F.col("done"), F.lit(0)), F.col("stop") - F.greatest("pos", "done")
+    part = F.struct("pos", skip.cast("int").alias("skip"), drop.cast("int").alias("drop"))
+    return parts.groupBy("doc", "key").agg(F.sort_array(F.collect_list(part)).alias("cuts"))
+
+
 def _without(text: Column, cuts: Column) -> tuple[Column, Column]:
-    """A text without the runs ``cuts`` of its non-blank lines, and how many lines these are."""
+    """A text without the lines that ``cuts`` drops of its non-blank ones, and how many lines these are."""
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     filled = F.filter(numbered, lambda z: F.trim(z["line"]) != "")
     blank = F.filter(numbered, lambda z: F.trim(z["line"]) == "")
-    kept = F.filter(filled, lambda z, p: ~F.exists(cuts, lambda c: (c["pos"] <= p) & (p < c["stop"])))
+    stays = F.flatten(F.transform(cuts, lambda c: F.concat(F.array_repeat(F.lit(True), c["skip"]), F.array_repeat(F.lit(False), c["drop"]))))
+    marked = F.zip_with(filled, stays, lambda z, stay: F.struct(z["at"].alias("at"), z["line"].alias("line"), F.coalesce(stay, F.lit(True)).alias("stay")))
+    kept = F.transform(F.filter(marked, lambda z: z["stay"]), lambda z: F.struct(z["at"].alias("at"), z["line"].alias("line")))
     rest = F.array_join(F.transform(F.sort_array(F.concat(kept, blank)), lambda z: z["line"]), "\n")
     return F.when(F.size(kept) > 0, rest).otherwise(""), F.size(filled) - F.size(kept)
 
@@ -158,8 +170,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with later copies deleted from ``text``; adds ``n_lines`` and ``n_deleted``, in place of columns of these names."""
     with Scratch(docs.sparkSession, "line-dedup-work") as work:
         runs = copied_runs(docs, min_words, work)
-        spans = F.sort_array(F.collect_set(F.struct("pos", (F.col("pos") + F.col("lines")).alias("stop"))))
-        cuts = Scratch(docs.sparkSession, "line-dedup").table(runs.groupBy("doc", "key").agg(spans.alias("cuts")))
+        cuts = Scratch(docs.sparkSession, "line-dedup").table(_cuts(runs))
     row_text = F.col("row.text")
     own = packed(docs.drop("n_lines", "n_deleted")).select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST)).alias("doc"), text_key(row_text).alias("key"))
     own = may_hold(own, key_filter(cuts, "doc", "key"), "may", F.col("doc"), F.col("key")).withColumn("may", F.col("may") & row_text.isNotNull())
