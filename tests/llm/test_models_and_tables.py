@@ -343,6 +343,24 @@ def test_texts_in_no_learned_language_are_rejected(spark):
     assert not kept & {-1, -2, -3} and clean <= kept
 
 
+def test_more_languages_than_have_weights_of_their_own(spark):
+    letters = [chr(0x4E00 + 7 * k) for k in range(600)]
+    rows = [(3 * k + n, f"{a}{a} {a} {a}{a}{a}"[: 4 + n], f"l{k}") for k, a in enumerate(letters) for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 600 and model.weights.size <= language_id.MOST_WEIGHTS < 600 * language_id.FEATURES
+    found = [model.predict(f"{a} {a}{a}")[0] == f"l{k}" for k, a in enumerate(letters)]
+    assert sum(found) > 0.95 * len(found)
+    assert [language_id.width_for(n) for n in (0, 1, 512, 513, 1 << 24, 1 << 30)] == [1 << 15, 1 << 15, 1 << 15, 1 << 14, 1, 1]
+
+
+def test_shared_weights_add_up():
+    found, x = np.array([0, 1, 5, 32767]), np.array([1.0, 2.0, 4.0, 8.0])
+    slots, sums = language_id.shared_weights(found, x, language_id.FEATURES // 4)
+    assert slots.tolist() == [0, 1, 8191] and sums.tolist() == [3.0, 4.0, 8.0]
+    assert language_id.shared_weights(found, x, language_id.FEATURES)[1] is x
+
+
 def test_ftrl_equals_a_plain_version():
     rng = np.random.default_rng(3)
     rows = []

@@ -8,6 +8,8 @@ temperature that calibrates the probabilities.
 
 A text that is null or has no letter gets ``und`` and score 0, and so does
 every text if there is no labelled row.  Null labels are not learnt from.
+Any number of languages may occur: beyond 512 n-grams share weights, so that
+all weights together keep within ``MOST_WEIGHTS``.
 Texts are read whole, however long.  A text that many rows repeat enters the
 sample once, and rows that repeat get the same result.  ``predict`` replaces
 columns named lang_pred and score; any other names may occur.
@@ -32,8 +34,8 @@ FEATURES = 1 << 15
 MOST_CHARS = 3
 #: Most labelled rows that the weights are fitted on, about.
 SAMPLE_ROWS = 8192
-#: Most languages that dense weights are kept and broadcast for (128 MB).
-MOST_LANGUAGES = 512
+#: Most weights of all languages together that are kept and broadcast (128 MB).
+MOST_WEIGHTS = 512 * FEATURES
 #: Texts of so many n-grams at least are rejected if their n-grams are rarer, by this factor, than in almost all learned texts.
 JUDGED_GRAMS, RARER = 40, 1.33
 EPOCHS = 2
@@ -64,6 +66,19 @@ def weighted(grams: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.
     return found, x / max(float(np.linalg.norm(x)), 1e-12)
 
 
+def width_for(languages: int) -> int:
+    """Weights of one language: one for each feature, or as many as keep within the bound, but one at least."""
+    return min(FEATURES, 1 << max((MOST_WEIGHTS // max(languages, 1)).bit_length() - 1, 0))
+
+
+def shared_weights(found: np.ndarray, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features that share a weight add up."""
+    if width == FEATURES:
+        return found, x
+    slots, at = np.unique(found // (FEATURES // width), return_inverse=True)
+    return slots, np.bincount(at, x)
+
+
 def rarity(grams: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
     """Mean inverse document frequency of a text's n-grams."""
     found, counts = grams
@@ -83,7 +98,7 @@ class LanguageModel:
         grams = ngram_counts(text)
         if grams is None or not self.languages:
             return UNDETERMINED, 0.0, False
-        found, x = weighted(grams, self.idf)
+        found, x = shared_weights(*weighted(grams, self.idf), self.weights.shape[1])
         p = _softmax(self.weights[:, found] @ x / self.temperature)
         k = int(p.argmax())
         foreign = int(grams[1].sum()) >= JUDGED_GRAMS and rarity(grams, self.idf) > self.rarity_limit
@@ -98,9 +113,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=0)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, seed: int = 7) -> np.ndarray:
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, seed: int = 7, width: int = FEATURES) -> np.ndarray:
     """Weights by follow-the-regularised-leader with elastic-net penalties."""
-    z, n = np.zeros((classes, FEATURES)), np.zeros((classes, FEATURES))
+    z, n = np.zeros((classes, width)), np.zeros((classes, width))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -164,32 +179,30 @@ def hash_limit(rate: float) -> int:
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fits a model on labelled rows; the sample's bound is ``sample_rows``."""
-    labelled = train.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(id_col).alias("id")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    labelled = train.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.col(id_col).alias("id")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
+    # one row for each language
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     languages = tuple(sorted(sizes))
+    number, width = {label: k for k, label in enumerate(languages)}, width_for(len(languages))
     frequencies, total = document_frequencies(labelled, "text")
     idf = np.log((1 + total) / (1 + frequencies)) + 1
     if not languages:
         return LanguageModel((), idf, np.zeros((0, FEATURES)), 1.0)
     # each language gives its share of the bound at most, so a rare one is not lost
     share = sample_rows / len(languages)
-    limit = F.lit(None).cast("long")
-    for label in languages:
-        limit = F.when(F.col("label") == label, hash_limit(share / sizes[label])).otherwise(limit)
+    limits = train.sparkSession.createDataFrame([(label, hash_limit(share / n)) for label, n in sizes.items()], "label string, most long")
     # rows are drawn by text and id and then made distinct, so copies of a text neither come in together nor count twice
-    drawn = labelled.where(F.xxhash64("text", "id") <= limit)
+    drawn = labelled.join(F.broadcast(limits), "label").where(F.xxhash64("text", "id") <= F.col("most"))
     sample = drawn.groupBy("text", "label").agg(F.first(F.xxhash64("text")).alias("dealt"))
 
     def train_one(table: pa.Table) -> pa.Table:
         rows = []
         for text, label, at in sorted(zip(*(table[c].to_pylist() for c in ("text", "label", "dealt"))), key=lambda r: (r[2], r[0], r[1])):
             if grams := ngram_counts(text):
-                rows.append((*weighted(grams, idf), languages.index(label), at % 5 == 0, rarity(grams, idf) if int(grams[1].sum()) >= JUDGED_GRAMS else None))
+                rows.append((*shared_weights(*weighted(grams, idf), width), number[label], at % 5 == 0, rarity(grams, idf) if int(grams[1].sum()) >= JUDGED_GRAMS else None))
         # a language whose few texts would all be held back is fitted on them
         fitted = {r[2] for r in rows if not r[3]}
-        w = fit_ftrl([r[:3] for r in rows if not r[3] or r[2] not in fitted], len(languages))
+        w = fit_ftrl([r[:3] for r in rows if not r[3] or r[2] not in fitted], len(languages), width=width)
         held = [r for r in rows if r[3]]
         logits = np.array([w[:, r[0]] @ r[1] for r in held])
         t = fit_temperature(logits, np.array([r[2] for r in held], np.int64))
@@ -200,7 +213,7 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
         return pa.table({"k": np.r_[-1, k].astype(np.int32), "f": np.r_[0, f].astype(np.int32), "w": np.r_[most, w[k, f]], "t": np.full(len(k) + 1, t)})
 
     fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(train_one, "k int, f int, w double, t double").toPandas()
-    weights = np.zeros((len(languages), FEATURES))
+    weights = np.zeros((len(languages), width))
     if not len(fitted):
         return LanguageModel(languages, idf, weights, 1.0)
     made = fitted[fitted.k >= 0]
