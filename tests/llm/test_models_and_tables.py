@@ -225,6 +225,19 @@ def test_hosts_paths_and_rules(spark):
     assert url_reputation.verdicts(pages.limit(0), labels).count() == 0
 
 
+def test_every_rule_has_the_word_of_its_contract(spark, tmp_path):
+    rules = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    hosts = {"com/en/": "a.com/en/1", "example.com/en/7": "www.example.com/en/70", "net/de/": "a.net/de/9", "example.net/de/8": "example.net/de/8", "org/es/": "org/es/"}
+    pd.DataFrame({"page_id": range(5), "url": [f"https://{hosts[r]}" for r in rules]}).to_parquet(tmp_path / "pages.parquet")
+    pd.DataFrame({"doc_id": [1], "quality": [1], "toxic": [0]}).to_parquet(tmp_path / "labels.parquet")
+    made = queries.op7_url_reputation(spark, str(tmp_path)).collect()
+    assert {r.rule: r.verdict for r in made} == rules
+    with duckdb.connect() as db:
+        for t in ("pages", "labels"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+        assert dict(db.sql(f"SELECT rule, verdict FROM ({queries.ORACLE_SQL['op7_url_reputation']})").fetchall()) == rules
+
+
 def test_reputation_shrinks_towards_the_domain(spark):
     rows = [("bad.example.com", 1)] * 60 + [("good.example.com", 0)] * 60 + [("new.example.com", None)] + [("one.other.org", 1)] + [(f"h{i}.other.org", 0) for i in range(50)]
     given = spark.createDataFrame(rows, "host string, bad int").withColumn("times", F.lit(1))
