@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Tokens of a vocabulary up to which it is broadcast, of at most so many characters in all.
 BROADCAST_TOKENS, BROADCAST_CHARS = 1_000_000, 16_000_000
+#: Places whose tokens are joined at once.
+STRETCH = 1 << 12
 _BYTE = "^<0x[0-9A-Fa-f]{2}>$"
 
 
@@ -54,5 +56,12 @@ def decoded_rows(ids: DataFrame, vocabulary: DataFrame, key: list[str], skip_spe
     Keys without a known token have no row."""
     tokens = byte_runs(token_of_ids(ids, vocabulary, key, skip_special_tokens), key)
     token = spoken(F.col("token")) if spoken else F.col("token")
-    parts = F.array_sort(F.collect_list(F.struct(F.col("pos"), token.alias("token"))))
-    return tokens.groupBy(*key).agg(parts.alias("parts")).select(*key, F.array_join(F.transform("parts", lambda p: p["token"]), separator).alias("text"))
+
+    def joined(rows: DataFrame, by: list[str]) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct("pos", "token")))
+        return rows.groupBy(*by).agg(parts.alias("parts")).select(*by, F.array_join(F.transform("parts", lambda p: p["token"]), separator).alias("text"))
+
+    # a long text is joined by stretches first: a list of single tokens takes many times the room of their text
+    placed = tokens.select(*key, "pos", token.alias("token"), F.expr(f"pos div {STRETCH}").alias("__stretch"))
+    stretches = joined(placed, [*key, "__stretch"])
+    return joined(stretches.select(*key, F.col("__stretch").alias("pos"), F.col("text").alias("token")), key)
