@@ -8,6 +8,9 @@ are different keys, so it is dealt over many tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,19 @@ BIN = 256
 
 def pieces_with_spans(texts: DataFrame, key: list[str], text_col: str, pattern: str, kept: str | None = None) -> DataFrame:
     """Rows (key, pos, piece, start, end): the matches of a pattern that covers the text; with ``kept`` only those it matches."""
-    pieces = texts.select(*key, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("at", "piece"))
-    # where a piece begins is the length of all before it: one running sum for each text
-    before = F.expr(f"coalesce(sum(char_length(piece)) OVER (PARTITION BY {', '.join(f'`{k}`' for k in key)} ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    placed = pieces.withColumn("start", before.cast("int")).withColumn("end", (F.col("start") + F.char_length("piece")).cast("int"))
+
+    def ends(lengths: pa.Array) -> pa.Array:
+        n = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False))]
+        sums = np.r_[0, np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64))]
+        own = sums[1:] - np.repeat(sums[n[:-1]], np.diff(n))
+        return pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(own.astype(np.int32)), mask=lengths.is_null())
+
+    ends.__annotations__ = {"lengths": pa.Array, "return": pa.Array}
+    # where a piece ends is the length of all up to it: a running sum within its text's row, so no rows are sorted for it
+    listed = texts.select(*key, F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)).alias("__pieces"))
+    listed = listed.withColumn("__ends", F.arrow_udf(ends, "array<int>")(F.transform("__pieces", F.char_length)))
+    pieces = listed.select(*key, F.posexplode(F.arrays_zip(F.col("__pieces").alias("piece"), F.col("__ends").alias("end"))).alias("at", "x")).select(*key, "at", "x.piece", "x.end")
+    placed = pieces.withColumn("start", F.col("end") - F.char_length("piece"))
     if kept is not None:
         placed = placed.where(F.col("piece").rlike(kept))
     return placed.select(*key, F.col("at").alias("pos"), "piece", "start", "end")
