@@ -79,3 +79,10 @@ def test_pieces_are_placed_without_sorting_rows(spark):
 def test_lattices_of_repeated_words_are_built_once():
     model = Unigram((("<unk>", 0.0), ("a", -1.0), ("b", -1.5), ("ab", -1.2)), 0, alpha=0.5)
     assert model._weighted("abab", 0.5) is model._weighted("abab", 0.5)
+
+
+def test_ids_alone_equal_those_of_tokens():
+    letters = {c: i for i, c in enumerate("abcdeth")} | {"<unk>": 9, "th": 10, "the": 11}
+    words = ["", "the", "thaé", "éé", "tthhe", "x"]
+    for model in (Bpe(letters, ()), Bpe(letters, (("t", "h"), ("th", "e")), unk_token="<unk>", fuse_unk=True), Bpe(letters, (), ignore_merges=True, unk_token="<unk>")):
+        assert [model.ids_of(w) for w in words] == [[t.id for t in model.tokenize(w)] for w in words]
