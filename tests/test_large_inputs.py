@@ -12,6 +12,7 @@ from textloom.functions.chars import byte_alphabet
 from textloom.operators import encodings as E
 from textloom.operators.decoders import ByteLevelDecoder
 from textloom.operators.models import Bpe, Unigram
+from textloom.operators.token_search import found_tokens
 from textloom.operators.spans import pieces_with_spans
 from textloom.plans import presets
 
@@ -86,3 +87,11 @@ def test_ids_alone_equal_those_of_tokens():
     words = ["", "the", "thaé", "éé", "tthhe", "x"]
     for model in (Bpe(letters, ()), Bpe(letters, (("t", "h"), ("th", "e")), unk_token="<unk>", fuse_unk=True), Bpe(letters, (), ignore_merges=True, unk_token="<unk>")):
         assert [model.ids_of(w) for w in words] == [[t.id for t in model.tokenize(w)] for w in words]
+
+
+def test_places_of_tokens_are_dealt_once(spark):
+    texts = spark.createDataFrame([(1, "abcd efgh abcd")], "k long, text string")
+    found = found_tokens(texts, spark.createDataFrame([(0, "abcd"), (1, "efgh")], "id long, content string"), ["k"])
+    assert [(r.start, r.stop, r.id) for r in found.orderBy("start").collect()] == [(0, 4, 0), (5, 9, 1), (10, 14, 0)]
+    plan = [line for line in _plan(found, "executedPlan").split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning(k" in line]
+    assert len(plan) == 1

@@ -151,7 +151,8 @@ def found_tokens(texts: DataFrame, tokens: DataFrame, key: list[str], text_col:
         met = dealt.join(known.withColumn("__salt", F.explode(salts)), ["content", "__salt"])
     of_text = [*key, "__text"]
     token = F.struct("start", "stop", "id", "content", (F.col("single_word") & F.col("beside")).alias("rejected"), F.when(F.col("lstrip"), F.col("before")).otherwise(0).alias("before"), F.when(F.col("rstrip"), F.col("after")).otherwise(0).alias("after"))
-    longest = met.groupBy(*of_text, "start").agg(F.max_by(token, "stop").alias("x"))
+    # dealt by text once: the longest tokens, their order and their clusters all stay there
+    longest = met.repartition(*of_text).groupBy(*of_text, "start").agg(F.max_by(token, "stop").alias("x"))
     order = Window.partitionBy(*of_text).orderBy("start")
     reach = F.max(F.col("x.stop") + F.col("x.after")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = (F.col("x.start") - F.col("x.before") >= reach).cast("int")
