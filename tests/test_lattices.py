@@ -5,8 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from textloom.functions.batches import gathered
 from textloom.operators.lattices import PieceTrie, best_paths, by_length, expected_counts
 from textloom.operators.models import Unigram
 from textloom.operators.suffixes import repeated_substrings
@@ -137,3 +139,18 @@ def test_unigram_training_equals_one_word_at_a_time(spark):
     wanted = plain_training(dict(counts), trainer)
     assert [p for p, _ in made.pieces] == [p for p, _ in wanted.pieces] and len(made.pieces) == 45
     assert np.allclose([s for _, s in made.pieces], [s for _, s in wanted.pieces])
+
+
+def test_sums_over_a_group_are_made_once(monkeypatch):
+    """They are as long as the vocabulary, so making them for each place cost more than the lattices did."""
+    pieces, scores = vocabulary(1)
+    trie, calls, plain = UnigramTrainer._trie(pieces, scores), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    expected_counts(trie, np.array([[ord(c) for c in "abcabcabc"]] * 3), np.ones(3))
+    assert len(calls) == 1
+
+
+def test_batches_are_gathered():
+    batches = [pa.RecordBatch.from_pydict({"x": [3 * i, 3 * i + 1, 3 * i + 2]}) for i in range(5)]
+    made = list(gathered(iter(batches), 6))
+    assert [b.num_rows for b in made] == [6, 6, 3] and [x for b in made for x in b.column("x").to_pylist()] == list(range(15))
