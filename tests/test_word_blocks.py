@@ -1,0 +1,27 @@
+"""Words packed in rows."""
+
+import numpy as np
+
+from textloom.operators.pair_table import WORD_COLUMNS, Words, merge_round
+from textloom.operators.trainers import BpeTrainer
+
+
+def test_a_block_comes_back_as_it_was():
+    held = Words(np.array([3, 1]), np.array([1, 2, 3, 4, 5], np.int32), np.array([2, 3]))
+    back = list(Words.blocks(held.table()))
+    assert len(back) == 1 and all((getattr(back[0], k) == getattr(held, k)).all() for k in ("counts", "flat", "lengths"))
+
+
+def test_words_stay_packed_over_rounds(spark):
+    held = Words(np.array([3, 1, 2]), np.array([1, 2, 3, 1, 2, 4, 5], np.int32), np.array([3, 2, 2]))
+    words = spark.createDataFrame([tuple(c[0].as_py() for c in held.table().columns)], WORD_COLUMNS)
+    rows = merge_round(words, [(1, 2, 9)]).collect()
+    kept = [r for r in rows if r["symbols"] is not None]
+    assert len(kept) == 1 and sorted(np.frombuffer(kept[0]["symbols"], np.int32).tolist()) == [3, 4, 5, 9, 9]
+    assert {r["pair"]: r["n"] for r in rows if r["pair"] is not None} == {(1 << 32) | 2: -4, (2 << 32) | 3: -3, (9 << 32) | 3: 3}
+
+
+def test_first_words_are_few_rows(spark):
+    trainer, counts = BpeTrainer(), spark.createDataFrame([(f"w{i}", 1) for i in range(25_000)], "word string, count long").coalesce(1)
+    alphabet = trainer.alphabet(counts)
+    assert trainer._first_symbols(counts, alphabet, {c: i for i, c in enumerate(alphabet)}).count() == 1
