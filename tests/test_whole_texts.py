@@ -48,3 +48,27 @@ def test_an_unknown_word_without_an_unknown_token_is_an_error():
     pipe = TextPipeline(WordLevel({"a": 0}), None, S.WhitespaceSplit())
     with pytest.raises(ValueError):
         pipe._add_tokens("a b", _Made(), pipe._kernel(), pipe.added.finders(None))
+
+
+@pytest.mark.parametrize("normalizer", [None, N.Lowercase(), N.UnicodeForm("NFKD"), N.Strip()])
+@pytest.mark.parametrize("splitter", [None, S.WhitespaceSplit()])
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_batches_at_once_equal_text_by_text(splitter, normalizer, size):
+    rng = random.Random(5)
+    texts = ["", " ", "qu", None, "quququ", "AA", "\u2003\u3001\u3000", *("".join(rng.choice("qua QUAé \n\u2003ﬁ😀!ΣİA") for _ in range(rng.randint(0, 40))) for _ in range(80)), None]
+    pipe = TextPipeline(_LEVEL, normalizer, splitter).with_added_tokens([_QU, AddedToken("A"), AddedToken("ua", single_word=True)])
+    kernel, finders = pipe._kernel(), pipe.added.finders(pipe.normalizer)
+    rows = [r for a in range(0, len(texts), size) for r in pipe._of_texts(pa.array(texts[a : a + size], pa.string()), kernel, finders).to_pylist()]
+    assert len(rows) == len(texts)
+    for t, row in zip(texts, rows):
+        assert (row is None) == (t is None)
+        if t is not None:
+            assert list(zip(row["ids"], row["tokens"], row["word_ids"], row["starts"], row["ends"])) == pipe.tokens_of(t)
+
+
+def test_a_batch_looks_each_of_its_words_up_once(monkeypatch):
+    pipe = TextPipeline(_LEVEL, N.Lowercase(), S.WhitespaceSplit()).with_added_tokens([AddedToken("THE")])
+    asked, plain = [], WordLevel.of_whole_words
+    monkeypatch.setattr(WordLevel, "of_whole_words", lambda self, words: asked.extend(words) or plain(self, words))
+    made = pipe._of_texts(pa.array(["QA x the Σ " * 500] * 3), pipe._kernel(), pipe.added.finders(pipe.normalizer))
+    assert sum(len(r["ids"]) for r in made.to_pylist()) == 6000 and sorted(asked) == ["qa", "x", "σ"]
