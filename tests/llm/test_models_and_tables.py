@@ -573,3 +573,16 @@ def exact_of(vectors, asked, k=5):
     near = unit[asked] @ unit.T
     near[np.arange(len(asked)), asked] = -2
     return {(int(q), int(v)) for q, row in zip(asked, np.argsort(-near, axis=1)[:, :k]) for v in row}
+
+
+def test_rows_to_fit_take_six_bytes_a_feature():
+    idf, rng = np.linspace(1, 9, language_id.FEATURES), np.random.default_rng(2)
+    for width in (language_id.FEATURES, language_id.FEATURES // 8):
+        rows = language_id.Sample(idf, width)
+        texts = [language_id.ngram_counts("".join(rng.choice(list("abc é\u4e2d"), 400))) for _ in range(5)]
+        for k, grams in enumerate(texts):
+            rows.add(grams, k)
+        assert sum(a.nbytes + b.nbytes for a, b, _ in rows.rows) == 6 * sum(len(g[0]) for g in texts)
+        for (found, x, label), (k, grams) in zip(rows, enumerate(texts), strict=True):
+            a, b = language_id.shared_weights(*language_id.weighted(grams, idf), width)
+            assert label == k and (found == a).all() and (x == b).all()

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_text_operators import brute_contamination, brute_lines, similarity
 
@@ -88,3 +89,21 @@ def test_stages_take_columns_of_any_name_and_long_texts(spark):
         assert made.columns == docs.columns
         assert made.where("doc_id = 9000001").select("key", "row", "salt").collect() == [("key", "row", "salt")]
     assert corpus_pipeline.tokens(spark, docs, SF).where("round_trip AND doc_id = 9000001").count() == 1
+
+
+def test_batches_of_python_stages_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab c"), 1000).alias("text"), F.lit("en").alias("lang"), F.lit("x").alias("source"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("language", "near_copies", "tokens"):
+            spark.conf.unset(key)
+            try:
+                stage(spark, docs.limit(0), SF)
+                assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 3_000_000
+            finally:
+                spark.conf.unset(key)

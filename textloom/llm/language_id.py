@@ -18,12 +18,13 @@ columns named lang_pred and score; any other names may occur.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,7 +114,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=0)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, seed: int = 7, width: int = FEATURES) -> np.ndarray:
+class Sample(Sequence):
+    """Rows to fit, (features, weights, class); only features and counts are held, six bytes each, weights are made when asked for."""
+
+    def __init__(self, idf: np.ndarray, width: int):
+        self.idf, self.width, self.rows = idf, width, []
+
+    def add(self, grams: tuple[np.ndarray, np.ndarray], label: int) -> None:
+        self.rows.append((grams[0].astype(np.uint16), grams[1].astype(np.uint32), label))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        found, counts, label = self.rows[k]
+        return *shared_weights(*weighted((found.astype(np.int64), counts.astype(np.int64)), self.idf), self.width), label
+
+
+def fit_ftrl(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], classes: int, seed: int = 7, width: int = FEATURES) -> np.ndarray:
     """Weights by follow-the-regularised-leader with elastic-net penalties."""
     z, n = np.zeros((classes, width)), np.zeros((classes, width))
 
@@ -196,17 +214,21 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
     sample = drawn.groupBy("text", "label").agg(F.first(F.xxhash64("text")).alias("dealt"))
 
     def train_one(table: pa.Table) -> pa.Table:
-        rows = []
-        for text, label, at in sorted(zip(*(table[c].to_pylist() for c in ("text", "label", "dealt"))), key=lambda r: (r[2], r[0], r[1])):
-            if grams := ngram_counts(text):
-                rows.append((*shared_weights(*weighted(grams, idf), width), number[label], at % 5 == 0, rarity(grams, idf) if int(grams[1].sum()) >= JUDGED_GRAMS else None))
+        rows, held, is_held, rare = Sample(idf, width), Sample(idf, width), [], []
+        # one text at a time is a Python string, for the worker stays and keeps the memory it once had
+        for k in pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("dealt", "text", "label")]).to_numpy():
+            if grams := ngram_counts(table["text"][int(k)].as_py()):
+                rows.add(grams, number[table["label"][int(k)].as_py()])
+                is_held.append(table["dealt"][int(k)].as_py() % 5 == 0)
+                if int(grams[1].sum()) >= JUDGED_GRAMS:
+                    rare.append(rarity(grams, idf))
         # a language whose few texts would all be held back is fitted on them
-        fitted = {r[2] for r in rows if not r[3]}
-        w = fit_ftrl([r[:3] for r in rows if not r[3] or r[2] not in fitted], len(languages), width=width)
-        held = [r for r in rows if r[3]]
-        logits = np.array([w[:, r[0]] @ r[1] for r in held])
-        t = fit_temperature(logits, np.array([r[2] for r in held], np.int64))
-        rare = [r[4] for r in rows if r[4] is not None]
+        fitted = {r[2] for r, h in zip(rows.rows, is_held) if not h}
+        held.rows = [r for r, h in zip(rows.rows, is_held) if h]
+        rows.rows = [r for r, h in zip(rows.rows, is_held) if not h or r[2] not in fitted]
+        w = fit_ftrl(rows, len(languages), width=width)
+        logits = np.array([w[:, found] @ x for found, x, _ in held])
+        t = fit_temperature(logits, np.array([label for *_, label in held.rows], np.int64))
         most = float(np.quantile(rare, 0.999)) * RARER if rare else float("inf")
         # the first row holds temperature and limit, the others the weights that are not zero
         k, f = np.nonzero(w)
