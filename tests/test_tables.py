@@ -318,3 +318,16 @@ def test_queries_equal_their_sql(spark, name):
     columns = sorted(wanted.columns)
     order = lambda d: d[columns].astype(str).sort_values(columns).reset_index(drop=True)
     pd.testing.assert_frame_equal(order(found), order(wanted))
+
+
+def test_metaspace_of_odd_texts_equals_its_sql(spark, tmp_path):
+    from textloom import queries
+
+    texts = ["", "▁", "▁a b", "▁▁", " ", " a", "  a", "a", "a  b ", "\n a", "　a", "😀 ▁b", None]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries.QUERIES["pretok_metaspace"](spark, str(tmp_path)).collect()
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = db.sql(f"SELECT piece, n FROM ({queries.ORACLE_SQL['pretok_metaspace']})").fetchall()
+    assert sorted(map(tuple, made)) == sorted(want)
