@@ -331,3 +331,38 @@ def test_metaspace_of_odd_texts_equals_its_sql(spark, tmp_path):
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         want = db.sql(f"SELECT piece, n FROM ({queries.ORACLE_SQL['pretok_metaspace']})").fetchall()
     assert sorted(map(tuple, made)) == sorted(want)
+
+
+@pytest.mark.parametrize("symbols", [1 << 20, 8])
+def test_merges_take_few_rounds(spark, monkeypatch, symbols):
+    from textloom.operators import trainers
+
+    rounds, merge_round = [], trainers.merge_round
+    monkeypatch.setattr(trainers, "SYMBOLS", symbols)
+    monkeypatch.setattr(trainers, "merge_round", lambda words, merges: rounds.append(len(merges)) or merge_round(words, merges))
+    rng = random.Random(5)
+    words = Counter("".join(rng.choice("aab" if k % 3 else "abcde") for _ in range(rng.randint(1, 12))) for k in range(400)) + Counter({"a" * 21: 3, "ab" * 9: 2})
+    size = 150 if symbols > 8 else 12
+    model = BpeTrainer(size).train(spark.createDataFrame(list(words.items()), "word string, count long").repartition(3))
+    parts, ids, merges = {w: list(w) for w in words}, {c: i for i, c in enumerate("abcde")}, []
+    while len(ids) < size:
+        pairs = Counter()
+        for w, s in parts.items():
+            for p in zip(s, s[1:]):
+                pairs[p] += words[w]
+        a, b = min(pairs, key=lambda p: (-pairs[p], ids[p[0]], ids[p[1]]))
+        ids.setdefault(a + b, len(ids))
+        merges.append((a, b))
+        for w, s in parts.items():
+            out, i = [], 0
+            while i < len(s):
+                k = 2 if s[i : i + 2] == [a, b] else 1
+                out.append("".join(s[i : i + k]))
+                i += k
+            parts[w] = out
+    assert list(model.merges) == merges and model.vocab == ids
+    if symbols > 8:
+        documents = word_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "text", S.WhitespaceSplit())
+        rounds.clear()
+        BpeTrainer(1000).train(documents)
+        assert sum(rounds) >= 850 and len(rounds) <= 8
