@@ -586,3 +586,18 @@ def test_rows_to_fit_take_six_bytes_a_feature():
         for (found, x, label), (k, grams) in zip(rows, enumerate(texts), strict=True):
             a, b = language_id.shared_weights(*language_id.weighted(grams, idf), width)
             assert label == k and (found == a).all() and (x == b).all()
+
+
+def test_language_learns_from_all_rows(spark):
+    # each text has a letter of its own, so a text that is left out is not known
+    texts = [(i, f"{chr(0x4E00 + 11 * i)}{chr(0x4E00 + 11 * i)} {chr(0x4E00 + 11 * i)}", "odd" if i % 2 else "even") for i in range(240)] + [(1000 + i, f"rare {'abcd'[i]}", "rare") for i in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs, sample_rows=24)
+    # a fifth is held back
+    assert sum(model.predict(t)[0] == lang for _, t, lang in texts) > 0.8 * len(texts)
+    assert model.predict("rare a")[0] == "rare"
+
+
+def test_parts_of_languages():
+    assert language_id.parts_of({"a": 5, "b": 7}, 100) == (1, {"a": 1, "b": 1})
+    assert language_id.parts_of({"a": 900, "b": 90, "c": 10, "d": 1}, 96) == (11, {"a": 11, "b": 11, "c": 3, "d": 1})

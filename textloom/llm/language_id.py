@@ -1,17 +1,19 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams.
 
-Document frequencies come from every training row.  The weights are fitted on
-a bounded sample of labelled rows (``SAMPLE_ROWS``, taken by a hash) with
-follow-the-regularised-leader updates and elastic-net penalties, which leave
-most weights at zero.  A part of the sample stays out of the fit and sets the
-temperature that calibrates the probabilities.
+Document frequencies come from every training row, and so do the weights: all
+labelled rows are dealt by a hash into shards of about ``SAMPLE_ROWS``.  Each
+shard is fitted in a task, with follow-the-regularised-leader updates and
+elastic-net penalties, which leave most weights at zero, and the shards' weights
+are averaged (parameter mixing).  Every shard has rows of every language: those
+of a rare one are in several.  A fifth of the texts stays out of the fit and
+sets the temperature that calibrates the probabilities, a mean over shards too.
 
 A text that is null or has no letter gets ``und`` and score 0, and so does
 every text if there is no labelled row.  Null labels are not learnt from.
 Any number of languages may occur: beyond 512 n-grams share weights, so that
 all weights together keep within ``MOST_WEIGHTS``.
-Texts are read whole, however long.  A text that many rows repeat enters the
-sample once, and rows that repeat get the same result.  ``predict`` replaces
+Texts are read whole, however long.  A text that many rows repeat enters a
+shard once, and rows that repeat get the same result.  ``predict`` replaces
 columns named lang_pred and score; any other names may occur.
 """
 
@@ -20,11 +22,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from textloom.llm.common import free_name
 UNDETERMINED = "und"
 FEATURES = 1 << 15
 MOST_CHARS = 3
-#: Most labelled rows that the weights are fitted on, about.
+#: Labelled rows that are fitted together in a task, about; all are fitted.
 SAMPLE_ROWS = 8192
 #: Most weights of all languages together that are kept and broadcast (128 MB).
 MOST_WEIGHTS = 512 * FEATURES
@@ -195,8 +197,17 @@ def hash_limit(rate: float) -> int:
     return min(int(-(1 << 63) + min(rate, 1.0) * (1 << 64)), (1 << 63) - 1)
 
 
+def parts_of(sizes: dict[str, int], rows: int) -> tuple[int, dict[str, int]]:
+    """The number of shards of about ``rows``, and into how many parts each language's rows are dealt among them.
+
+    A shard has some rows of each language, so one too rare for as many parts as shards gives each part to several;
+    that adds a quarter of all rows at most."""
+    shards, least = ceil(sum(sizes.values()) / rows), max(1, rows // (8 * len(sizes)))
+    return shards, {label: min(shards, max(1, n // least)) for label, n in sizes.items()}
+
+
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fits a model on labelled rows; the sample's bound is ``sample_rows``."""
+    """Fits a model on all labelled rows, about ``sample_rows`` in each shard."""
     labelled = train.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.col(id_col).alias("id")).where(F.col("label").isNotNull() & F.col("text").isNotNull())
     # one row for each language
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -206,22 +217,16 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
     idf = np.log((1 + total) / (1 + frequencies)) + 1
     if not languages:
         return LanguageModel((), idf, np.zeros((0, FEATURES)), 1.0)
-    # each language gives its share of the bound at most, so a rare one is not lost
-    share = sample_rows / len(languages)
-    limits = train.sparkSession.createDataFrame([(label, hash_limit(share / n)) for label, n in sizes.items()], "label string, most long")
-    # rows are drawn by text and id and then made distinct, so copies of a text neither come in together nor count twice
-    drawn = labelled.join(F.broadcast(limits), "label").where(F.xxhash64("text", "id") <= F.col("most"))
-    sample = drawn.groupBy("text", "label").agg(F.first(F.xxhash64("text")).alias("dealt"))
-
-    def train_one(table: pa.Table) -> pa.Table:
-        rows, held, is_held, rare = Sample(idf, width), Sample(idf, width), [], []
-        # one text at a time is a Python string, for the worker stays and keeps the memory it once had
-        for k in pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("dealt", "text", "label")]).to_numpy():
-            if grams := ngram_counts(table["text"][int(k)].as_py()):
-                rows.add(grams, number[table["label"][int(k)].as_py()])
-                is_held.append(table["dealt"][int(k)].as_py() % 5 == 0)
-                if int(grams[1].sum()) >= JUDGED_GRAMS:
-                    rare.append(rarity(grams, idf))
+    shards, parts_by = parts_of(sizes, sample_rows)
+    parts = train.sparkSession.createDataFrame(list(parts_by.items()), "label string, parts int")
+    # rows are dealt by text and id, so copies of a text are spread; a language of fewer parts than shards gives each part to several
+    part = F.pmod(F.xxhash64("text", "id"), F.col("parts")).cast("int")
+    dealt = labelled.join(F.broadcast(parts), "label").select("label", "text", F.xxhash64("text").alias("dealt"), F.explode(F.sequence(part, F.lit(shards - 1), F.col("parts"))).alias("shard"))
+    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "dealt", "text", "label")
+
+    def fitted_shard(rows: Sample, is_held: list[bool], rare: list[float]) -> pa.RecordBatch:
+        """Sums over shards make the means: weights times rows; at -1 the rows, held ones, these times log temperature, judged ones, these times their limit."""
+        held = Sample(idf, width)
         # a language whose few texts would all be held back is fitted on them
         fitted = {r[2] for r, h in zip(rows.rows, is_held) if not h}
         held.rows = [r for r, h in zip(rows.rows, is_held) if h]
@@ -229,18 +234,42 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
         w = fit_ftrl(rows, len(languages), width=width)
         logits = np.array([w[:, found] @ x for found, x, _ in held])
         t = fit_temperature(logits, np.array([label for *_, label in held.rows], np.int64))
-        most = float(np.quantile(rare, 0.999)) * RARER if rare else float("inf")
-        # the first row holds temperature and limit, the others the weights that are not zero
+        most = float(np.quantile(rare, 0.999)) * RARER if rare else 0.0
         k, f = np.nonzero(w)
-        return pa.table({"k": np.r_[-1, k].astype(np.int32), "f": np.r_[0, f].astype(np.int32), "w": np.r_[most, w[k, f]], "t": np.full(len(k) + 1, t)})
+        facts = [len(rows), len(held), len(held) * np.log(t), len(rare), len(rare) * most]
+        return pa.RecordBatch.from_pydict({"k": np.r_[np.full(5, -1), k].astype(np.int32), "f": np.r_[np.arange(5), f].astype(np.int32), "w": np.r_[facts, len(rows) * w[k, f]]})
 
-    fitted = sample.groupBy(F.lit(0).alias("all")).applyInArrow(train_one, "k int, f int, w double, t double").toPandas()
+    def train_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, last = None, None
+        rows, is_held, rare = Sample(idf, width), [], []
+        for batch in batches:
+            # one text at a time is a Python string, for the worker stays and keeps the memory it once had
+            for text, *row in zip(*(batch.column(c) for c in ("text", "shard", "dealt", "label"))):
+                text, (at, dealt, label) = text.as_py(), (x.as_py() for x in row)
+                if at != shard:
+                    if len(rows):
+                        yield fitted_shard(rows, is_held, rare)
+                    shard, last = at, None
+                    rows, is_held, rare = Sample(idf, width), [], []
+                if last == (dealt, text, label):
+                    continue
+                last = dealt, text, label
+                if grams := ngram_counts(text):
+                    rows.add(grams, number[label])
+                    is_held.append(dealt % 5 == 0)
+                    if int(grams[1].sum()) >= JUDGED_GRAMS:
+                        rare.append(rarity(grams, idf))
+        if len(rows):
+            yield fitted_shard(rows, is_held, rare)
+
+    made = ordered.mapInArrow(train_shards, "k int, f int, w double").groupBy("k", "f").agg(F.sum("w").alias("w")).toPandas()
     weights = np.zeros((len(languages), width))
-    if not len(fitted):
+    if not len(made):
         return LanguageModel(languages, idf, weights, 1.0)
-    made = fitted[fitted.k >= 0]
-    weights[made.k, made.f] = made.w
-    return LanguageModel(languages, idf, weights, float(fitted.t.iloc[0]), float(fitted.w[fitted.k < 0].iloc[0]))
+    rows, held, heat, judged, limit = made[made.k < 0].sort_values("f").w
+    made = made[made.k >= 0]
+    weights[made.k, made.f] = made.w / rows
+    return LanguageModel(languages, idf, weights, float(np.exp(heat / held)) if held else 1.0, float(limit / judged) if judged else float("inf"))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: Column) -> DataFrame:
