@@ -143,3 +143,34 @@ def test_streams_begin_with_given_ids(spark, tmp_path):
     assert out == {1: "héllo", 2: "中文 ok", 3: "é!"}
     batch = {k: "".join(r.text or "" for r in sorted((x for x in decode_steps(df, pipe).collect() if x.stream_id == k), key=lambda r: r.pos)) for k in (1, 2)}
     assert batch == {1: out[1], 2: out[2]}
+
+
+def test_rows_are_decoded_without_a_group_for_each_token(spark, capsys):
+    tokens = ["a", "\x00", "\x01", "\x01Y", "\x00B41", "\x00Sx", "", "<0xC3>", "<0xa9>", "<0xFF>", "▁", "b▁"]
+    vocabulary = spark.createDataFrame(list(enumerate(tokens)), "id long, token string")
+    rng = random.Random(11)
+    rows = [(k, [rng.randint(0, 12) for _ in range(40)]) for k in range(40)] + [(100, [6]), (101, [0] * 4095 + [7, 8] + [0] * 5000 + [9])]
+    ids = id_rows(spark.createDataFrame(rows, "k long, ids array<long>"), ["k"])
+
+    def plain(found, spoken, separator):
+        parts = []
+        for t in (tokens[i] for i in found if i < len(tokens)):
+            if not (t.startswith("<0x") and parts and isinstance(parts[-1], bytearray)):
+                parts.append(bytearray() if t.startswith("<0x") else t)
+            if t.startswith("<0x"):
+                parts[-1].append(int(t[3:5], 16))
+
+        def text(p):
+            try:
+                return p if isinstance(p, str) else p.decode()
+            except UnicodeDecodeError:
+                return "�" * len(p)
+
+        return separator.join(text(p).replace("▁", " ") if spoken else text(p) for p in parts)
+
+    for spoken, separator in ((None, ""), (lambda t: F.replace(t, F.lit("▁"), F.lit(" ")), ""), (None, "-")):
+        made = decoded_rows(ids, vocabulary, ["k"], spoken=spoken, separator=separator)
+        assert {r.k: r.text for r in made.collect()} == {k: plain(found, spoken, separator) for k, found in rows}
+    made.explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "run" not in plan

@@ -1,10 +1,11 @@
 """Decoding as joins: a row for each id, a table of the vocabulary, and no Python.
 
 Ids meet the vocabulary; those without a token, and special ones if they are to
-be skipped, are left out.  Neighbouring byte tokens (``<0xNN>``) are runs: a
-token's place less its place among the byte tokens is the same all through a
-run.  A run becomes its text, or a U+FFFD for each byte if it is no UTF-8.  What
-is left of a row's tokens is joined in order.
+be skipped, are left out.  What is left of a row's tokens is joined in order, by
+stretches first, so rows of single tokens are shuffled once and sorted as short
+lists.  Neighbouring byte tokens (``<0xNN>``) are runs; they travel as a mark
+and their digits, and in the joined text a run becomes its text, or a U+FFFD for
+each byte if it is no UTF-8.
 """
 
 from __future__ import annotations
@@ -50,18 +51,32 @@ def byte_runs(tokens: DataFrame, key: list[str]) -> DataFrame:
     return held.select(*key, "pos", text.alias("token"))
 
 
+def _marked(token: Column, apart: bool) -> Column:
+    """A vocabulary's token as it travels: bytes as a mark and two digits, others without that mark in them, and behind one if they must stay ``apart`` or are empty."""
+    plain = F.replace(F.replace(token, F.lit("\x01"), F.lit("\x01Y")), F.lit("\x00"), F.lit("\x01Z"))
+    return F.when(token.rlike(_BYTE), F.concat(F.lit("\x00B"), F.substring(token, 4, 2))).when(F.lit(apart) | (token == ""), F.concat(F.lit("\x00S"), plain)).otherwise(plain)
+
+
+def _spelled(piece: Column) -> Column:
+    """A run of bytes, or what stands between runs, without marks."""
+    text = F.try_validate_utf8(F.unhex(F.replace(piece, F.lit("\x00B"), F.lit(""))).cast("string"))
+    plain = F.replace(F.replace(F.replace(piece, F.lit("\x00S"), F.lit("")), F.lit("\x01Z"), F.lit("\x00")), F.lit("\x01Y"), F.lit("\x01"))
+    return F.when(piece.startswith("\x00B"), F.coalesce(text, F.repeat(F.lit(chr(0xFFFD)), (F.length(piece) / 4).cast("int")))).otherwise(plain)
+
+
 def decoded_rows(ids: DataFrame, vocabulary: DataFrame, key: list[str], skip_special_tokens: bool = True, spoken: Callable[[Column], Column] | None = None, separator: str = "") -> DataFrame:
     """Rows (key, text) of rows (key, pos, id); ``spoken`` changes each token, as in a replacement of a space sign.
 
     Keys without a known token have no row."""
-    tokens = byte_runs(token_of_ids(ids, vocabulary, key, skip_special_tokens), key)
-    token = spoken(F.col("token")) if spoken else F.col("token")
+    apart = spoken is not None or separator != ""
+    tokens = token_of_ids(ids, vocabulary.withColumn("token", _marked(F.col("token"), apart)), key, skip_special_tokens)
 
     def joined(rows: DataFrame, by: list[str]) -> DataFrame:
         parts = F.array_sort(F.collect_list(F.struct("pos", "token")))
-        return rows.groupBy(*by).agg(parts.alias("parts")).select(*by, F.array_join(F.transform("parts", lambda p: p["token"]), separator).alias("text"))
+        return rows.groupBy(*by).agg(parts.alias("parts")).select(*by, F.array_join(F.transform("parts", lambda p: p["token"]), "").alias("token"))
 
     # a long text is joined by stretches first: a list of single tokens takes many times the room of their text
-    placed = tokens.select(*key, "pos", token.alias("token"), F.expr(f"pos div {STRETCH}").alias("__stretch"))
-    stretches = joined(placed, [*key, "__stretch"])
-    return joined(stretches.select(*key, F.col("__stretch").alias("pos"), F.col("text").alias("token")), key)
+    stretches = joined(tokens.withColumn("__stretch", F.expr(f"pos div {STRETCH}")), [*key, "__stretch"])
+    whole = joined(stretches.withColumnRenamed("__stretch", "pos"), key)
+    pieces = F.regexp_extract_all("token", F.lit(r"(?:\x00B[0-9A-Fa-f]{2})++|\x00S[^\x00]*+|[^\x00]++"), F.lit(0))
+    return whole.select(*key, F.array_join(F.transform(pieces, lambda p: spoken(_spelled(p)) if spoken else _spelled(p)), separator).alias("text"))
