@@ -73,3 +73,10 @@ def test_both_passes_equal_the_search_text_by_text(spark):
             at += len(piece.text)
     assert sorted((r.doc_id, r.normalized, r.piece, r.start, r.stop, r.id) for r in found) == sorted(expected)
     assert {r.normalized for r in found} == {True, False}
+
+
+def test_places_of_a_small_table_are_not_shuffled(spark, capsys):
+    df = spark.createDataFrame([(1, "ab ab"), (2, "b a")], "doc_id long, text string")
+    found = token_search.found_tokens(df, added(5, 3).table(spark), ["doc_id"])
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
